@@ -13,7 +13,6 @@ _WS_CHARS = (
     "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_WS_NOT_NL = r"[\t\x0b\f\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 # --- fixed values: endings that do not distinguish two titles or places --------
 _TITLE_PARENTHESIS = rf"(?d){WS}*\(.*?\){WS}*$"
@@ -33,12 +32,10 @@ def collapse(c: Column) -> Column:
 
 
 def strip_lines(c: Column) -> Column:
-    """Strip every line and drop the empty ones.
-
-    A white-space run holding a line end becomes one line end. The look-behind
-    starts matches only where a run starts, so long runs stay linear.
-    """
-    return strip(F.regexp_replace(c, rf"(?<!{WS}){_WS_NOT_NL}*+\n{WS}*+", "\n"))
+    """Strip every line and drop the empty ones (measured several times faster
+    than one regular expression over the whole text)."""
+    lines = F.transform(F.split(c, "\n", -1), strip)
+    return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
 def blank_to_null(c: Column) -> Column:
