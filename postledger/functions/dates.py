@@ -27,7 +27,11 @@ def parse_iso(*cols: Column) -> Column:
 def epoch_millis(c: Column) -> Column:
     """UTC wall clock of a millisecond count, given as a number or as text."""
     millis = c.try_cast("bigint")
-    return F.when(millis != 0, F.timestamp_millis(millis).cast("timestamp_ntz"))
+    day = 86_400_000
+    since = F.make_dt_interval(F.floor(millis / day).cast("int"), F.lit(0), F.lit(0),
+                               (F.pmod(millis, F.lit(day)) / 1000).cast("decimal(18,6)"))
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.when((millis != 0) & (F.abs(millis) < 253_402_300_800_000), start + since)
 
 
 def _days_before(as_of: Column, days: Column) -> Column:

@@ -1,5 +1,5 @@
 """Runnable queries over the given tables."""
-from . import snapshots  # noqa: F401
+from . import duplicates, feeds, scalars, snapshots  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
