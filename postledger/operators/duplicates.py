@@ -46,7 +46,10 @@ def exact_duplicates_of(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def with_role(postings: DataFrame) -> DataFrame:
-    """Narrow table: id, source, URLs and normalised role and job of each posting."""
+    """Narrow table: id, source, URLs and normalised role and job of each posting.
+
+    It is written once, since every kind of link and group reads it.
+    """
     base = postings.select(
         "internal_id", "source_id",
         normalize_company(F.col("company_name")).alias("company"),
@@ -55,10 +58,10 @@ def with_role(postings: DataFrame) -> DataFrame:
         F.coalesce("apply_url", F.lit("")).alias("apply_url"),
         F.coalesce("source_url", F.lit("")).alias("source_url"),
     )
-    return base.withColumns({
+    return cut_lineage(base.withColumns({
         "role": F.md5(F.concat_ws("|", "company", "title", "place")),
         "job": F.md5(F.concat_ws("|", "company", "title")),
-    })
+    }))
 
 
 def _tokens(title: Column, q: int) -> Column:
@@ -77,9 +80,13 @@ def _tokens(title: Column, q: int) -> Column:
     return F.transform(F.array_sort(F.transform(grams, token)), lambda t: t["token"])
 
 
-def similar_titles(items: DataFrame, block: list[str], min_similarity: float, id_col: str = "item") -> DataFrame:
-    """Pairs ``(a, b, similarity)`` of different titles within equal ``block``
-    columns whose similarity is at least ``min_similarity``. Lossless.
+def similar_titles(items: DataFrame, block: list[str], min_similarity: float) -> DataFrame:
+    """Pairs of different titles within equal ``block`` columns whose similarity
+    is at least ``min_similarity``. Lossless.
+
+    ``items`` has ``item``, ``title``, the block columns and the range of its
+    sources ``s_min, s_max``; pairs that hold only one source are left out.
+    Returns the block columns and ``a, b, similarity`` with ``a < b``.
 
     Titles within an edit distance d share all but q*d of their q-character
     groups, so two similar titles must share one of the rarest groups of each
@@ -93,25 +100,29 @@ def similar_titles(items: DataFrame, block: list[str], min_similarity: float, id
     # smallest number of shared groups over all lengths a partner can have
     shared = F.ceil(length * (1 - q * (1 - min_similarity)) - (q - 1) - 1e-9)
     prefix_size = F.size("tokens") - F.greatest(shared, F.lit(1)) + 1
-    base = (
-        items.select(*block, F.col(id_col).alias("item"), "title", _tokens(F.col("title"), q).alias("tokens"))
-        .filter(length > 0)
+    keyed = (
+        items.filter(length > 0)
+        .select(*block, "item", "title", "s_min", "s_max", _tokens(F.col("title"), q).alias("tokens"))
         .withColumn("prefix", F.slice("tokens", F.lit(1), F.greatest(prefix_size, F.lit(0)).cast("int")))
+        .select(*block, "item", "title", "s_min", "s_max", "prefix", F.explode("prefix").alias("token"))
     )
-    keyed = base.select(*block, "item", "title", "prefix", F.explode("prefix").alias("token"))
-    a = keyed.select(*block, "token", F.col("item").alias("a"), F.col("title").alias("title_a"), F.col("prefix").alias("prefix_a"))
-    b = keyed.select(*block, "token", F.col("item").alias("b"), F.col("title").alias("title_b"), F.col("prefix").alias("prefix_b"))
+
+    def side(name: str) -> DataFrame:
+        own = ("item", "title", "s_min", "s_max", "prefix")
+        return keyed.select(*block, "token", *[F.col(c).alias(f"{c}_{name}") for c in own])
+
     la, lb = F.length("title_a"), F.length("title_b")
     allowed = F.floor(F.greatest(la, lb) * (1 - min_similarity) + 1e-9).cast("int")
-    first_shared = F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1)
-    pairs = a.join(b, [*block, "token"]).filter(
-        (F.col("a") < F.col("b"))
+    candidates = side("a").join(side("b"), [*block, "token"]).filter(
+        (F.col("item_a") < F.col("item_b"))
+        & (F.least("s_min_a", "s_min_b") != F.greatest("s_max_a", "s_max_b"))
         & (F.col("title_a") != F.col("title_b"))
         & (F.least(la, lb) >= F.greatest(la, lb) * min_similarity - 1e-9)
-        & (first_shared == F.col("token"))
+        & (F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("token"))
     )
-    near = pairs.filter(F.levenshtein("title_a", "title_b") <= allowed)
-    return near.select("a", "b", string_similarity(F.col("title_a"), F.col("title_b")).alias("similarity"))
+    near = candidates.filter(F.levenshtein("title_a", "title_b") <= allowed)
+    return near.select(*block, F.col("item_a").alias("a"), F.col("item_b").alias("b"),
+                       string_similarity(F.col("title_a"), F.col("title_b")).alias("similarity"))
 
 
 def _needed_title(threshold: float, location_points: int, url_points: int) -> float:
@@ -162,26 +173,13 @@ def duplicate_links(roles: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> D
         found = units.filter("s_min <> s_max").select(
             F.col("node").alias("node_a"), F.col("node").alias("node_b"), "url", F.lit(1.0).alias("similarity"))
         if needed < 1:
-            found = found.unionByName(_near_units(units, block, max(needed, 0.0)))
+            near = similar_titles(units.withColumnRenamed("node", "item"), block, max(needed, 0.0))
+            found = found.unionByName(near.select(F.col("a").alias("node_a"), F.col("b").alias("node_b"), "url", "similarity"))
         points = score(F.lit(True), F.col("similarity"), F.lit(place_points > 0),
                        F.lit(url == "apply_url"), F.lit(url == "source_url"))
         parts.append(found.select(F.lit(scope).alias("scope"), "node_a", "node_b",
                                   F.lit(url or "any").alias("via"), "url", points.alias("score")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _near_units(units: DataFrame, block: list[str], needed: float) -> DataFrame:
-    item = units.withColumn("item", F.concat_ws("|", "node", "url"))
-    side = item.select("item", "node", "url", "s_min", "s_max")
-    left = side.select(F.col("item").alias("a"), F.col("node").alias("x"), "url",
-                       F.col("s_min").alias("a_min"), F.col("s_max").alias("a_max"))
-    right = side.select(F.col("item").alias("b"), F.col("node").alias("y"),
-                        F.col("s_min").alias("b_min"), F.col("s_max").alias("b_max"))
-    return (
-        similar_titles(item, block, needed).join(left, "a").join(right, "b")
-        .filter("least(a_min, b_min) <> greatest(a_max, b_max)")
-        .select(F.least("x", "y").alias("node_a"), F.greatest("x", "y").alias("node_b"), "url", "similarity")
-    )
+    return cut_lineage(reduce(DataFrame.unionByName, parts))
 
 
 def _two_best(rows: DataFrame, keys: list[str], best: Column) -> DataFrame:
