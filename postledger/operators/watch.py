@@ -1,6 +1,7 @@
 """Watched pages: what text was added since the last check."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +58,6 @@ def sequence_added(previous: Column, current: Column) -> Column:
     An ordered diff has no built-in form, so this is an Arrow function. Pass
     nulls for rows that need no diff.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def diff(before: pd.Series, after: pd.Series) -> pd.Series:
         import difflib

@@ -1,5 +1,5 @@
 """Runnable queries over the given tables."""
-from . import duplicates, feeds, payloads, scalars, snapshots  # noqa: F401
+from . import duplicates, feeds, pages, payloads, scalars, snapshots, streams  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
