@@ -26,7 +26,6 @@ from ..functions.similarity import (APPLY_URL_POINTS, COMPANY_POINTS, LOCATION_P
                                     TITLE_POINTS, score, string_similarity)
 from ..functions.text import normalize_company, normalize_location, normalize_title
 from ..session import cut_lineage
-from .skew import salted_join
 
 DEFAULT_THRESHOLD = 0.8
 # Letters from rare to common in titles; only the speed depends on this order.
@@ -64,12 +63,15 @@ def with_role(postings: DataFrame) -> DataFrame:
     }))
 
 
-def _tokens(title: Column, q: int) -> Column:
-    """Character groups of length ``q`` with their occurrence number, rarest first."""
+def _grams(title: Column, q: int) -> Column:
     n = F.length(title) - q + 1
-    grams = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(title, i, F.lit(q)))).otherwise(
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(title, i, F.lit(q)))).otherwise(
         F.array().cast("array<string>"))
 
+
+def _tokens(grams: Column, q: int) -> Column:
+    """Character groups with their occurrence number, rarest first. ``grams`` is
+    a stored column, so the lambdas below do not compute it again."""
     def token(g: Column, i: Column) -> Column:
         nth = F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g))
         rarity = F.instr(F.lit(_RARE_FIRST), F.substring(g, 1, 1))
@@ -102,7 +104,8 @@ def similar_titles(items: DataFrame, block: list[str], min_similarity: float) ->
     prefix_size = F.size("tokens") - F.greatest(shared, F.lit(1)) + 1
     keyed = (
         items.filter(length > 0)
-        .select(*block, "item", "title", "s_min", "s_max", _tokens(F.col("title"), q).alias("tokens"))
+        .withColumn("grams", _grams(F.col("title"), q))
+        .select(*block, "item", "title", "s_min", "s_max", _tokens(F.col("grams"), q).alias("tokens"))
         .withColumn("prefix", F.slice("tokens", F.lit(1), F.greatest(prefix_size, F.lit(0)).cast("int")))
         .select(*block, "item", "title", "s_min", "s_max", "prefix", F.explode("prefix").alias("token"))
     )
@@ -216,9 +219,8 @@ def best_duplicates(roles: DataFrame, links: DataFrame) -> DataFrame:
         best = _two_best(offers, ["node", "url"], F.struct((-F.col("score")).alias("s"), F.col("id").alias("id")))
         other = F.when(F.col("first_source") != F.col("source_id"), F.col("first")).when(
             F.col("offers") > 1, F.col("second"))
-        picks.append(
-            salted_join(rows, best, ["node", "url"], "inner", F.col("internal_id"))
-            .select("internal_id", other.alias("best")).filter("best is not null"))
+        # a node with very many postings is split by AQE; ``best`` has one row per node
+        picks.append(rows.join(best, ["node", "url"]).select("internal_id", other.alias("best")).filter("best is not null"))
     every = reduce(DataFrame.unionByName, picks)
     return every.groupBy("internal_id").agg(F.min("best").alias("best")).select(
         "internal_id", F.col("best.id").alias("duplicate_id"), (-F.col("best.s")).alias("score"))
@@ -245,19 +247,24 @@ def duplicates_of(new: DataFrame, existing: DataFrame, threshold: float = DEFAUL
     return scored.withColumn("rank", F.row_number().over(rank))
 
 
-def _edges(roles: DataFrame, links: DataFrame) -> DataFrame:
+def _profiles(roles: DataFrame) -> DataFrame:
+    """Postings that no link can tell apart, under the smallest of their ids."""
+    return roles.groupBy("role", "job", "apply_url", "source_url").agg(F.min("internal_id").alias("profile"))
+
+
+def _edges(profiles: DataFrame, links: DataFrame) -> DataFrame:
     """Edges that connect exactly the linked postings: each linked node to its
-    postings, and linked nodes to each other."""
+    profiles, and linked nodes to each other. Profiles sort before nodes, so the
+    smallest label of a component is its smallest posting id."""
     edges = []
     for scope, url, _, _ in _KINDS:
         some = links.filter((F.col("scope") == scope) & (F.col("via") == (url or "any")))
-        name = lambda node: F.concat(F.lit(f"n:{scope}:{url}:"), node, F.lit(":"), F.col("url"))  # noqa: B023,E731
+        name = lambda node: F.concat(F.lit(f"z:{scope}:{url}:"), node, F.lit(":"), F.col("url"))  # noqa: B023,E731
         edges.append(some.filter("node_a <> node_b").select(
             name(F.col("node_a")).alias("u"), name(F.col("node_b")).alias("v")))
         live = some.select(F.explode(F.array("node_a", "node_b")).alias("node"), "url").distinct()
-        members = salted_join(_of_kind(roles, scope, url).select("node", "url", "internal_id"), live, ["node", "url"],
-                              "left_semi", F.col("internal_id"))
-        edges.append(members.select(name(F.col("node")).alias("u"), F.concat(F.lit("p:"), "internal_id").alias("v")))
+        members = _of_kind(profiles, scope, url).select("node", "url", "profile").join(live, ["node", "url"], "left_semi")
+        edges.append(members.select(name(F.col("node")).alias("u"), F.concat(F.lit("p:"), "profile").alias("v")))
     return reduce(DataFrame.unionByName, edges)
 
 
@@ -275,8 +282,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         else:
             both = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # a node with very many neighbours is spread over salts
-        moved = salted_join(both, low, ["u"], "inner", F.col("v"))
+        # one row per node on the right; AQE splits a node with very many neighbours
+        moved = both.join(low, "u")
         if large:
             kept = moved.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -303,10 +310,10 @@ def duplicate_groups(roles: DataFrame, links: DataFrame) -> DataFrame:
 
     The group is the smallest posting id among all connected postings.
     """
-    parts = connected_components(_edges(roles, links))
-    members = parts.filter(F.col("node").startswith("p:")).select(
-        F.expr("substring(node, 3)").alias("internal_id"), "component")
-    smallest = members.groupBy("component").agg(F.min("internal_id").alias("possible_duplicate_group"))
-    groups = salted_join(members, smallest, ["component"], "inner", F.col("internal_id"))
+    profiles = cut_lineage(_profiles(roles))
+    parts = connected_components(_edges(profiles, links)).filter(F.col("node").startswith("p:")).select(
+        F.expr("substring(node, 3)").alias("profile"), F.expr("substring(component, 3)").alias("possible_duplicate_group"))
+    keyed = profiles.join(parts, "profile").drop("profile")
+    groups = roles.join(keyed, ["role", "job", "apply_url", "source_url"]).select("internal_id", "possible_duplicate_group")
     best = best_duplicates(roles, links).select("internal_id", F.col("score").alias("duplicate_confidence"))
-    return groups.join(best, "internal_id").select("internal_id", "possible_duplicate_group", "duplicate_confidence")
+    return groups.join(best, "internal_id")

@@ -58,19 +58,33 @@ def sequence_added(previous: Column, current: Column) -> Column:
     An ordered diff has no built-in form, so this is an Arrow function. Pass
     nulls for rows that need no diff.
     """
+    added = line_differ()
+
     @F.pandas_udf("string")
     def diff(before: pd.Series, after: pd.Series) -> pd.Series:
-        import difflib
+        return pd.Series([None if b is None else added(a or "", b) for a, b in zip(before, after)], dtype="object")
+
+    return diff(previous, current)
 
-        def one(a, b):
-            if b is None:
-                return None
-            marked = difflib.ndiff((a or "").splitlines(), b.splitlines())
-            return "\n".join(m[2:] for m in marked if m[:2] == "+ ").strip()
 
-        return pd.Series([one(a, b) for a, b in zip(before, after)], dtype="object")
+def line_differ():
+    """Function (previous, current) -> text of the lines that an ordered diff marks
+    as added. Only blocks that share a line need the slow line-pairing step of
+    ``difflib``; in all others every new line is an added line."""
+    def run(previous: str, current: str) -> str:
+        import difflib
 
-    return diff(previous, current)
+        a, b = previous.splitlines(), current.splitlines()
+        out = []
+        for kind, i, j, k, n in difflib.SequenceMatcher(None, a, b).get_opcodes():
+            if kind == "insert" or (kind == "replace" and set(a[i:j]).isdisjoint(b[k:n])):
+                out += b[k:n]
+            elif kind == "replace":
+                pairing = difflib.Differ(charjunk=difflib.IS_CHARACTER_JUNK)._fancy_replace(a, i, j, b, k, n)
+                out += [m[2:] for m in pairing if m[:2] == "+ "]
+        return "\n".join(out).strip()
+
+    return run
 
 
 def watch_diff(texts: DataFrame, state: DataFrame, mode: str = "sequence",

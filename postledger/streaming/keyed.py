@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators.watch import line_differ
+
 STATUS_SCHEMA = "internal_id string, observed_at timestamp, seq long, content_hash string, status string"
 WATCH_SCHEMA = ("id string, seq long, checked_at timestamp, status string, added_text string, keywords_found string, "
                 "last_changed_at timestamp, error string")
@@ -46,9 +48,9 @@ def stream_watch_diff(checks: DataFrame, min_chars: int = 40) -> DataFrame:
     ``checks`` has ``id, seq, checked_at, content_text, content_hash, check_error,
     keywords`` (see ``operators.watch.page_texts``). State is the last good text.
     """
-    def step(key, chunks, state):
-        import difflib
+    added_text = line_differ()
 
+    def step(key, chunks, state):
         import pandas as pd
 
         seen, digest, text, changed_at = state.get if state.exists else (False, None, None, None)
@@ -63,8 +65,7 @@ def stream_watch_diff(checks: DataFrame, min_chars: int = 40) -> DataFrame:
             elif r.content_hash == digest:
                 status = "unchanged"
             else:
-                marked = difflib.ndiff((text or "").splitlines(), r.content_text.splitlines())
-                added = "\n".join(m[2:] for m in marked if m[:2] == "+ ").strip()
+                added = added_text(text or "", r.content_text)
                 digest, text = r.content_hash, r.content_text
                 if len(added) >= min_chars:
                     status, changed_at = "changed", r.checked_at

@@ -8,6 +8,7 @@ from ..operators import classify as C
 from ..operators import rollups
 from ..operators import validate as V
 from ..operators import watch as W
+from ..session import cut_lineage
 from ..sources import registry as R
 from .registry import query
 from .scalars import PAGE_TEXT_SQL
@@ -19,10 +20,15 @@ _KIND = "page_id % 10"
 
 
 def pages_now(spark, sf) -> DataFrame:
+    return changed_pages(table(spark, sf, "pages"))
+
+
+def changed_pages(pages: DataFrame) -> DataFrame:
+    """Check responses: one in ten missing, failed, unchanged or barely changed."""
     k = F.expr(_KIND)
     html = (F.when(k == 1, F.lit("<h1>Page not found</h1>")).when(k == 4, F.concat("html", F.lit(_TINY)))
             .when(k >= 5, F.concat("html", F.lit(_LONG))).otherwise(F.col("html")))
-    return table(spark, sf, "pages").select(
+    return pages.select(
         F.concat(F.lit("w"), F.col("page_id").cast("string")).alias("id"), F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("name"),
         "url", F.col("url").alias("final_url"), F.when(k == 2, F.lit(503)).otherwise(F.lit(200)).alias("http_status"),
         F.lit(None).cast("string").alias("error"), html.alias("html"), F.lit("2024-02-01 06:00:00").cast("timestamp_ntz").alias("checked_at"))
@@ -37,11 +43,16 @@ def pages_before(spark, sf) -> DataFrame:
                      F.col("url").alias("final_url"), F.lit(200).alias("http_status"), F.lit(None).cast("string").alias("error"),
                      old.alias("html"), F.lit("2024-01-01 06:00:00").cast("timestamp_ntz").alias("checked_at"))
     at = F.col("checked_at")
-    return W.page_texts(pages).select(
+    return _texts(pages).select(
         "id", "url", "name", "content_hash", "content_text", at.alias("first_seen_at"), at.alias("last_checked_at"), at.alias("last_changed_at"),
         F.lit("new").alias("last_status"), F.lit("").alias("last_error"), F.lit("").alias("last_added_text"))
 
 
+def _texts(pages: DataFrame) -> DataFrame:
+    """Page texts, written once as in the page plan: diff and state both read them."""
+    return cut_lineage(W.page_texts(pages))
+
+
 _OLD_TEXT = PAGE_TEXT_SQL.replace("html", "old_html")
 CHECK_SQL = f"""WITH h AS (SELECT page_id, {_KIND} AS k, url,
     CASE WHEN {_KIND} = 1 THEN '<h1>Page not found</h1>' WHEN {_KIND} = 4 THEN html || '{_TINY}' WHEN {_KIND} >= 5 THEN html || '{_LONG}' ELSE html END AS html,
@@ -66,19 +77,19 @@ def watch_list(spark, sf) -> DataFrame:
 
 @query("watch_diff", CHECK_SQL + f" SELECT id, status, CASE WHEN status = 'changed' THEN sha256(added) ELSE sha256('') END AS added_digest, {_ERROR} AS error FROM o")
 def watch_diff(spark, sf):
-    d = W.watch_diff(W.page_texts(pages_now(spark, sf)), pages_before(spark, sf), "multiset")
+    d = W.watch_diff(_texts(pages_now(spark, sf)), pages_before(spark, sf), "multiset")
     return d.select("id", "status", F.sha2("added_text", 256).alias("added_digest"), F.coalesce("check_error", F.lit("")).alias("error"))
 
 
 @query("watch_diff_sequence")
 def watch_diff_sequence(spark, sf):
-    d = W.watch_diff(W.page_texts(pages_now(spark, sf)), pages_before(spark, sf), "sequence")
+    d = W.watch_diff(_texts(pages_now(spark, sf)), pages_before(spark, sf), "sequence")
     return d.select("id", "status", "added_text")
 
 
 @query("added_lines", CHECK_SQL + " SELECT id, sha256(added) AS digest FROM added")
 def added_lines(spark, sf):
-    now = W.page_texts(pages_now(spark, sf)).filter("content_text is not null").select("id", "content_text")
+    now = _texts(pages_now(spark, sf)).filter("content_text is not null").select("id", "content_text")
     before = pages_before(spark, sf).select("id", F.col("content_text").alias("previous_text"))
     return W.added_lines(now.join(before, "id")).select("id", F.sha2("added_text", 256).alias("digest"))
 
@@ -86,7 +97,7 @@ def added_lines(spark, sf):
 @query("watch_results", CHECK_SQL + f""" SELECT id, status, CASE WHEN status = 'changed' THEN 'apply now, MONDAY' ELSE '' END AS keywords,
     CASE WHEN status = 'error' THEN NULL WHEN status IN ('new', 'changed') THEN '2024-02-01' ELSE '2024-01-01' END AS changed_on, {_ERROR} AS error FROM o""")
 def watch_results(spark, sf):
-    d = W.watch_diff(W.page_texts(pages_now(spark, sf)), pages_before(spark, sf), "multiset")
+    d = W.watch_diff(_texts(pages_now(spark, sf)), pages_before(spark, sf), "multiset")
     keys = table(spark, sf, "pages").select(F.concat(F.lit("w"), F.col("page_id").cast("string")).alias("id"),
                                            F.array(F.lit("apply now"), F.lit("Deadline"), F.lit("MONDAY")).alias("keywords"))
     return W.watch_results(d, keys).select("id", "status", F.array_join("keywords_found", ", ").alias("keywords"),
@@ -99,7 +110,7 @@ def watch_results(spark, sf):
     CASE WHEN status = 'changed' THEN length(added) ELSE 0 END AS added_chars FROM o""")
 def merge_watches(spark, sf):
     before = pages_before(spark, sf)
-    d = W.watch_diff(W.page_texts(pages_now(spark, sf)), before, "multiset")
+    d = W.watch_diff(_texts(pages_now(spark, sf)), before, "multiset")
     day = lambda c, n: F.date_format(c, "yyyy-MM-dd").alias(n)
     return W.next_watch_state(d, before).select(
         "id", "name", "content_hash", day("first_seen_at", "first_seen"), day("last_checked_at", "checked"), day("last_changed_at", "changed"),
@@ -108,14 +119,14 @@ def merge_watches(spark, sf):
 
 @query("watch_counts", CHECK_SQL + " SELECT count(*) AS watches_checked, count(*) FILTER (WHERE status = 'changed') AS watches_changed FROM o")
 def watch_counts(spark, sf):
-    return rollups.watch_counts(W.watch_diff(W.page_texts(pages_now(spark, sf)), pages_before(spark, sf), "multiset"))
+    return rollups.watch_counts(W.watch_diff(_texts(pages_now(spark, sf)), pages_before(spark, sf), "multiset"))
 
 
 @query("watch_feed_state", CHECK_SQL + f""" SELECT id, CASE WHEN page_id % 2 = 0 THEN 'Even page' ELSE id END AS name, CASE WHEN status IN ('changed', 'error') THEN status ELSE 'unchanged' END AS status,
     CASE WHEN status = 'changed' THEN 'apply now, MONDAY' ELSE '' END AS keywords, {_ERROR} AS error FROM o WHERE page_id % 7 <> 0""")
 def watch_feed_state(spark, sf):
     before = pages_before(spark, sf)
-    state = W.next_watch_state(W.watch_diff(W.page_texts(pages_now(spark, sf)), before, "multiset"), before)
+    state = W.next_watch_state(W.watch_diff(_texts(pages_now(spark, sf)), before, "multiset"), before)
     return W.watch_feed_state(watch_list(spark, sf), state).select("id", "name", "status", F.array_join("keywords_found", ", ").alias("keywords"), "error")
 
 

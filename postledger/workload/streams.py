@@ -13,7 +13,7 @@ from ..sinks.state import StateStore
 from ..streaming.counts import stream_status_counts
 from ..streaming.keyed import stream_status, stream_watch_diff
 from ..streaming.runs import stream_runs
-from .pages import CHECK_SQL, pages_now
+from .pages import CHECK_SQL, changed_pages
 from .registry import query
 from .views import SQL_DIFF, STATUS_OF_EVENT, all_postings, current_postings
 
@@ -22,13 +22,9 @@ def _folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _as_stream(spark, path: str) -> DataFrame:
-    # a pattern works for a table that is one file as well as for a folder
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
-
-
 def _stream(spark, sf: str, name: str) -> DataFrame:
-    return _as_stream(spark, f"{sf}/{name}.parquet")
+    # the pattern works for a table that is one file as well as for a folder
+    return spark.readStream.schema(spark.read.parquet(f"{sf}/{name}.parquet").schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _run(out: DataFrame) -> DataFrame:
@@ -67,7 +63,7 @@ def watch(spark, sf):
     ident = F.concat(F.lit("w"), F.col("page_id").cast("string")).alias("id")
     first = p.select(ident, F.lit("").alias("name"), "url", F.col("url").alias("final_url"), F.lit(200).alias("http_status"),
                      F.lit(None).cast("string").alias("error"), "html", F.lit("2024-01-01 06:00:00").cast("timestamp_ntz").alias("checked_at"))
-    second = pages_now(_Streaming(spark), sf)
+    second = changed_pages(p)
     checks = W.page_texts(first.unionByName(second)).select(
         "id", F.unix_seconds(F.col("checked_at").cast("timestamp")).alias("seq"), F.col("checked_at").cast("timestamp").alias("checked_at"), "content_text",
         "content_hash", "check_error", F.array(F.lit("apply now"), F.lit("Deadline"), F.lit("MONDAY")).alias("keywords"))
@@ -75,20 +71,6 @@ def watch(spark, sf):
     return out.filter("checked_at > timestamp'2024-01-02'").select("id", "status", "added_text", "keywords_found")
 
 
-class _Streaming:
-    """A session whose tables are streams, for views written over tables."""
-
-    def __init__(self, spark):
-        self.spark = spark
-
-    @property
-    def read(self):
-        return self
-
-    def parquet(self, path: str) -> DataFrame:
-        return _as_stream(self.spark, path)
-
-
 @query("stream_runs", SQL_DIFF.replace("doc_id % 13 <> 0 AS active", "true AS active") + """ SELECT internal_id, CASE WHEN seen OR status IS NULL THEN true ELSE false END AS active,
     CASE WHEN status IS NULL THEN 1 ELSE 2 END AS state_version FROM diff""")
 def runs(spark, sf):

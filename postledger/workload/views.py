@@ -24,8 +24,17 @@ STATUS_OF_EVENT = ("CASE event_type WHEN 'click' THEN 'new' WHEN 'view' THEN 'un
                    "WHEN 'purchase' THEN 'changed' WHEN 'signup' THEN 'reopened' ELSE 'source_error' END")
 
 
+_TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table. A text table in fewer file splits than cores is dealt out to all
+    of them; a large one is read in place."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def posting_base(spark: SparkSession, sf: str) -> DataFrame:
