@@ -115,9 +115,17 @@ def next_state(diff: DataFrame, run_at: Column, version: int) -> DataFrame:
         F.when(altered, at).otherwise(F.col("previous_last_changed_at")).alias("last_changed_at"),
         F.when(F.col("seen"), F.lit(True)).when(expired, F.lit(False)).otherwise(F.col("was_active")).alias("active"),
         F.when(touched, F.lit(version)).otherwise(F.col("previous_version")).cast("int").alias("state_version"),
+        F.col("status").alias("last_status"),
     )
 
 
+def transitions(state: DataFrame, version: int) -> DataFrame:
+    """Postings that the run of a stored snapshot touched, with their status: a
+    narrow scan of the snapshot, no join."""
+    return state.filter(F.col("state_version") == version).select(
+        "internal_id", *KEY, "content_hash", F.col("last_status").alias("status"))
+
+
 def observations(diff: DataFrame, run_id: Column, observed_at: Column) -> DataFrame:
     """Log rows of the run, expired postings included. The id is derived, so a
     repeated run writes the same rows."""

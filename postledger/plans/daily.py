@@ -27,7 +27,7 @@ def collect(landing: DataFrame, companies: DataFrame, sources: DataFrame, store:
     """One run: decode, filter by place, compare, store, count.
 
     Decoded postings are written once, because the comparison, the counts and
-    the source roll-up all read them. Places are filtered before the comparison,
+    the source roll-up all read them. ``diff`` holds the transitions. Places are filtered before the comparison,
     so that out-of-area postings never expire later.
     """
     scope = enabled_sources(companies, sources)
@@ -39,7 +39,7 @@ def collect(landing: DataFrame, companies: DataFrame, sources: DataFrame, store:
     names = matching_rules(rules, F.col("title"), F.col("location"))
     current = D.last_in_run(
         found.filter(keep).withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.get(names, 0), F.lit(""))),
-        F.col("content_hash"))
+        F.col("ingest_order")).drop("ingest_order")
     expirable = None
     if gate_incomplete:
         short = search_completeness(wanted).filter("found < total").select(
@@ -55,6 +55,12 @@ def collect(landing: DataFrame, companies: DataFrame, sources: DataFrame, store:
     }
 
 
+def postings_of_run(store: StateStore, version: int | None = None) -> DataFrame:
+    """Postings that a run touched, expired ones included, ready for reports."""
+    v = store.version() if version is None else version
+    return store.load(version=v).filter(F.col("state_version") == v).withColumnRenamed("last_status", "status")
+
+
 def publish(postings: DataFrame, watches: DataFrame, stats: DataFrame, errors: DataFrame, at: datetime, path: str,
             include: str = "delta", max_messages: int = 1) -> None:
     """Write the reports, their dated copy and the messages."""

@@ -27,8 +27,12 @@ class StateStore:
         """Current version; 0 when nothing is stored."""
         return self._pointers().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
+    def version_of(self, run_id: str) -> int:
+        """Version that a run wrote; 0 when the run is not stored."""
+        return self._pointers().filter(F.col("run_id") == run_id).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+
     def has_run(self, run_id: str) -> bool:
-        return not self._pointers().filter(F.col("run_id") == run_id).isEmpty()
+        return self.version_of(run_id) > 0
 
     def load(self, schema: str | None = None, version: int | None = None) -> DataFrame:
         """A stored snapshot, by default the current one; empty before the first."""

@@ -103,6 +103,7 @@ def jsonld_rows(landing: DataFrame, retain_raw: bool = False) -> DataFrame:
     currency = F.coalesce(_get(item, "$.baseSalary.currency"), F.lit("USD"))
     kind = _get(item, "$.employmentType", "variant")
     text = rows.withColumns({
+        "pos": F.col("block_no").cast("long") * (1 << 20) + F.col("item_no"),
         "company_name": F.coalesce(organisation, F.col("company_id")),
         "title": title,
         "location": first_text(_address(item), F.lit(_NO_PLACE)),

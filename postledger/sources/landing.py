@@ -74,7 +74,9 @@ def finish(df: DataFrame) -> DataFrame:
         "content_hash": content_hash(F.col("company_name"), F.col("title"), F.col("location"),
                                      F.col("description_text"), F.col("apply_url")),
     })
-    return as_postings(hashed, "run_id", "reject_reason")
+    position = F.col("pos") if "pos" in df.columns else F.lit(0)
+    ordered = hashed.withColumn("ingest_order", F.struct("fetched_at", position.cast("long").alias("pos")))
+    return as_postings(ordered, "run_id", "ingest_order", "reject_reason")
 
 
 def missing_id(c: Column) -> Column:

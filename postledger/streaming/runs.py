@@ -13,24 +13,31 @@ from ..sinks.state import StateStore, append_observations
 
 STATE_SCHEMA = "internal_id string, " + ", ".join(f"{n} {t}" for n, (t, _) in POSTING.items()) + (
     ", first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, last_changed_at timestamp_ntz, active boolean, "
-    "state_version int")
+    "state_version int, last_status string")
 
 
 def fold_run(current: DataFrame, store: StateStore, run_id: str, run_at, log_root: str | None = None,
              expirable: DataFrame | None = None, write: bool = True) -> DataFrame:
-    """Compare a complete run with the stored snapshot and store the next one.
+    """Compare a complete run with the stored snapshot, store the next one and
+    return the transitions.
 
-    Statuses come from version N before version N+1 exists. A run that is
-    already stored changes nothing. With ``write=False`` nothing is stored.
+    Statuses come from version N before version N+1 exists. The wide join runs
+    once, for the snapshot; transitions and log rows are narrow scans of it. A
+    stored run is not stored again, only its log rows are made sure of. With
+    ``write=False`` nothing is stored.
     """
-    version = store.version()
-    diff = D.snapshot_diff(current, store.load(STATE_SCHEMA, version), expirable)
-    if write and not store.has_run(run_id):
-        at = F.lit(run_at)
-        if log_root:
-            append_observations(D.observations(diff, F.lit(run_id), at), log_root, run_id)
-        store.commit(D.next_state(diff, at, version + 1), run_id, version + 1)
-    return diff
+    at = F.lit(run_at)
+    done = store.version_of(run_id)
+    if not done or not write:
+        version = store.version()
+        diff = D.snapshot_diff(current, store.load(STATE_SCHEMA, version), expirable)
+        if not write:
+            return diff.filter("status is not null").select("internal_id", *D.KEY, "content_hash", "status")
+        done = store.commit(D.next_state(diff, at, version + 1), run_id, version + 1)
+    out = D.transitions(store.load(version=done), done)
+    if log_root:
+        append_observations(D.observations(out, F.lit(run_id), at), log_root, run_id)
+    return out
 
 
 def stream_runs(markers: DataFrame, read_run: Callable[[str], DataFrame], store: StateStore, checkpoint: str,
@@ -43,7 +50,7 @@ def stream_runs(markers: DataFrame, read_run: Callable[[str], DataFrame], store:
     """
     def fold(batch: DataFrame, _: int) -> None:
         for marker in batch.select("run_id", "run_at").distinct().orderBy("run_at", "run_id").toLocalIterator():
-            if not store.has_run(marker.run_id):
+            if not store.has_run(marker.run_id):  # a repeated marker reads nothing
                 fold_run(read_run(marker.run_id), store, marker.run_id, marker.run_at, log_root)
 
     return (
