@@ -196,17 +196,19 @@ def _two_best(rows: DataFrame, keys: list[str], best: Column) -> DataFrame:
         F.count("*").alias("offers"))
 
 
-def best_duplicates(roles: DataFrame, links: DataFrame) -> DataFrame:
+def best_duplicates(roles: DataFrame, links: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """Best-scoring duplicate of each posting: ``internal_id, duplicate_id, score``.
 
-    Ties go to the smallest id. A node offers at most two postings, the smallest
+    The duplicate comes from ``among`` (by default from ``roles`` itself); links
+    must cover both. Ties go to the smallest id. A node offers at most two postings, the smallest
     ids of two sources, so work is per node and link, never per pair of postings.
     """
     both = _reversed_too(links)
     picks = []
     for scope, url, _, _ in _KINDS:
         rows = _of_kind(roles, scope, url).select("internal_id", "source_id", "node", "url")
-        smallest = _two_best(rows, ["node", "url"], F.struct(F.col("internal_id").alias("id")))
+        pool = _of_kind(roles if among is None else among, scope, url)
+        smallest = _two_best(pool, ["node", "url"], F.struct(F.col("internal_id").alias("id")))
         offered = smallest.select(
             F.col("node").alias("node_b"), "url",
             F.explode(F.array_compact(F.array(
@@ -226,23 +228,32 @@ def best_duplicates(roles: DataFrame, links: DataFrame) -> DataFrame:
         "internal_id", F.col("best.id").alias("duplicate_id"), (-F.col("best.s")).alias("score"))
 
 
-def duplicates_of(new: DataFrame, existing: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """All duplicates of the ``new`` postings among ``existing``, ranked by score.
+def duplicates_of(new: DataFrame, existing: DataFrame, threshold: float = DEFAULT_THRESHOLD,
+                  max_pairs: int = 10_000_000) -> DataFrame:
+    """All duplicates of a few ``new`` postings among ``existing``, ranked by score.
 
-    This is the explicit pair list for a batch of new postings, so its size is
-    the number of pairs asked for. Use links for whole collections.
+    This is the explicit pair list, so its size is the number of pairs asked for.
+    The pairs are counted from the links before any is made; a request for more
+    than ``max_pairs`` is refused, never cut. Whole collections use links,
+    ``best_duplicates`` and ``duplicate_groups``.
     """
     n, e = with_role(new), with_role(existing)
     links = _reversed_too(duplicate_links(n.unionByName(e), threshold))
-    pairs = []
+    parts, sizes = [], []
     for scope, url, _, _ in _KINDS:
         wanted = links.filter((F.col("scope") == scope) & (F.col("via") == (url or "any")))
         left = _of_kind(n, scope, url).select(F.col("node").alias("node_a"), "url", "internal_id", F.col("source_id").alias("s"))
         right = _of_kind(e, scope, url).select(
             F.col("node").alias("node_b"), "url", F.col("internal_id").alias("duplicate_id"), F.col("source_id").alias("t"))
-        pairs.append(left.join(wanted, ["node_a", "url"]).join(right, ["node_b", "url"]).filter("s <> t")
+        size = left.groupBy("node_a", "url").agg(F.count("*").alias("x")).join(wanted, ["node_a", "url"]).join(
+            right.groupBy("node_b", "url").agg(F.count("*").alias("y")), ["node_b", "url"])
+        sizes.append(size.select((F.col("x") * F.col("y")).alias("pairs")))
+        parts.append(left.join(wanted, ["node_a", "url"]).join(right, ["node_b", "url"]).filter("s <> t")
                      .select("internal_id", "duplicate_id", "score"))
-    scored = reduce(DataFrame.unionByName, pairs).groupBy("internal_id", "duplicate_id").agg(F.max("score").alias("score"))
+    pairs = reduce(DataFrame.unionByName, sizes).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    if pairs > max_pairs:
+        raise ValueError(f"{pairs} pairs asked for; use links or best_duplicates")
+    scored = reduce(DataFrame.unionByName, parts).groupBy("internal_id", "duplicate_id").agg(F.max("score").alias("score"))
     rank = Window.partitionBy("internal_id").orderBy(F.col("score").desc(), "duplicate_id")
     return scored.withColumn("rank", F.row_number().over(rank))
 

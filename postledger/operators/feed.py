@@ -208,9 +208,9 @@ def _true_entries(tables: DataFrame, chunks: int) -> DataFrame:
     return begun.groupBy("super").applyInPandas(walk, "chunk long, entry long, base long")
 
 
-def message_header(generated_at: Column, counts: dict[str, Column], part: Column, total_parts: Column,
-                   included: Column, offered: Column, record_cap: int, watches_checked: Column,
-                   watches_changed: Column, title: str = MESSAGE_TITLE) -> Column:
+def message_header(generated_at: Column, counts: Column, part: Column, total_parts: Column, included: Column,
+                   offered: Column, record_cap: int, watches_checked: Column, watches_changed: Column,
+                   title: str = MESSAGE_TITLE) -> Column:
     """Header lines of one message. Records left out are always stated."""
     omitted = offered - included
     reason = F.when(included >= record_cap, F.lit("record cap")).otherwise(F.lit("body size limit"))
@@ -231,41 +231,36 @@ def message_header(generated_at: Column, counts: dict[str, Column], part: Column
     )
 
 
-def _counts(postings: DataFrame, failed_sources: int) -> dict[str, Column]:
-    count = lambda s: postings.agg(F.count_if(F.col("status") == s)).scalar()
-    return {
-        "total_active": postings.agg(F.count("*")).scalar(),
-        "new": count("new"), "changed": count("changed"), "expired": count("expired"),
-        "failed_sources": F.lit(failed_sources),
-    }
+def _message_rows(jobs: DataFrame, postings: DataFrame, watches: DataFrame, generated_at: Column, total_parts: Column,
+                  offered: Column | None, record_cap: int, failed_sources: int) -> DataFrame:
+    """Rows of all messages from job rows ``(part, pos, record)``.
 
-
-def _watch_text(watches: DataFrame) -> DataFrame:
-    """Reportable watch records as one text. The watch list is configuration."""
-    texts = watches.filter(reportable_watch(F.col("status"))).select("id", watch_record().alias("record"))
-    listed = F.array_sort(F.collect_list(F.struct("id", "record")))
-    return texts.agg(F.array_join(F.transform(listed, lambda w: w["record"]), "\n").alias("text"))
-
-
-def _bodies(batched: DataFrame, postings: DataFrame, watches: DataFrame, generated_at: Column, total_parts: Column,
-            offered: Column, record_cap: int, failed_sources: int) -> DataFrame:
-    """Bodies from records with ``part`` and ``pos``. A part holds at most
-    ``record_cap`` records, so gathering its texts is bounded."""
-    listed = F.array_sort(F.collect_list(F.struct("pos", "record")))
-    parts = batched.groupBy("part").agg(
-        F.count("*").alias("records"),
-        F.array_join(F.transform(listed, lambda r: r["record"]), "\n").alias("jobs"))
-    changed = watches.agg(F.count_if(F.col("status") == "changed")).scalar()
+    A message is its rows in the order of ``section, pos, key``: header, watched
+    pages (first message only, ahead of the postings), postings, footer. No text
+    is gathered into one value, so neither a long watch list nor a large part
+    meets in one row.
+    """
+    # counts come from one pass over the narrow columns of each input
+    counts = postings.agg(F.struct(
+        F.count("*").alias("total_active"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in ("new", "changed", "expired")],
+        F.lit(failed_sources).alias("failed_sources"))).scalar()
+    seen = watches.agg(F.struct(F.count("*").alias("checked"), F.count_if(F.col("status") == "changed").alias("changed"))).scalar()
     first = F.col("part") == 1
+    parts = jobs.groupBy("part").agg(F.count("*").alias("n"))
     header = message_header(
-        generated_at, _counts(postings, failed_sources), F.col("part"), total_parts, F.col("records"),
-        F.coalesce(offered, F.col("records")), record_cap,
-        F.when(first, watches.agg(F.count("*")).scalar()).otherwise(F.lit(0)),
-        F.when(first, changed).otherwise(F.lit(0)))
-    watch_text = F.when(first, F.nullif(_watch_text(watches).scalar(), F.lit("")))
-    return parts.select(
-        "part", total_parts.alias("total_parts"), "records",
-        F.concat_ws("\n", header, watch_text, F.col("jobs"), F.lit("=== END REPORT ===")).alias("body"))
+        generated_at, counts, F.col("part"), total_parts, F.col("n"), F.col("n") if offered is None else offered, record_cap,
+        F.when(first, seen["checked"]).otherwise(F.lit(0)), F.when(first, seen["changed"]).otherwise(F.lit(0)))
+    row = lambda section, pos, key, text: (
+        F.lit(section).alias("section"), pos.cast("long").alias("pos"), key.alias("key"), text.alias("text"))
+    none = F.lit("")
+    shown = watches.filter(reportable_watch(F.col("status")))
+    return (
+        parts.select("part", *row(0, F.lit(0), none, header))
+        .unionByName(shown.select(F.lit(1).cast("long").alias("part"), *row(1, F.lit(0), F.col("id"), watch_record())))
+        .unionByName(jobs.select("part", *row(2, F.col("pos"), none, F.col("record"))))
+        .unionByName(parts.select("part", *row(3, F.lit(0), none, F.lit("=== END REPORT ==="))))
+    )
 
 
 def single_message(postings: DataFrame, watches: DataFrame, generated_at: Column, include: str = "delta",
@@ -274,9 +269,9 @@ def single_message(postings: DataFrame, watches: DataFrame, generated_at: Column
     """The one message of a daily run: the records that fit, the rest counted."""
     records = feed_records(postings, include, max_chars)
     kept = fit_message(records, include, max_jobs, max_bytes).select(
-        F.lit(1).alias("part"), F.col("rank").alias("pos"), "record")
+        F.lit(1).cast("long").alias("part"), F.col("rank").alias("pos"), "record")
     offered = records.agg(F.count("*")).scalar()
-    return _bodies(kept, postings, watches, generated_at, F.lit(1), offered, max_jobs, failed_sources)
+    return _message_rows(kept, postings, watches, generated_at, F.lit(1), offered, max_jobs, failed_sources)
 
 
 def batch_messages(postings: DataFrame, watches: DataFrame, generated_at: Column, include: str = "all",
@@ -291,8 +286,19 @@ def batch_messages(postings: DataFrame, watches: DataFrame, generated_at: Column
         batches = batches.filter(F.col("batch") < max_parts)
     batches = cut_lineage(batches)
     total = batches.agg(F.max("batch") + 1).scalar()
-    batched = records.join(batches, "internal_id").select((F.col("batch") + 1).alias("part"), "pos", "record")
-    return _bodies(batched, postings, watches, generated_at, total, F.lit(None).cast("long"), max_jobs, failed_sources)
+    jobs = records.join(batches, "internal_id").select((F.col("batch") + 1).alias("part"), "pos", "record")
+    return _message_rows(jobs, postings, watches, generated_at, total, None, max_jobs, failed_sources)
+
+
+def message_bodies(rows: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """One text per message, for delivery of messages known to be small. A
+    message of more than ``max_rows`` rows is refused, never cut."""
+    if not rows.groupBy("part").count().filter(F.col("count") > max_rows).isEmpty():
+        raise ValueError(f"a message has more than {max_rows} rows; write its rows instead")
+    listed = F.array_sort(F.collect_list(F.struct("section", "pos", "key", "text")))
+    return rows.groupBy("part").agg(
+        F.count_if(F.col("section") == 2).alias("records"),
+        F.array_join(F.transform(listed, lambda r: r["text"]), "\n").alias("body"))
 
 
 def covered(postings_in_feed: DataFrame, batches: DataFrame, max_parts: int) -> DataFrame:

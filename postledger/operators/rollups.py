@@ -107,10 +107,10 @@ def collection_stats(enabled: DataFrame, runs: DataFrame, statistics: DataFrame)
     """One row for the run: sources and transitions. The three inputs are one-row
     aggregates, taken as scalar subqueries."""
     n = enabled.agg(F.count("*")).scalar()
-    ok = runs.agg(F.count_if(F.col("status") == "success")).scalar()
-    bad = runs.agg(F.count_if(F.col("status") != "success")).scalar()
+    r = runs.agg(F.struct(F.count_if(F.col("status") == "success").alias("ok"),
+                          F.count_if(F.col("status") != "success").alias("bad"))).scalar()
     return statistics.select(
-        n.alias("source_count"), ok.alias("successful_sources"), bad.alias("failed_sources"),
+        n.alias("source_count"), r["ok"].alias("successful_sources"), r["bad"].alias("failed_sources"),
         F.col("new").alias("new_count"), F.col("changed").alias("changed_count"), F.col("expired").alias("expired_count"),
     )
 

@@ -11,8 +11,8 @@ SALTS = 32
 
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str, spread: Column,
                 salts: int = SALTS) -> DataFrame:
-    """Equi join whose keys may be hot on the ``big`` side and are unique, or few,
-    on the ``small`` side.
+    """Equi join whose keys may be hot on the ``big`` side; ``small`` holds one row
+    per source or the like, so that repeating it is cheap.
 
     Rows of ``big`` spread over ``salts`` sub-keys by the hash of ``spread``;
     every row of ``small`` is repeated once per sub-key. Spark still broadcasts
@@ -27,12 +27,15 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str,
 
 
 def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
-                    spread: Column, salts: int = SALTS) -> DataFrame:
+                    spread: Column, salts: int | None = None) -> DataFrame:
     """First ``n`` rows of each group in ``order``; exact for hot groups.
 
     The winners of a group are among the winners of its salted parts, so the
-    last window sees at most ``n * salts`` rows per group.
+    last window sees at most ``n * salts`` rows per group. By default a group
+    spreads over as many parts as there are shuffle partitions, up to 1024.
     """
+    if salts is None:
+        salts = max(SALTS, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     salt = F.pmod(F.xxhash64(spread), F.lit(salts))
     part = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)

@@ -13,7 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # window groups of at most this many leading rows are trimmed before the shuffle
-    "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+    "spark.sql.optimizer.windowGroupLimitThreshold": "2000",
     # no call-site capture per column expression; it slows plan building
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -5,16 +5,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_messages(messages: DataFrame, path: str, subject: str = "Posting report") -> None:
-    """One row per message with its subject and body, ready for delivery."""
-    title = F.when(F.col("total_parts") > 1, F.format_string(f"{subject} -- part %d of %d (%d jobs)", "part", "total_parts", "records")
-                   ).otherwise(F.format_string(f"{subject} -- %d jobs", "records"))
-    messages.select("part", "total_parts", title.alias("subject"), "body").write.mode("overwrite").parquet(path)
+def write_messages(rows: DataFrame, path: str) -> None:
+    """Text of each message under ``part=N``; its files in name order are the
+    message. Rows are range-partitioned, so a long message spans several files."""
+    order = ["part", "section", "pos", "key"]
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_rows.select("part", "text").write.mode("overwrite").partitionBy("part").text(path)
 
 
-def write_message_text(messages: DataFrame, path: str) -> None:
-    """Message bodies as text, one folder per part (for feeds of few parts)."""
-    messages.select("part", "body").repartition("part").write.mode("overwrite").partitionBy("part").text(path)
+def write_mail(bodies: DataFrame, path: str, subject: str = "Posting report") -> None:
+    """One row per message with subject and body, from ``message_bodies``."""
+    total = bodies.agg(F.count("*")).scalar()
+    title = F.when(total > 1, F.format_string(f"{subject} -- part %d of %d (%d jobs)", "part", total, "records")).otherwise(
+        F.format_string(f"{subject} -- %d jobs", "records"))
+    bodies.select("part", title.alias("subject"), "body").write.mode("overwrite").parquet(path)
 
 
 def write_registry(outcomes: DataFrame, path: str) -> None:

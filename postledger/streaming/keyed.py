@@ -1,4 +1,8 @@
-"""Per-key status of arriving postings and pages, with kept state."""
+"""Per-key status of arriving postings and pages, with kept state.
+
+A key's rows of one micro-batch are ordered in memory. Sources bound the batch
+(``maxFilesPerTrigger``), which bounds what even a very frequent key can hold.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame

@@ -73,12 +73,13 @@ def already_known(spark, sf):
   q AS (SELECT a.id AS internal_id, b.id AS duplicate_id, round(30 + 40 * (CASE WHEN a.title = b.title THEN 1.0 ELSE {_LEV.format('a.title', 'b.title')} END)
       + CASE WHEN a.place = b.place THEN 20 ELSE 0 END + CASE WHEN a.apply_url = b.apply_url THEN 10 WHEN a.source_url = b.source_url THEN 9 ELSE 0 END, 6) / 100 AS score
     FROM n a JOIN e b ON a.company_name = b.company_name AND a.source_id <> b.source_id)
-  SELECT *, row_number() OVER (PARTITION BY internal_id ORDER BY score DESC, duplicate_id) AS rank FROM q WHERE score >= 0.8""")
+  SELECT internal_id, duplicate_id, score FROM (SELECT *, row_number() OVER (PARTITION BY internal_id ORDER BY score DESC, duplicate_id) AS rank FROM q WHERE score >= 0.8) WHERE rank = 1""")
 def duplicates_of_new(spark, sf):
-    """All ranked duplicates of the postings that are new in the run."""
+    """Best known duplicate of each posting that is new in the run."""
     state = previous_state(spark, sf)
     new = current_postings(spark, sf).join(state.select("source_id", "source_job_id"), ["source_id", "source_job_id"], "left_anti")
     with_id = new.withColumn("internal_id", F.concat_ws("#", "source_id", "source_job_id"))
-    return D.duplicates_of(with_id, state)
+    fresh, known = D.with_role(with_id), D.with_role(state)
+    return D.best_duplicates(fresh, D.duplicate_links(fresh.unionByName(known)), known)
 
 

@@ -86,22 +86,28 @@ _OMITTED = """CASE WHEN {0} > 0 THEN 'records_omitted: ' || {0} || ' (' || CASE
   '; ordered new-first, so omitted records are the lowest priority)' || chr(10) ELSE '' END"""
 
 
-@query("feed_message", _SIZED + f", {_FIT}, {_WATCHES} SELECT CAST(1 AS INT) AS part, count(*) AS records, sha256(" + _header(
+def _rows_sql(parts, jobs):
+    return f"""SELECT part, 0 AS section, 0 AS pos, '' AS key, sha256(header) AS digest FROM {parts} UNION ALL SELECT 1, 1, 0, id, sha256(record) FROM v_watch
+  UNION ALL SELECT part, 2, pos, '', sha256(record) FROM {jobs} UNION ALL SELECT part, 3, 0, '', sha256('=== END REPORT ===') FROM {parts}"""
+
+
+def _digests(rows):
+    return rows.select("part", "section", "pos", "key", F.sha2("text", 256).alias("digest"))
+
+
+@query("feed_message", _SIZED + f", {_FIT}, {_WATCHES}, m AS (SELECT 1 AS part, " + _header(
     "1", "1", "count(*)", _OMITTED.format("((SELECT count(*) FROM v_all WHERE status IN ('new', 'changed')) - count(*))"),
-    "(SELECT count(*) FROM pages)", _CHANGED) + """ || chr(10) || (SELECT string_agg(record, chr(10) ORDER BY id) FROM v_watch) || chr(10)
-  || string_agg(record, chr(10) ORDER BY rank) || chr(10) || '=== END REPORT ===') AS digest FROM v_fit""")
+    "(SELECT count(*) FROM pages)", _CHANGED) + " AS header FROM v_fit), j AS (SELECT 1 AS part, rank AS pos, record FROM v_fit) " + _rows_sql("m", "j"))
 def feed_message(spark, sf):
-    m = feed.single_message(all_postings(spark, sf), _watches(spark, sf), F.lit(RUN_AT).cast("timestamp_ntz"), failed_sources=2)
-    return m.select("part", "records", F.sha2("body", 256).alias("digest"))
+    return _digests(feed.single_message(all_postings(spark, sf), _watches(spark, sf), F.lit(RUN_AT).cast("timestamp_ntz"), failed_sources=2))
 
 
-@query("feed_parts", _SIZED.replace("WITH ", "WITH RECURSIVE ", 1) + f", {_BATCHES}, {_WATCHES} SELECT batch + 1 AS part, count(*) AS records, sha256(" + _header(
+@query("feed_parts", _SIZED.replace("WITH ", "WITH RECURSIVE ", 1) + f", {_BATCHES}, {_WATCHES}, m AS (SELECT batch + 1 AS part, " + _header(
     "(batch + 1)", "(SELECT max(batch) + 1 FROM walk)", "count(*)", "''", "CASE WHEN batch = 0 THEN (SELECT count(*) FROM pages) ELSE 0 END",
-    f"CASE WHEN batch = 0 THEN {_CHANGED} ELSE 0 END") + """ || chr(10) || CASE WHEN batch = 0 THEN (SELECT string_agg(record, chr(10) ORDER BY id) FROM v_watch) || chr(10) ELSE '' END
-  || string_agg(record, chr(10) ORDER BY pos) || chr(10) || '=== END REPORT ===') AS digest FROM o JOIN walk USING (pos) GROUP BY batch""")
+    f"CASE WHEN batch = 0 THEN {_CHANGED} ELSE 0 END") + " AS header FROM walk GROUP BY batch), j AS (SELECT batch + 1 AS part, pos, record FROM o JOIN walk USING (pos)) "
+       + _rows_sql("m", "j"))
 def feed_parts(spark, sf):
-    m = feed.batch_messages(all_postings(spark, sf), _watches(spark, sf), F.lit(RUN_AT).cast("timestamp_ntz"), failed_sources=2)
-    return m.select("part", "records", F.sha2("body", 256).alias("digest"))
+    return _digests(feed.batch_messages(all_postings(spark, sf), _watches(spark, sf), F.lit(RUN_AT).cast("timestamp_ntz"), failed_sources=2))
 
 
 @query("json_report_rows", SQL_ALL + """ SELECT status, source_type AS source, source_job_id AS source_id, company_name AS company, title, location, employment_type,

@@ -24,7 +24,8 @@ def _folder(spark, name: str) -> str:
 
 def _stream(spark, sf: str, name: str) -> DataFrame:
     # the pattern works for a table that is one file as well as for a folder
-    return spark.readStream.schema(spark.read.parquet(f"{sf}/{name}.parquet").schema).parquet(f"{sf}/{name}.parque[t]")
+    reader = spark.readStream.schema(spark.read.parquet(f"{sf}/{name}.parquet").schema).option("maxFilesPerTrigger", 256)
+    return reader.parquet(f"{sf}/{name}.parque[t]")
 
 
 def _run(out: DataFrame) -> DataFrame:

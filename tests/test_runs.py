@@ -142,7 +142,8 @@ def test_reports_and_messages(spark, tmp_path):
     text = "\n".join(r.value for f in sorted((tmp_path / "out" / "latest_report").glob("part-*")) for r in spark.read.text(str(f)).collect())
     assert text.startswith("# Job Collection Report") and "## New Austin-Area Technical Jobs (4)" in text and "## Other New Jobs (3)" in text
     assert (tmp_path / "out" / "archive" / "dt=2024-05-01").exists()
-    body = spark.read.parquet(str(tmp_path / "out" / "messages")).first().body
+    parts = sorted((tmp_path / "out" / "messages" / "part=1").glob("part-*"))
+    body = "\n".join(r.value for f in parts for r in spark.read.text(str(f)).collect())
     ids, inside = [], None
     for line in body.split("\n"):  # a reader of the records
         if line == "JOB":
@@ -167,12 +168,13 @@ def test_message_limits_are_counted(spark):
     postings = all_postings(spark, "/root/testdata/sf0.001").cache()
     none = spark.createDataFrame([], "id string, name string, url string, status string, added_text string, keywords_found array<string>, last_changed_at timestamp_ntz, error string")
     offered = postings.filter("status in ('new', 'changed')").count()
-    capped = feed.single_message(postings, none, F.lit(T0), max_jobs=4).first().body
+    capped = feed.message_bodies(feed.single_message(postings, none, F.lit(T0), max_jobs=4)).first().body
     assert f"records_included: 4\nrecords_omitted: {offered - 4} (record cap;" in capped
-    tight = feed.single_message(postings, none, F.lit(T0), max_bytes=500).first().body
+    tight = feed.message_bodies(feed.single_message(postings, none, F.lit(T0), max_bytes=500)).first().body
     assert f"records_included: 1\nrecords_omitted: {offered - 1} (body size limit;" in tight
-    parts = feed.batch_messages(postings, none, F.lit(T0), "all", max_bytes=20_000).collect()
-    assert sum(p.records for p in parts) == postings.count() and all(p.total_parts == len(parts) for p in parts)
+    parts = feed.message_bodies(feed.batch_messages(postings, none, F.lit(T0), "all", max_bytes=20_000)).collect()
+    assert sum(p.records for p in parts) == postings.count()
+    assert all(f"part: {p.part} of {len(parts)}\n" in p.body and len(p.body.encode()) <= 20_000 for p in parts)
     postings.unpersist()
 
 
