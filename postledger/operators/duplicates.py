@@ -107,7 +107,9 @@ def similar_titles(items: DataFrame, block: list[str], min_similarity: float) ->
         .withColumn("grams", _grams(F.col("title"), q))
         .select(*block, "item", "title", "s_min", "s_max", _tokens(F.col("grams"), q).alias("tokens"))
         .withColumn("prefix", F.slice("tokens", F.lit(1), F.greatest(prefix_size, F.lit(0)).cast("int")))
-        .select(*block, "item", "title", "s_min", "s_max", "prefix", F.explode("prefix").alias("token"))
+        # the outer form keeps the optimizer from computing the groups again in a
+        # filter below; a title without groups gets a null token, which joins nothing
+        .select(*block, "item", "title", "s_min", "s_max", "prefix", F.explode_outer("prefix").alias("token"))
     )
 
     def side(name: str) -> DataFrame:

@@ -29,21 +29,17 @@ def build_session(app: str = "postledger", master: str | None = None, **extra: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
+    """This application's folder under ``spark.checkpoint.dir``.
 
-    A cluster sets it to shared storage. Only when it is unset (a test on one
-    machine) is a temporary folder made and used.
+    A cluster sets that to shared storage; the folder can be removed when the
+    application is done. Only when it is unset (a test on one machine) is a
+    temporary folder made and used.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
         folder = tempfile.mkdtemp(prefix="postledger-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

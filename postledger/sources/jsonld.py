@@ -33,13 +33,13 @@ def _plain(v: Column, path: str) -> Column:
 
 def jsonld_blocks(pages: DataFrame, html: str = "body") -> DataFrame:
     """Parsed script blocks of each page; blocks that do not parse are skipped."""
-    blocks = F.regexp_extract_all(F.col(html), F.lit(_BLOCK), F.lit(1))
+    found = F.regexp_extract_all(F.col(html), F.lit(_BLOCK), F.lit(1))
+    numbered = F.transform(found, lambda text, i: F.struct(i.alias("block_no"), F.try_parse_json(text).alias("block")))
+    parsed = F.filter(numbered, lambda b: b["block"].isNotNull())
     cols = [c for c in pages.columns if c != html]
-    return (
-        pages.select(*cols, F.posexplode(blocks).alias("block_no", "block"))
-        .withColumn("block", F.try_parse_json("block"))
-        .filter(F.col("block").isNotNull())
-    )
+    # outer, so that no second pass over the page is made for a size filter
+    exploded = pages.select(*cols, F.explode_outer(parsed).alias("b")).filter(F.col("b").isNotNull())
+    return exploded.select(*cols, "b.block_no", "b.block")
 
 
 def expand_blocks(blocks: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def expand_blocks(blocks: DataFrame) -> DataFrame:
     )
     cols = [c for c in blocks.columns if c != "block"]
     return (
-        blocks.select(*cols, F.posexplode(items).alias("item_no", "item"))
+        blocks.select(*cols, F.posexplode_outer(items).alias("item_no", "item"))
         .filter(is_posting(F.col("item")))
     )
 

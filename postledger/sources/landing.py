@@ -57,8 +57,9 @@ def json_elements(pages: DataFrame, array_path: str | None, element: str, retain
         items = F.from_json(body, f"array<{item}>")
     rows = pages.select(
         "run_id", "fetched_at", "company_id", "source_type", "source_key", "options",
-        F.posexplode(items).alias("pos", "item"),
-    )
+        # an inner explode would parse the body a second time, for a size filter
+        F.posexplode_outer(items).alias("pos", "item"),
+    ).filter(F.col("pos").isNotNull())
     if retain_raw:
         keep = F.when(option_is_on("store_raw"), F.col("item"))
         return rows.withColumn("raw", keep).withColumn("j", F.from_json("item", element)).drop("item")

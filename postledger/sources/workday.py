@@ -43,7 +43,7 @@ def search_summaries(landing: DataFrame) -> DataFrame:
     """One summary per posting path; the first search term and page wins."""
     rows = search_pages(landing).select(
         *SOURCE, "fetched_at", "options", F.coalesce("term_ord", F.lit(0)).alias("term_ord"), "page_seq",
-        F.posexplode("page.jobPostings").alias("pos", "summary"),
+        F.posexplode_outer("page.jobPostings").alias("pos", "summary"),
     ).filter(F.coalesce(F.col("summary.externalPath"), F.lit("")) != "")
     first = F.min_by(F.struct("summary", "fetched_at", "options"), F.struct("term_ord", "page_seq", "pos"))
     return (
@@ -90,8 +90,9 @@ def details(landing: DataFrame) -> DataFrame:
     return (
         responses(landing, "workday", "detail")
         .select(*SOURCE, F.col("request_path").alias("path"), info.alias("detail"), "page_seq")
+        .groupBy(*SOURCE, "path")
+        .agg(F.max_by("detail", F.when(F.col("detail").isNotNull(), F.col("page_seq"))).alias("detail"))
         .filter(F.col("detail").isNotNull())
-        .groupBy(*SOURCE, "path").agg(F.max_by("detail", "page_seq").alias("detail"))
     )
 
 
