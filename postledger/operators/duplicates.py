@@ -17,8 +17,6 @@ groups.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,32 +61,25 @@ def with_role(postings: DataFrame) -> DataFrame:
     }))
 
 
-def _grams(title: Column, q: int) -> Column:
-    n = F.length(title) - q + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(title, i, F.lit(q)))).otherwise(
-        F.array().cast("array<string>"))
-
-
-def _tokens(grams: Column, q: int) -> Column:
+def _tokens(grams: Column) -> Column:
     """Character groups with their occurrence number, rarest first. ``grams`` is
     a stored column, so the lambdas below do not compute it again."""
     def token(g: Column, i: Column) -> Column:
         nth = F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g))
-        rarity = F.instr(F.lit(_RARE_FIRST), F.substring(g, 1, 1))
-        for k in range(2, q + 1):
-            rarity = rarity + F.instr(F.lit(_RARE_FIRST), F.substring(g, k, 1))
+        rarity = F.instr(F.lit(_RARE_FIRST), F.substring(g, 1, 1)) + F.instr(F.lit(_RARE_FIRST), F.substring(g, 2, 1))
         return F.struct((rarity - nth * 30).alias("rank"), F.concat(g, nth.cast("string")).alias("token"))
 
     return F.transform(F.array_sort(F.transform(grams, token)), lambda t: t["token"])
 
 
-def similar_titles(items: DataFrame, block: list[str], min_similarity: float) -> DataFrame:
+def similar_titles(items: DataFrame, block: list[str]) -> DataFrame:
     """Pairs of different titles within equal ``block`` columns whose similarity
-    is at least ``min_similarity``. Lossless.
+    is at least ``low``. Lossless.
 
-    ``items`` has ``item``, ``title``, the block columns and the range of its
-    sources ``s_min, s_max``; pairs that hold only one source are left out.
-    Returns the block columns and ``a, b, similarity`` with ``a < b``.
+    ``items`` has ``item``, ``title``, the block columns, ``low`` (equal within a
+    block) and the range of its sources ``s_min, s_max``; pairs that hold only
+    one source are left out. Returns the block columns and ``a, b, similarity``
+    with ``a < b``.
 
     Titles within an edit distance d share all but q*d of their q-character
     groups, so two similar titles must share one of the rarest groups of each
@@ -97,33 +88,40 @@ def similar_titles(items: DataFrame, block: list[str], min_similarity: float) ->
     still hot. Candidates are verified inside the join, and a pair is made only
     at its first shared group, so no pair is made twice.
     """
-    q = 2 if min_similarity >= 0.75 else 1
-    length = F.length("title")
+    length, low = F.length("title"), F.col("low")
+    # pairs of characters are selective, but exist in number only for close titles
+    q = F.when(low >= 0.75, F.lit(2)).otherwise(F.lit(1))
+    n = length - F.col("q") + 1
+    grams = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("title"), i, F.col("q")))).otherwise(
+        F.array().cast("array<string>"))
     # smallest number of shared groups over all lengths a partner can have
-    shared = F.ceil(length * (1 - q * (1 - min_similarity)) - (q - 1) - 1e-9)
+    shared = F.ceil(length * (1 - F.col("q") * (1 - low)) - (F.col("q") - 1) - 1e-9)
     prefix_size = F.size("tokens") - F.greatest(shared, F.lit(1)) + 1
+    own = ("item", "title", "low", "s_min", "s_max")
     keyed = (
-        items.filter(length > 0)
-        .withColumn("grams", _grams(F.col("title"), q))
-        .select(*block, "item", "title", "s_min", "s_max", _tokens(F.col("grams"), q).alias("tokens"))
+        items.filter(length > 0).withColumn("q", q).withColumn("grams", grams)
+        .select(*block, *own, "q", _tokens(F.col("grams")).alias("tokens"))
         .withColumn("prefix", F.slice("tokens", F.lit(1), F.greatest(prefix_size, F.lit(0)).cast("int")))
         # the outer form keeps the optimizer from computing the groups again in a
         # filter below; a title without groups gets a null token, which joins nothing
-        .select(*block, "item", "title", "s_min", "s_max", "prefix", F.explode_outer("prefix").alias("token"))
+        .select(*block, *own, "prefix", F.explode_outer("prefix").alias("token"))
     )
 
     def side(name: str) -> DataFrame:
-        own = ("item", "title", "s_min", "s_max", "prefix")
-        return keyed.select(*block, "token", *[F.col(c).alias(f"{c}_{name}") for c in own])
+        return keyed.select(*block, "token", *[F.col(c).alias(f"{c}_{name}") for c in (*own, "prefix")])
 
     la, lb = F.length("title_a"), F.length("title_b")
-    allowed = F.floor(F.greatest(la, lb) * (1 - min_similarity) + 1e-9).cast("int")
+    allowed = F.floor(F.greatest(la, lb) * (1 - F.col("low_a")) + 1e-9).cast("int")
+    # coalesce keeps the optimizer from inferring a not-null filter on the prefix,
+    # which it would push down as a second computation of all groups
+    prefix_of = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    first_shared = F.coalesce(F.get(F.array_intersect(prefix_of("prefix_a"), prefix_of("prefix_b")), 0), F.lit(""))
     candidates = side("a").join(side("b"), [*block, "token"]).filter(
         (F.col("item_a") < F.col("item_b"))
         & (F.least("s_min_a", "s_min_b") != F.greatest("s_max_a", "s_max_b"))
         & (F.col("title_a") != F.col("title_b"))
-        & (F.least(la, lb) >= F.greatest(la, lb) * min_similarity - 1e-9)
-        & (F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("token"))
+        & (F.least(la, lb) >= F.greatest(la, lb) * F.col("low_a") - 1e-9)
+        & (first_shared == F.col("token"))
     )
     near = candidates.filter(F.levenshtein("title_a", "title_b") <= allowed)
     return near.select(*block, F.col("item_a").alias("a"), F.col("item_b").alias("b"),
@@ -135,20 +133,36 @@ def _needed_title(threshold: float, location_points: int, url_points: int) -> fl
     return round((threshold * 100 - COMPANY_POINTS - location_points - url_points) / TITLE_POINTS, 9)
 
 
-# Kinds of link: (scope, URL column or None, points of the place, points of the URL).
+# Kinds of link: (scope, URL column or "any", points of the place, points of the URL).
 # Jobs differ in place, so they need a shared URL to reach any allowed threshold.
 _KINDS = (
-    ("role", None, LOCATION_POINTS, 0),
+    ("role", "any", LOCATION_POINTS, 0),
     ("role", "apply_url", LOCATION_POINTS, APPLY_URL_POINTS),
     ("role", "source_url", LOCATION_POINTS, SOURCE_URL_POINTS),
     ("job", "apply_url", 0, APPLY_URL_POINTS),
     ("job", "source_url", 0, SOURCE_URL_POINTS),
 )
+_UNIT = ["scope", "via", "node", "url"]
+
 
+def _per_kind(rows: DataFrame, *cols: str) -> DataFrame:
+    """``cols`` of each row once per kind of link, with the unit it belongs to: its
+    role or job as ``node``, and the shared ``url`` (empty if any will do)."""
+    units = F.array(*[
+        F.struct(F.lit(scope).alias("scope"), F.lit(via).alias("via"), F.col(scope).alias("node"),
+                 (F.lit("") if via == "any" else F.col(via)).alias("url"))
+        for scope, via, _, _ in _KINDS
+    ])
+    return rows.select(*cols, F.explode(units).alias("k")).select(*cols, "k.*")
 
-def _of_kind(rows: DataFrame, scope: str, url: str | None) -> DataFrame:
-    """Postings keyed by ``node`` (role or job) and ``url`` (empty if unused)."""
-    return rows.withColumns({"node": F.col(scope), "url": F.lit("") if url is None else F.col(url)})
+
+def _by_kind(values: list) -> Column:
+    """The value that belongs to a row's kind; null where the value is None."""
+    chain = None
+    for (scope, via, _, _), value in zip(_KINDS, values):
+        test = (F.col("scope") == scope) & (F.col("via") == via)
+        chain = F.when(test, F.lit(value)) if chain is None else chain.when(test, F.lit(value))
+    return chain
 
 
 def _reversed_too(links: DataFrame) -> DataFrame:
@@ -162,29 +176,28 @@ def duplicate_links(roles: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> D
 
     ``via`` is ``any`` (all postings of both nodes), ``apply_url`` or
     ``source_url`` (those that share ``url``). Company equality is necessary
-    above 0.7; lower thresholds are refused.
+    above 0.7; lower thresholds are refused. All kinds go through one grouping
+    and one join.
     """
     if not 0.7 < threshold <= 1:
         raise ValueError("threshold must be above 0.7 and at most 1")
-    parts = []
-    for scope, url, place_points, url_points in _KINDS:
-        needed = _needed_title(threshold, place_points, url_points)
-        if needed > 1:
-            continue
-        block = ["company", *(["place"] if scope == "role" else []), "url"]
-        # two units hold different sources exactly when their joint range is not one value
-        units = _of_kind(roles, scope, url).groupBy("node", "title", *block).agg(
-            F.min("source_id").alias("s_min"), F.max("source_id").alias("s_max"))
-        found = units.filter("s_min <> s_max").select(
-            F.col("node").alias("node_a"), F.col("node").alias("node_b"), "url", F.lit(1.0).alias("similarity"))
-        if needed < 1:
-            near = similar_titles(units.withColumnRenamed("node", "item"), block, max(needed, 0.0))
-            found = found.unionByName(near.select(F.col("a").alias("node_a"), F.col("b").alias("node_b"), "url", "similarity"))
-        points = score(F.lit(True), F.col("similarity"), F.lit(place_points > 0),
-                       F.lit(url == "apply_url"), F.lit(url == "source_url"))
-        parts.append(found.select(F.lit(scope).alias("scope"), "node_a", "node_b",
-                                  F.lit(url or "any").alias("via"), "url", points.alias("score")))
-    return cut_lineage(reduce(DataFrame.unionByName, parts))
+    needed = [_needed_title(threshold, place, url) for _, _, place, url in _KINDS]
+    low = _by_kind([max(x, 0.0) if x <= 1 else None for x in needed])
+    place = F.when(F.col("scope") == "role", F.col("place")).otherwise(F.lit(""))
+    block = ["scope", "via", "company", "area", "url"]
+    # two units hold different sources exactly when their joint range is not one value
+    units = (
+        _per_kind(roles, "source_id", "company", "title", "place").withColumn("area", place).withColumn("low", low)
+        .filter("low is not null").groupBy(*block, "node", "title", "low")
+        .agg(F.min("source_id").alias("s_min"), F.max("source_id").alias("s_max"))
+    )
+    alone = units.filter("s_min <> s_max").select(
+        *block, F.col("node").alias("node_a"), F.col("node").alias("node_b"), F.lit(1.0).alias("similarity"))
+    near = similar_titles(units.filter("low < 1").withColumnRenamed("node", "item"), block).select(
+        *block, F.col("a").alias("node_a"), F.col("b").alias("node_b"), "similarity")
+    points = score(F.lit(True), F.col("similarity"), F.col("scope") == "role", F.col("via") == "apply_url",
+                   F.col("via") == "source_url")
+    return cut_lineage(alone.unionByName(near).select("scope", "node_a", "node_b", "via", "url", points.alias("score")))
 
 
 def _two_best(rows: DataFrame, keys: list[str], best: Column) -> DataFrame:
@@ -205,28 +218,22 @@ def best_duplicates(roles: DataFrame, links: DataFrame, among: DataFrame | None
     must cover both. Ties go to the smallest id. A node offers at most two postings, the smallest
     ids of two sources, so work is per node and link, never per pair of postings.
     """
-    both = _reversed_too(links)
-    picks = []
-    for scope, url, _, _ in _KINDS:
-        rows = _of_kind(roles, scope, url).select("internal_id", "source_id", "node", "url")
-        pool = _of_kind(roles if among is None else among, scope, url)
-        smallest = _two_best(pool, ["node", "url"], F.struct(F.col("internal_id").alias("id")))
-        offered = smallest.select(
-            F.col("node").alias("node_b"), "url",
-            F.explode(F.array_compact(F.array(
-                F.struct(F.col("first.id").alias("id"), F.col("first_source").alias("source_id")),
-                F.when(F.col("offers") > 1, F.struct(F.col("second.id").alias("id"), F.col("second_source").alias("source_id"))),
-            ))).alias("o"))
-        wanted = both.filter((F.col("scope") == scope) & (F.col("via") == (url or "any")))
-        offers = wanted.join(offered, ["node_b", "url"]).select(
-            F.col("node_a").alias("node"), "url", "score", "o.id", "o.source_id")
-        best = _two_best(offers, ["node", "url"], F.struct((-F.col("score")).alias("s"), F.col("id").alias("id")))
-        other = F.when(F.col("first_source") != F.col("source_id"), F.col("first")).when(
-            F.col("offers") > 1, F.col("second"))
-        # a node with very many postings is split by AQE; ``best`` has one row per node
-        picks.append(rows.join(best, ["node", "url"]).select("internal_id", other.alias("best")).filter("best is not null"))
-    every = reduce(DataFrame.unionByName, picks)
-    return every.groupBy("internal_id").agg(F.min("best").alias("best")).select(
+    rows = _per_kind(roles, "internal_id", "source_id")
+    pool = rows if among is None else _per_kind(among, "internal_id", "source_id")
+    smallest = _two_best(pool, _UNIT, F.struct(F.col("internal_id").alias("id")))
+    offered = smallest.select(
+        "scope", "via", F.col("node").alias("node_b"), "url",
+        F.explode(F.array_compact(F.array(
+            F.struct(F.col("first.id").alias("id"), F.col("first_source").alias("source_id")),
+            F.when(F.col("offers") > 1, F.struct(F.col("second.id").alias("id"), F.col("second_source").alias("source_id"))),
+        ))).alias("o"))
+    offers = _reversed_too(links).join(offered, ["scope", "via", "node_b", "url"]).select(
+        "scope", "via", F.col("node_a").alias("node"), "url", "score", "o.id", "o.source_id")
+    best = _two_best(offers, _UNIT, F.struct((-F.col("score")).alias("s"), F.col("id").alias("id")))
+    other = F.when(F.col("first_source") != F.col("source_id"), F.col("first")).when(F.col("offers") > 1, F.col("second"))
+    # ``best`` has one row per unit; AQE splits a unit with very many postings
+    picks = rows.join(best, _UNIT).select("internal_id", other.alias("best")).filter("best is not null")
+    return picks.groupBy("internal_id").agg(F.min("best").alias("best")).select(
         "internal_id", F.col("best.id").alias("duplicate_id"), (-F.col("best.s")).alias("score"))
 
 
@@ -241,21 +248,18 @@ def duplicates_of(new: DataFrame, existing: DataFrame, threshold: float = DEFAUL
     """
     n, e = with_role(new), with_role(existing)
     links = _reversed_too(duplicate_links(n.unionByName(e), threshold))
-    parts, sizes = [], []
-    for scope, url, _, _ in _KINDS:
-        wanted = links.filter((F.col("scope") == scope) & (F.col("via") == (url or "any")))
-        left = _of_kind(n, scope, url).select(F.col("node").alias("node_a"), "url", "internal_id", F.col("source_id").alias("s"))
-        right = _of_kind(e, scope, url).select(
-            F.col("node").alias("node_b"), "url", F.col("internal_id").alias("duplicate_id"), F.col("source_id").alias("t"))
-        size = left.groupBy("node_a", "url").agg(F.count("*").alias("x")).join(wanted, ["node_a", "url"]).join(
-            right.groupBy("node_b", "url").agg(F.count("*").alias("y")), ["node_b", "url"])
-        sizes.append(size.select((F.col("x") * F.col("y")).alias("pairs")))
-        parts.append(left.join(wanted, ["node_a", "url"]).join(right, ["node_b", "url"]).filter("s <> t")
-                     .select("internal_id", "duplicate_id", "score"))
-    pairs = reduce(DataFrame.unionByName, sizes).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    left = _per_kind(n, "internal_id", "source_id").select(
+        "scope", "via", F.col("node").alias("node_a"), "url", "internal_id", F.col("source_id").alias("s"))
+    right = _per_kind(e, "internal_id", "source_id").select(
+        "scope", "via", F.col("node").alias("node_b"), "url", F.col("internal_id").alias("duplicate_id"), F.col("source_id").alias("t"))
+    on_a, on_b = ["scope", "via", "node_a", "url"], ["scope", "via", "node_b", "url"]
+    sizes = links.join(left.groupBy(*on_a).agg(F.count("*").alias("x")), on_a).join(
+        right.groupBy(*on_b).agg(F.count("*").alias("y")), on_b)
+    pairs = sizes.agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0))).first()[0]
     if pairs > max_pairs:
         raise ValueError(f"{pairs} pairs asked for; use links or best_duplicates")
-    scored = reduce(DataFrame.unionByName, parts).groupBy("internal_id", "duplicate_id").agg(F.max("score").alias("score"))
+    scored = left.join(links, on_a).join(right, on_b).filter("s <> t").groupBy("internal_id", "duplicate_id").agg(
+        F.max("score").alias("score"))
     rank = Window.partitionBy("internal_id").orderBy(F.col("score").desc(), "duplicate_id")
     return scored.withColumn("rank", F.row_number().over(rank))
 
@@ -269,16 +273,11 @@ def _edges(profiles: DataFrame, links: DataFrame) -> DataFrame:
     """Edges that connect exactly the linked postings: each linked node to its
     profiles, and linked nodes to each other. Profiles sort before nodes, so the
     smallest label of a component is its smallest posting id."""
-    edges = []
-    for scope, url, _, _ in _KINDS:
-        some = links.filter((F.col("scope") == scope) & (F.col("via") == (url or "any")))
-        name = lambda node: F.concat(F.lit(f"z:{scope}:{url}:"), node, F.lit(":"), F.col("url"))  # noqa: B023,E731
-        edges.append(some.filter("node_a <> node_b").select(
-            name(F.col("node_a")).alias("u"), name(F.col("node_b")).alias("v")))
-        live = some.select(F.explode(F.array("node_a", "node_b")).alias("node"), "url").distinct()
-        members = _of_kind(profiles, scope, url).select("node", "url", "profile").join(live, ["node", "url"], "left_semi")
-        edges.append(members.select(name(F.col("node")).alias("u"), F.concat(F.lit("p:"), "profile").alias("v")))
-    return reduce(DataFrame.unionByName, edges)
+    name = lambda node: F.concat_ws(":", F.lit("z"), "scope", "via", node, "url")
+    across = links.filter("node_a <> node_b").select(name("node_a").alias("u"), name("node_b").alias("v"))
+    live = links.select("scope", "via", F.explode(F.array("node_a", "node_b")).alias("node"), "url").distinct()
+    members = _per_kind(profiles, "profile").join(live, _UNIT, "left_semi")
+    return across.unionByName(members.select(name("node").alias("u"), F.concat(F.lit("p:"), "profile").alias("v")))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -93,10 +93,12 @@ def test_best_and_groups_equal_brute_force(spark):
 def test_similar_titles_lossless(spark):
     rnd = random.Random(5)
     titles = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9))) for _ in range(150)})
-    items = spark.createDataFrame([(t, "k", t, "s", "t") for t in titles],
-                                  "item string, k string, title string, s_min string, s_max string")
-    for low in (0.5, 0.525, 0.625, 0.75, 0.9):
-        got = {(r.a, r.b) for r in D.similar_titles(items, ["k"], low).collect()}
+    lows = (0.25, 0.5, 0.525, 0.625, 0.75, 0.9)
+    items = spark.createDataFrame([(t, low, t, low, "s", "t") for t in titles for low in lows],
+                                  "item string, k double, title string, low double, s_min string, s_max string")
+    rows = D.similar_titles(items, ["k"]).collect()
+    for low in lows:
+        got = {(r.a, r.b) for r in rows if r.k == low}
         want = {(a, b) for a in titles for b in titles if a < b and _sim(a, b) >= low - 1e-9}
         assert got == want, low
 
