@@ -61,15 +61,18 @@ def with_role(postings: DataFrame) -> DataFrame:
     }))
 
 
-def _tokens(grams: Column) -> Column:
-    """Character groups with their occurrence number, rarest first. ``grams`` is
-    a stored column, so the lambdas below do not compute it again."""
-    def token(g: Column, i: Column) -> Column:
-        nth = F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g))
-        rarity = F.instr(F.lit(_RARE_FIRST), F.substring(g, 1, 1)) + F.instr(F.lit(_RARE_FIRST), F.substring(g, 2, 1))
-        return F.struct((rarity - nth * 30).alias("rank"), F.concat(g, nth.cast("string")).alias("token"))
+def _ranked(grams: Column) -> Column:
+    """Character groups in one global order, rare letters first."""
+    def rarity(g: Column) -> Column:
+        return F.instr(F.lit(_RARE_FIRST), F.substring(g, 1, 1)) + F.instr(F.lit(_RARE_FIRST), F.substring(g, 2, 1))
 
-    return F.transform(F.array_sort(F.transform(grams, token)), lambda t: t["token"])
+    return F.array_sort(F.transform(grams, lambda g: F.struct(rarity(g).alias("rank"), g.alias("gram"))))
+
+
+def _tokens(ranked: Column) -> Column:
+    """Groups with their occurrence number, so that repeats are different tokens.
+    ``ranked`` is a stored column, so the lambda does not compute it again."""
+    return F.transform(ranked, lambda x, i: F.concat(x["gram"], (i + 1 - F.array_position(ranked, x)).cast("string")))
 
 
 def similar_titles(items: DataFrame, block: list[str]) -> DataFrame:
@@ -99,8 +102,8 @@ def similar_titles(items: DataFrame, block: list[str]) -> DataFrame:
     prefix_size = F.size("tokens") - F.greatest(shared, F.lit(1)) + 1
     own = ("item", "title", "low", "s_min", "s_max")
     keyed = (
-        items.filter(length > 0).withColumn("q", q).withColumn("grams", grams)
-        .select(*block, *own, "q", _tokens(F.col("grams")).alias("tokens"))
+        items.filter(length > 0).withColumn("q", q).withColumn("ranked", _ranked(grams))
+        .select(*block, *own, "q", _tokens(F.col("ranked")).alias("tokens"))
         .withColumn("prefix", F.slice("tokens", F.lit(1), F.greatest(prefix_size, F.lit(0)).cast("int")))
         # the outer form keeps the optimizer from computing the groups again in a
         # filter below; a title without groups gets a null token, which joins nothing
