@@ -80,7 +80,7 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, grains: int = GRAIN
     units = groups.groupBy(heavy.alias("heavy"), F.when(heavy, F.col("key")).otherwise(grain).alias("unit")).agg(
         F.sum("bytes").alias("bytes"))
 
-    def place(part: pd.DataFrame) -> pd.DataFrame:
+    def place(part):
         part = part.sort_values(["bytes", "heavy", "unit"], ascending=[False, False, True])
         return pd.DataFrame({"heavy": part["heavy"], "unit": part["unit"],
                              "shard": differencing(part["bytes"].tolist(), n_shards)})
