@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, nbsvm, quality, sharding, simhash, tokens
+from . import decontaminate, mixing, nbsvm, quality, sharding, simhash, tokens
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+@_query("op5_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal")
+
+
 @_query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir), _model_file("piece_bpe_32k.model"))
