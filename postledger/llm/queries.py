@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, nbsvm, quality, sharding, simhash, tokens
+from . import decontaminate, mixing, nbsvm, pii, quality, secrets, sharding, simhash, tokens
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_query("op3_personal_data")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(documents(spark, sf_dir)))
+
+
 @_query("op4_mixing", mixing.MIX_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
@@ -46,6 +51,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal")
 
 
+@_query("op6_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = documents(spark, sf_dir).select(F.col("doc_id").alias("path"), "text")
+    return secrets.digests(secrets.findings(versions, secrets.scan(versions))).withColumnRenamed("path", "doc_id")
+
+
 @_query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir), _model_file("piece_bpe_32k.model"))
