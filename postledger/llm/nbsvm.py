@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_rows, type_of, utf8
+from .common import ROWS_PER_BATCH, cut_lineage, map_rows, type_of, utf8
 
 #: Hashed n-grams; tables of this many weights are the only ones the driver gets.
 BUCKETS = 1 << 18
@@ -209,3 +209,21 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
 
     scored = featured.select("doc_id", "grams").mapInArrow(apply, f"doc_id {kind.simpleString()}, score double")
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, judged row by row, with all their columns."""
+    machine = docs.sparkSession.sparkContext.broadcast(fit(cut_lineage(grams(docs)), labels, label))
+    at = docs.columns.index("text")
+
+    def apply(batches):
+        own = Grams()
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_PER_BATCH):
+                part = batch.slice(start, ROWS_PER_BATCH)
+                found = [own.of((t or "").encode("utf-8")) for t in part.column(at).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
+                values = np.array([g for f in found for g in f], dtype=np.int64)
+                yield part.filter(pa.array(machine.value.scores(offsets, values) >= threshold))
+
+    return docs.mapInArrow(apply, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, nbsvm, pii, quality, secrets, sharding, simhash, tokens
+from . import decontaminate, mixing, nbsvm, pages, pii, quality, secrets, sharding, simhash, tokens
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+@_query("op9_main_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @_query("op10_quality_classifier")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
