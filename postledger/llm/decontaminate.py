@@ -134,19 +134,17 @@ def best_stretch(same: np.ndarray, similarity: float) -> tuple[int, int]:
     sums = np.concatenate([[0.0], np.cumsum(same - similarity)])
     least = np.minimum.accumulate(sums)
     best = (0, 0)
-    for j in range(len(sums) - 1, 0, -1):
+    for j in range(len(same), 0, -1):
         if j <= best[1] - best[0]:
             break
-        # earliest start whose sum is not above that at j; running minima fall, so bisect
-        i = int(np.searchsorted(-least, -(sums[j] + 1e-9)))
-        if i < j and j - i > best[1] - best[0]:
-            best = (i, j)
-    i, j = best
-    while i < j and not same[i]:
-        i += 1
-    while j > i and not same[j - 1]:
-        j -= 1
-    return i, j
+        if same[j - 1]:
+            # earliest start whose sum is not above that at j: running minima fall, so bisect
+            i = int(np.searchsorted(-least, -(sums[j] + 1e-9)))
+            while i < j and not same[i]:  # dropping a difference only helps
+                i += 1
+            if j - i > best[1] - best[0]:
+                best = (i, j)
+    return best
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, seeds: tuple[str, ...] = SEEDS, min_words: int = MIN_WORDS,
