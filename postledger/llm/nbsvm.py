@@ -145,7 +145,8 @@ def fit(featured: DataFrame, labels: DataFrame, label: str = "quality", sample:
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(
         F.max(label).cast("int").alias("y"))
-    rows = cut_lineage(featured.join(known, "doc_id").select("doc_id", "y", "grams"))
+    # always a sorted join, so that what is shuffled grows in proportion
+    rows = cut_lineage(featured.join(known.hint("merge"), "doc_id").select("y", "grams", F.xxhash64(F.col("doc_id").cast("string")).alias("h")))
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         share = 0.5 if not totals else float(next(iter(totals)))
@@ -159,8 +160,9 @@ def fit(featured: DataFrame, labels: DataFrame, label: str = "quality", sample:
     bad = every - good
     ratio = np.log(good / (totals[1] + 2)) - np.log(bad / (totals[0] + 2))
 
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    part = rows.withColumn("_h", order).orderBy("_h", "doc_id").limit(sample).toArrow()
+    # the hash of the last row of the sample is found on hashes alone
+    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    part = rows.filter(F.col("h") <= last).sort("h", "grams").limit(sample).toArrow()
     offsets = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(part["grams"]).to_numpy())])
     flat = part["grams"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if part.num_rows else np.zeros(0, dtype=int)
     y = part["y"].to_numpy() == 1
