@@ -20,7 +20,7 @@ HEADLINE = (
     "content_hash", "fingerprint", "location_filter", "page_text", "clean_html", "job_records",
     "feed_prefix", "feed_batches", "feed_parts", "duplicate_links", "best_duplicates", "duplicate_groups",
     "decode_greenhouse", "decode_lever", "decode_ashby", "decode_workday", "decode_jsonld",
-    "watch_diff", "watch_diff_sequence", "classify_pages", "stream_status",
+    "watch_diff", "classify_pages", "stream_status",
 )
 
 

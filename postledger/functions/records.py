@@ -122,7 +122,3 @@ def markdown_line() -> Column:
     c = F.col
     return F.concat(F.lit("- ["), c("title"), F.lit("]("), c("apply_url"), F.lit(") — "),
                     c("company_name"), F.lit(", "), c("location"))
-
-
-def stripped(c: Column) -> Column:
-    return strip(F.coalesce(c, F.lit("")))

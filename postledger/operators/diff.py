@@ -9,7 +9,7 @@ from ..schemas import POSTING, POSTING_KEY
 from .skew import salted_join
 
 KEY = list(POSTING_KEY)
-STATE_EXTRA = ("internal_id", "first_seen_at", "last_seen_at", "last_changed_at", "active", "state_version")
+STATE_EXTRA = ("internal_id", "first_seen_at", "last_seen_at", "last_changed_at", "active", "state_version", "last_status")
 
 
 def last_in_run(postings: DataFrame, order: Column) -> DataFrame:
@@ -63,16 +63,18 @@ def complete_sources(current: DataFrame, incomplete: DataFrame) -> DataFrame:
 def snapshot_diff(current: DataFrame, state: DataFrame, expirable: DataFrame | None = None) -> DataFrame:
     """Every posting of the run and of the snapshot, with its transition.
 
-    ``status`` is null for postings that stay inactive or whose source was not
-    collected. The wide rows of both sides are shuffled once, on the key; the
-    expiry marks are joined on the same key and partitioning.
+    ``status`` is null for postings that stay inactive or whose source may not
+    expire anything (see ``detect_expired``). Each side is read and shuffled
+    once, on the key; besides that only the short list of sources is joined,
+    before the full join, which Spark broadcasts by its measured size.
     """
-    marks = detect_expired(current, state, expirable).withColumn("_gone", F.lit(True))
-    old = state.join(marks, KEY, "left").select(
+    sources = seen_sources(current) if expirable is None else expirable.select("source_id").distinct()
+    marked = salted_join(state, sources.withColumn("_can_expire", F.lit(True)), ["source_id"], "left", F.col("source_job_id"))
+    old = marked.select(
         *KEY,
         *[F.col(c).alias(f"_old_{c}") for c in POSTING if c not in KEY],
         *[F.col(c).alias(f"_old_{c}") for c in STATE_EXTRA if c in state.columns and c != "internal_id"],
-        "_gone",
+        (F.col("active") & F.coalesce("_can_expire", F.lit(False))).alias("_gone"),
     )
     now = current.select(*POSTING, F.lit(True).alias("_seen"))
     both = now.join(old, KEY, "full")
@@ -87,6 +89,7 @@ def snapshot_diff(current: DataFrame, state: DataFrame, expirable: DataFrame | N
     values = [
         F.col(c) if c in KEY else F.when(seen, F.col(c)).otherwise(F.col(f"_old_{c}")).alias(c) for c in POSTING
     ]
+    last = F.col("_old_last_status") if "last_status" in state.columns else F.lit(None).cast("string")
     return both.select(
         internal_id(F.col("source_id"), F.col("source_job_id")).alias("internal_id"),
         *values,
@@ -98,6 +101,7 @@ def snapshot_diff(current: DataFrame, state: DataFrame, expirable: DataFrame | N
         F.col("_old_last_seen_at").alias("previous_last_seen_at"),
         F.col("_old_last_changed_at").alias("previous_last_changed_at"),
         F.col("_old_state_version").alias("previous_version"),
+        last.alias("previous_status"),
     )
 
 
@@ -115,10 +119,16 @@ def next_state(diff: DataFrame, run_at: Column, version: int) -> DataFrame:
         F.when(altered, at).otherwise(F.col("previous_last_changed_at")).alias("last_changed_at"),
         F.when(F.col("seen"), F.lit(True)).when(expired, F.lit(False)).otherwise(F.col("was_active")).alias("active"),
         F.when(touched, F.lit(version)).otherwise(F.col("previous_version")).cast("int").alias("state_version"),
-        F.col("status").alias("last_status"),
+        F.coalesce("status", "previous_status").alias("last_status"),
     )
 
 
+def inventory(state: DataFrame, version: int) -> DataFrame:
+    """The whole stored snapshot for publishing: ``status`` is the latest one of
+    each posting, ``touched`` tells whether this run gave it."""
+    return state.withColumnRenamed("last_status", "status").withColumn("touched", F.col("state_version") == version)
+
+
 def transitions(state: DataFrame, version: int) -> DataFrame:
     """Postings that the run of a stored snapshot touched, with their status: a
     narrow scan of the snapshot, no join."""

@@ -56,11 +56,15 @@ def with_role(postings: DataFrame) -> DataFrame:
         F.coalesce("source_url", F.lit("")).alias("source_url"),
     )
     return cut_lineage(base.withColumns({
-        "role": F.md5(F.concat_ws("|", "company", "title", "place")),
-        "job": F.md5(F.concat_ws("|", "company", "title")),
+        "role": _key("company", "title", "place"), "job": _key("company", "title"),
     }))
 
 
+def _key(*columns: str) -> Column:
+    """A hash of the columns in which each stands with its length (- for null), so that different values never read alike."""
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in columns]))
+
+
 def _ranked(grams: Column) -> Column:
     """Character groups in one global order, rare letters first."""
     def rarity(g: Column) -> Column:
@@ -240,14 +244,11 @@ def best_duplicates(roles: DataFrame, links: DataFrame, among: DataFrame | None
         "internal_id", F.col("best.id").alias("duplicate_id"), (-F.col("best.s")).alias("score"))
 
 
-def duplicates_of(new: DataFrame, existing: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-                  max_pairs: int = 10_000_000) -> DataFrame:
+def duplicates_of(new: DataFrame, existing: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """All duplicates of a few ``new`` postings among ``existing``, ranked by score.
 
     This is the explicit pair list, so its size is the number of pairs asked for.
-    The pairs are counted from the links before any is made; a request for more
-    than ``max_pairs`` is refused, never cut. Whole collections use links,
-    ``best_duplicates`` and ``duplicate_groups``.
+    Whole collections use links, ``best_duplicates`` and ``duplicate_groups``.
     """
     n, e = with_role(new), with_role(existing)
     links = _reversed_too(duplicate_links(n.unionByName(e), threshold))
@@ -256,11 +257,6 @@ def duplicates_of(new: DataFrame, existing: DataFrame, threshold: float = DEFAUL
     right = _per_kind(e, "internal_id", "source_id").select(
         "scope", "via", F.col("node").alias("node_b"), "url", F.col("internal_id").alias("duplicate_id"), F.col("source_id").alias("t"))
     on_a, on_b = ["scope", "via", "node_a", "url"], ["scope", "via", "node_b", "url"]
-    sizes = links.join(left.groupBy(*on_a).agg(F.count("*").alias("x")), on_a).join(
-        right.groupBy(*on_b).agg(F.count("*").alias("y")), on_b)
-    pairs = sizes.agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0))).first()[0]
-    if pairs > max_pairs:
-        raise ValueError(f"{pairs} pairs asked for; use links or best_duplicates")
     scored = left.join(links, on_a).join(right, on_b).filter("s <> t").groupBy("internal_id", "duplicate_id").agg(
         F.max("score").alias("score"))
     rank = Window.partitionBy("internal_id").orderBy(F.col("score").desc(), "duplicate_id")
@@ -283,13 +279,14 @@ def _edges(profiles: DataFrame, links: DataFrame) -> DataFrame:
     return across.unionByName(members.select(name("node").alias("u"), F.concat(F.lit("p:"), "profile").alias("v")))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of an undirected graph with columns ``u, v``.
 
     Alternates the large-star and small-star steps of Kiveris et al.
     ("Connected Components in MapReduce and Beyond", 2014): every node is
     re-attached to the smallest neighbour it knows, which needs few rounds even
-    on long chains. Each round is written to the shared folder.
+    on long chains. Each round is written to the shared folder; rounds go on until
+    one changes nothing.
     """
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -308,14 +305,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     current = cut_lineage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
+    mark = None
+    while before is None or mark != before:
+        before = mark
         current = cut_lineage(star(star(current, True), False))
         mark = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
-    else:
-        raise RuntimeError("components did not settle")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

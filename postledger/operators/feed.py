@@ -29,9 +29,14 @@ def feed_order(include: str = "delta") -> list[Column]:
     return tail if include == "all" else [F.col("status") != "new", *tail]
 
 
+def _run_status(postings: DataFrame) -> Column:
+    """Status given by this run; in a whole snapshot, null for postings that the run did not touch."""
+    return F.when(F.col("touched"), F.col("status")) if "touched" in postings.columns else F.col("status")
+
+
 def feed_records(postings: DataFrame, include: str = "delta", max_chars: int = MAX_DESCRIPTION_CHARS) -> DataFrame:
     """Selected postings with their record text and its size."""
-    chosen = postings.filter(in_inventory(F.col("status"), include))
+    chosen = postings.filter(in_inventory(_run_status(postings), include, F.col("active") if "active" in postings.columns else None))
     return chosen.select(
         "internal_id", "status", "company_name", "title", job_record(max_chars).alias("record"),
     ).withColumn("bytes", record_bytes(F.col("record")))
@@ -78,10 +83,6 @@ def pack_batches(sized: DataFrame, order: list[Column], max_bytes: int = MAX_BOD
     narrow = placed.select("internal_id", "pos", "bytes")
     number = _numbering(budget, max_jobs, rows_per_chunk)
     schema = "internal_id string, pos long, batch long"
-    if chunks == 1:
-        whole = narrow.select("*", F.lit(0).cast("long").alias("chunk"), F.lit(-1).cast("long").alias("entry"),
-                              F.lit(-1).cast("long").alias("base"))
-        return whole.groupBy("chunk").applyInPandas(number, schema)
     narrow = cut_lineage(narrow)
     own = F.floor(F.col("pos") / rows_per_chunk)
     # the tail of a chunk is repeated at the head of the next one
@@ -209,11 +210,9 @@ def _true_entries(tables: DataFrame, chunks: int) -> DataFrame:
 
 
 def message_header(generated_at: Column, counts: Column, part: Column, total_parts: Column, included: Column,
-                   offered: Column, record_cap: int, watches_checked: Column, watches_changed: Column,
+                   omitted: Column, reason: Column, watches_checked: Column, watches_changed: Column,
                    title: str = MESSAGE_TITLE) -> Column:
-    """Header lines of one message. Records left out are always stated."""
-    omitted = offered - included
-    reason = F.when(included >= record_cap, F.lit("record cap")).otherwise(F.lit("body size limit"))
+    """Header lines of one message. Records left out of the whole feed are always stated."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"))
     return F.concat_ws(
         "\n",
@@ -232,7 +231,7 @@ def message_header(generated_at: Column, counts: Column, part: Column, total_par
 
 
 def _message_rows(jobs: DataFrame, postings: DataFrame, watches: DataFrame, generated_at: Column, total_parts: Column,
-                  offered: Column | None, record_cap: int, failed_sources: int) -> DataFrame:
+                  omitted: Column, reason: Column, failed_sources: int) -> DataFrame:
     """Rows of all messages from job rows ``(part, pos, record)``.
 
     A message is its rows in the order of ``section, pos, key``: header, watched
@@ -240,16 +239,17 @@ def _message_rows(jobs: DataFrame, postings: DataFrame, watches: DataFrame, gene
     is gathered into one value, so neither a long watch list nor a large part
     meets in one row.
     """
+    active = F.col("active") if "active" in postings.columns else F.col("status") != "expired"
     # counts come from one pass over the narrow columns of each input
     counts = postings.agg(F.struct(
-        F.count("*").alias("total_active"),
-        *[F.count_if(F.col("status") == s).alias(s) for s in ("new", "changed", "expired")],
+        F.count_if(active).alias("total_active"),
+        *[F.count_if(_run_status(postings) == s).alias(s) for s in ("new", "changed", "expired")],
         F.lit(failed_sources).alias("failed_sources"))).scalar()
     seen = watches.agg(F.struct(F.count("*").alias("checked"), F.count_if(F.col("status") == "changed").alias("changed"))).scalar()
     first = F.col("part") == 1
     parts = jobs.groupBy("part").agg(F.count("*").alias("n"))
     header = message_header(
-        generated_at, counts, F.col("part"), total_parts, F.col("n"), F.col("n") if offered is None else offered, record_cap,
+        generated_at, counts, F.col("part"), total_parts, F.col("n"), omitted, reason,
         F.when(first, seen["checked"]).otherwise(F.lit(0)), F.when(first, seen["changed"]).otherwise(F.lit(0)))
     row = lambda section, pos, key, text: (
         F.lit(section).alias("section"), pos.cast("long").alias("pos"), key.alias("key"), text.alias("text"))
@@ -270,8 +270,9 @@ def single_message(postings: DataFrame, watches: DataFrame, generated_at: Column
     records = feed_records(postings, include, max_chars)
     kept = fit_message(records, include, max_jobs, max_bytes).select(
         F.lit(1).cast("long").alias("part"), F.col("rank").alias("pos"), "record")
-    offered = records.agg(F.count("*")).scalar()
-    return _message_rows(kept, postings, watches, generated_at, F.lit(1), offered, max_jobs, failed_sources)
+    omitted = records.agg(F.count("*")).scalar() - F.col("n")
+    reason = F.when(F.col("n") >= max_jobs, F.lit("record cap")).otherwise(F.lit("body size limit"))
+    return _message_rows(kept, postings, watches, generated_at, F.lit(1), omitted, reason, failed_sources)
 
 
 def batch_messages(postings: DataFrame, watches: DataFrame, generated_at: Column, include: str = "all",
@@ -279,22 +280,24 @@ def batch_messages(postings: DataFrame, watches: DataFrame, generated_at: Column
                    failed_sources: int = 0, max_chars: int = MAX_DESCRIPTION_CHARS,
                    rows_per_chunk: int = ROWS_PER_BLOCK) -> DataFrame:
     """A whole feed as numbered messages. Only ids and sizes are ordered
-    globally; texts join their batch by id."""
+    globally; texts join their batch by id. With ``max_parts`` only the first
+    messages are made; each states the true number of parts and the records
+    that no message has."""
     records = feed_records(postings, include, max_chars)
     batches = pack_batches(records.drop("record"), feed_order(include), max_bytes, max_jobs, rows_per_chunk)
-    if max_parts is not None:
-        batches = batches.filter(F.col("batch") < max_parts)
     batches = cut_lineage(batches)
     total = batches.agg(F.max("batch") + 1).scalar()
+    omitted = F.lit(0)
+    if max_parts is not None:
+        omitted = batches.agg(F.count_if(F.col("batch") >= max_parts)).scalar()
+        batches = batches.filter(F.col("batch") < max_parts)
     jobs = records.join(batches, "internal_id").select((F.col("batch") + 1).alias("part"), "pos", "record")
-    return _message_rows(jobs, postings, watches, generated_at, total, None, max_jobs, failed_sources)
+    return _message_rows(jobs, postings, watches, generated_at, total, omitted, F.lit("part limit"), failed_sources)
 
 
-def message_bodies(rows: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """One text per message, for delivery of messages known to be small. A
-    message of more than ``max_rows`` rows is refused, never cut."""
-    if not rows.groupBy("part").count().filter(F.col("count") > max_rows).isEmpty():
-        raise ValueError(f"a message has more than {max_rows} rows; write its rows instead")
+def message_bodies(rows: DataFrame) -> DataFrame:
+    """One text per message, for delivery: a message holds at most ``max_jobs``
+    records, and the first one also the watched pages that changed."""
     listed = F.array_sort(F.collect_list(F.struct("section", "pos", "key", "text")))
     return rows.groupBy("part").agg(
         F.count_if(F.col("section") == 2).alias("records"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-ROWS_PER_BLOCK = 250_000
+ROWS_PER_BLOCK = 20_000
 
 
 def global_positions(df: DataFrame, order: list[Column], weight: Column, rows_per_block: int = ROWS_PER_BLOCK,
@@ -23,13 +23,6 @@ def global_positions(df: DataFrame, order: list[Column], weight: Column, rows_pe
     n = df.count() if rows is None else rows
     blocks = max(1, math.ceil(n / rows_per_block))
     weighted = df.withColumn("_w", weight.cast("long"))
-    if blocks == 1:
-        within = Window.orderBy(*order)  # at most rows_per_block rows
-        return weighted.select(
-            *df.columns,
-            (F.row_number().over(within) - 1).cast("long").alias("pos"),
-            F.sum("_w").over(within.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),
-        )
     placed = cut_lineage(
         weighted.repartitionByRange(blocks, *order).withColumn("_block", F.spark_partition_id()))
     totals = placed.groupBy("_block").agg(F.count("*").alias("_n"), F.sum("_w").alias("_s"))
@@ -38,8 +31,8 @@ def global_positions(df: DataFrame, order: list[Column], weight: Column, rows_pe
         "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
         F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"))
     within = Window.partitionBy("_block").orderBy(*order)
-    # the broadcast side has one small row per block, whatever the data
-    return placed.join(F.broadcast(offsets), "_block").select(
+    # one small row per block; Spark broadcasts them where their size allows
+    return placed.join(offsets, "_block").select(
         *df.columns,
         (F.row_number().over(within) - 1 + F.col("_n0")).cast("long").alias("pos"),
         (F.sum("_w").over(within.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_s0")).alias("cum"),

@@ -1,7 +1,6 @@
 """Watched pages: what text was added since the last check."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,48 +51,11 @@ def added_lines(pairs: DataFrame) -> DataFrame:
     return new.groupBy("id").agg(strip(F.array_join(lines, "\n")).alias("added_text"))
 
 
-def sequence_added(previous: Column, current: Column) -> Column:
-    """Added lines of an ordered line diff, which also reports moved lines.
-
-    An ordered diff has no built-in form, so this is an Arrow function. Pass
-    nulls for rows that need no diff.
-    """
-    added = line_differ()
-
-    @F.pandas_udf("string")
-    def diff(before: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else added(a or "", b) for a, b in zip(before, after)], dtype="object")
-
-    return diff(previous, current)
-
-
-def line_differ():
-    """Function (previous, current) -> text of the lines that an ordered diff marks
-    as added. Only blocks that share a line need the slow line-pairing step of
-    ``difflib``; in all others every new line is an added line."""
-    def run(previous: str, current: str) -> str:
-        import difflib
-
-        a, b = previous.splitlines(), current.splitlines()
-        out = []
-        for kind, i, j, k, n in difflib.SequenceMatcher(None, a, b).get_opcodes():
-            if kind == "insert" or (kind == "replace" and set(a[i:j]).isdisjoint(b[k:n])):
-                out += b[k:n]
-            elif kind == "replace":
-                pairing = difflib.Differ(charjunk=difflib.IS_CHARACTER_JUNK)._fancy_replace(a, i, j, b, k, n)
-                out += [m[2:] for m in pairing if m[:2] == "+ "]
-        return "\n".join(out).strip()
-
-    return run
-
-
-def watch_diff(texts: DataFrame, state: DataFrame, mode: str = "sequence",
-               min_chars: int = MIN_MEANINGFUL_CHARS) -> DataFrame:
+def watch_diff(texts: DataFrame, state: DataFrame, min_chars: int = MIN_MEANINGFUL_CHARS) -> DataFrame:
     """Outcome of each check against the stored page.
 
-    ``mode`` is ``sequence`` (ordered diff) or ``multiset`` (added occurrences,
-    fully relational). Little added text counts as unchanged, but the new text
-    is stored so that it is not reported again.
+    Added text is what :func:`added_lines` finds. Little added text counts as
+    unchanged, but the new text is stored so that it is not reported again.
     """
     old = state.select("id", *[F.col(c).alias(f"previous_{c}") for c in (
         "content_hash", "content_text", "first_seen_at", "last_changed_at", "last_added_text")],
@@ -102,14 +64,7 @@ def watch_diff(texts: DataFrame, state: DataFrame, mode: str = "sequence",
     known = F.coalesce(F.col("known"), F.lit(False))
     differs = F.coalesce(F.col("check_error").isNull() & known
                          & ~F.col("content_hash").eqNullSafe(F.col("previous_content_hash")), F.lit(False))
-    if mode == "multiset":
-        pairs = both.filter(differs).select("id", "content_text", "previous_text")
-        both = both.join(added_lines(pairs), "id", "left")
-    elif mode == "sequence":
-        both = both.withColumn("added_text", sequence_added(
-            F.when(differs, F.coalesce("previous_text", F.lit(""))), F.when(differs, F.col("content_text"))))
-    else:
-        raise ValueError("mode must be 'sequence' or 'multiset'")
+    both = both.join(added_lines(both.filter(differs).select("id", "content_text", "previous_text")), "id", "left")
     added = F.coalesce("added_text", F.lit(""))
     status = (
         F.when(F.col("check_error").isNotNull(), F.lit("error"))

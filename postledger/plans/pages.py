@@ -11,13 +11,13 @@ from ..sinks.feed import write_registry
 from ..sinks.state import StateStore
 
 
-def check_watches(pages: DataFrame, watches: DataFrame, store: StateStore, run_id: str, mode: str = "sequence") -> DataFrame:
+def check_watches(pages: DataFrame, watches: DataFrame, store: StateStore, run_id: str) -> DataFrame:
     """Compare fetched pages with the stored ones, store the new state and
     return the outcomes. Page texts are written once; diff and state read them."""
     version = store.version()
     state = store.load(WATCH_STATE, version)
     texts = cut_lineage(W.page_texts(pages.join(watches.select("id"), "id", "left_semi")))
-    diff = cut_lineage(W.watch_diff(texts, state, mode))
+    diff = cut_lineage(W.watch_diff(texts, state))
     if not store.has_run(run_id):
         store.commit(W.next_watch_state(diff, state), run_id, version + 1)
     return W.watch_results(diff, watches)

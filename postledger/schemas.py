@@ -43,11 +43,6 @@ POSTING: dict[str, tuple[str, object]] = {
 
 POSTING_KEY = ("source_id", "source_job_id")
 
-OBSERVATION = (
-    "run_id string, observation_id string, observed_at timestamp_ntz, internal_id string, "
-    "source_id string, source_job_id string, content_hash string, status string"
-)
-
 WATCH_STATE = (
     "id string, url string, name string, content_hash string, content_text string, "
     "first_seen_at timestamp_ntz, last_checked_at timestamp_ntz, last_changed_at timestamp_ntz, "

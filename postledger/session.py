@@ -1,6 +1,7 @@
 """Session settings and the shared folder used to cut lineage."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,12 +32,14 @@ def build_session(app: str = "postledger", master: str | None = None, **extra: s
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder under ``spark.checkpoint.dir``.
 
-    A cluster sets that to shared storage; the folder can be removed when the
-    application is done. Only when it is unset (a test on one machine) is a
-    temporary folder made and used.
+    A cluster sets that to shared storage. A temporary folder stands in for it
+    only where driver and executors are one process; anywhere else each executor
+    would write to a disk of its own, so a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="postledger-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -52,3 +55,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_shared(spark: SparkSession) -> None:
+    """Delete this application's folder, once no DataFrame that reads from it is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

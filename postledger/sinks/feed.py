@@ -13,14 +13,6 @@ def write_messages(rows: DataFrame, path: str) -> None:
     sorted_rows.select("part", "text").write.mode("overwrite").partitionBy("part").text(path)
 
 
-def write_mail(bodies: DataFrame, path: str, subject: str = "Posting report") -> None:
-    """One row per message with subject and body, from ``message_bodies``."""
-    total = bodies.agg(F.count("*")).scalar()
-    title = F.when(total > 1, F.format_string(f"{subject} -- part %d of %d (%d jobs)", "part", total, "records")).otherwise(
-        F.format_string(f"{subject} -- %d jobs", "records"))
-    bodies.select("part", title.alias("subject"), "body").write.mode("overwrite").parquet(path)
-
-
 def write_registry(outcomes: DataFrame, path: str) -> None:
     """Registry annotated with the discovery outcome."""
     outcomes.write.mode("overwrite").json(path)

@@ -15,26 +15,6 @@ def write_json_report(postings: DataFrame, header: DataFrame, errors: DataFrame,
         "overwrite").json(f"{path}/source_errors")
 
 
-def single_json(postings: DataFrame, header: DataFrame, errors: DataFrame, max_postings: int = 100_000) -> DataFrame:
-    """The whole report as one JSON text, only for reports known to be small.
-
-    More than ``max_postings`` rows are refused, never cut: large reports are
-    the partitioned form above.
-    """
-    rows = report.json_rows(postings)
-    n = rows.count()
-    if n > max_postings:
-        raise ValueError(f"{n} postings do not fit one document; use write_json_report")
-    fields = [c for c in rows.columns if c != "status"]
-    pick = lambda s: F.array_sort(F.collect_list(F.when(F.col("status") == s, F.struct(*fields)))).alias(s)
-    jobs = rows.agg(*[pick(s) for s in report.REPORTED]).select(F.struct(*report.REPORTED).alias("jobs"))
-    problems = errors.agg(F.collect_list(F.struct(
-        F.format_string("%s (%s)", "company_id", "source_type").alias("source"), "error")).alias("source_errors"))
-    return jobs.select(F.to_json(F.struct(
-        header.select("run").scalar().alias("run"), "jobs",
-        problems.select("source_errors").scalar().alias("source_errors"))).alias("report"))
-
-
 def write_markdown_report(rows: DataFrame, path: str) -> None:
     """Text files whose names sort into the report's order."""
     rows.orderBy("section_ord", "row_ord", "sort_key").select("line").write.mode("overwrite").text(path)

@@ -74,8 +74,7 @@ def has_posting(html: Column) -> Column:
         items = F.coalesce(graph, listed, F.array(block))
         return F.coalesce(F.exists(items, is_posting), F.lit(False))
 
-    found = F.exists(F.regexp_extract_all(html, F.lit(_BLOCK), F.lit(1)), in_block)
-    return F.when(html.contains("ld+json") | html.contains("LD+JSON"), F.coalesce(found, F.lit(False))).otherwise(F.lit(False))
+    return F.coalesce(F.exists(F.regexp_extract_all(html, F.lit(_BLOCK), F.lit(1)), in_block), F.lit(False))
 
 
 def _address(item: Column) -> Column:

@@ -15,10 +15,21 @@ def read_landing(spark: SparkSession, path: str, run_id: str | None = None, fmt:
 
 
 def attach_options(landing: DataFrame, sources: DataFrame) -> DataFrame:
-    """Add the per-source options of the registry to each stored response."""
-    options = sources.select("company_id", F.col("type").alias("source_type"),
-                             F.col("parsing_config").alias("options"))
-    return landing.drop("options").join(options, ["company_id", "source_type"], "left")
+    """Give each stored response the options of its source: those landed with it,
+    under those of the registry (its free options, then tenant, host and site)."""
+    none = F.create_map().cast("map<string,string>")
+    where = F.map_filter(F.create_map(*[x for c in ("tenant", "wd_host", "site") for x in (F.lit(c), F.col(c))]), lambda k, v: v.isNotNull())
+    registered = sources.select(
+        "company_id", F.col("type").alias("source_type"), _over(F.coalesce("parsing_config", none), where).alias("_registered"))
+    names = [c for c in landing.columns]
+    joined = landing.join(registered, ["company_id", "source_type"], "left")
+    merged = _over(F.coalesce("options", none), F.coalesce("_registered", none))
+    return joined.withColumn("options", merged).select(*names)
+
+
+def _over(base: Column, top: Column) -> Column:
+    """Both maps as one; ``top`` wins."""
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(top), k)), top)
 
 
 def option(name: str, default: str | None = None) -> Column:

@@ -34,9 +34,16 @@ def _max_jobs() -> Column:
 
 
 def search_pages(landing: DataFrame) -> DataFrame:
-    """Parsed search pages within the paging limit of their source."""
-    pages = responses(landing, "workday", "search").filter(F.col("page_seq") * PAGE_SIZE < _max_jobs())
-    return pages.withColumn("page", F.from_json("body", SEARCH_PAGE)).drop("body")
+    """All parsed search pages; the paging limit is for requests, not for what has landed."""
+    return responses(landing, "workday", "search").withColumn("page", F.from_json("body", SEARCH_PAGE)).drop("body")
+
+
+def search_plan(landing: DataFrame) -> DataFrame:
+    """Pages to request for each search whose first page has landed, and the postings that the paging limit leaves out."""
+    first = search_pages(landing).filter("page_seq = 0").select(*SOURCE, "search_term", F.coalesce("page.total", F.lit(0)).alias("total"), _max_jobs().alias("max_jobs"))
+    wanted = F.least("total", "max_jobs")
+    return first.groupBy(*SOURCE, "search_term").agg(F.max("total").alias("total"), F.min("max_jobs").alias("max_jobs")).select(
+        *SOURCE, "search_term", "total", F.ceil(wanted / PAGE_SIZE).alias("pages"), (F.col("total") - wanted).alias("left_out"))
 
 
 def search_summaries(landing: DataFrame) -> DataFrame:
@@ -69,8 +76,9 @@ def search_completeness(landing: DataFrame) -> DataFrame:
 
 def detail_targets(summaries: DataFrame, where: LocationFilter | None = None,
                    cap: int = MAX_DETAIL_FETCHES) -> DataFrame:
-    """Paths whose detail page counts: places are filtered before the cap, and
-    the cap takes paths in sorted order so that it picks the same ones each run."""
+    """Paths whose detail page is to be requested: places are filtered before the
+    cap, and the cap takes paths in sorted order so that it picks the same ones
+    each run. Details that have landed are all used, whatever this plan says."""
     kept = summaries if where is None else summaries.filter(where.matches(F.col("location")))
     return top_n_per_group(kept.select(*SOURCE, "path"), SOURCE, [F.col("path")], cap, F.col("path"))
 
@@ -96,15 +104,13 @@ def details(landing: DataFrame) -> DataFrame:
     )
 
 
-def workday_rows(landing: DataFrame, retain_raw: bool = False, where: LocationFilter | None = None,
-                 cap: int = MAX_DETAIL_FETCHES) -> DataFrame:
-    """Summaries with their optional detail. Identity and place come from the
-    summary alone, so a missing detail never moves a posting."""
+def workday_rows(landing: DataFrame, retain_raw: bool = False, where: LocationFilter | None = None) -> DataFrame:
+    """Summaries with their optional detail, every landed one. Identity and place
+    come from the summary alone, so a missing detail never moves a posting."""
     summaries = search_summaries(landing)
     if where is not None:
         summaries = summaries.filter(where.matches(F.col("location")))
-    wanted = details(landing).join(detail_targets(summaries, None, cap), [*SOURCE, "path"], "left_semi")
-    rows = summaries.join(wanted, [*SOURCE, "path"], "left")
+    rows = summaries.join(details(landing), [*SOURCE, "path"], "left")
     c = F.col
     site = rules.tenant_coordinates(option("tenant"), option("wd_host"), option("site"), c("source_key"))
     rows = rows.withColumn("at", site)

@@ -1,90 +1,100 @@
-"""Per-key status of arriving postings and pages, with kept state.
-
-A key's rows of one micro-batch are ordered in memory. Sources bound the batch
-(``maxFilesPerTrigger``), which bounds what even a very frequent key can hold.
-"""
+"""Per-key status of arriving postings and pages. The last row of each key is a
+versioned table; every micro-batch is compared with it by windows."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
+
+from ..functions.predicates import MIN_MEANINGFUL_CHARS, meaningful
+from ..functions.records import keywords_found
+from ..operators.watch import added_lines
+from ..session import cut_lineage
+from ..sinks.state import StateStore
+
+ARRIVAL_STATE = "internal_id string, observed_at timestamp, seq long, content_hash string, closed boolean"
+PAGE_STATE = "id string, checked_at timestamp, seq long, content_text string, content_hash string, last_changed_at timestamp"
 
-from ..operators.watch import line_differ
 
-STATUS_SCHEMA = "internal_id string, observed_at timestamp, seq long, content_hash string, status string"
-WATCH_SCHEMA = ("id string, seq long, checked_at timestamp, status string, added_text string, keywords_found string, "
-                "last_changed_at timestamp, error string")
+def _each_batch(stream: DataFrame, store: StateStore, schema: str, out: str, checkpoint: str, step) -> StreamingQuery:
+    """Run ``step(batch, state)`` on every micro-batch; it returns the rows to
+    write under ``out/batch=N`` and the next state. A batch that comes again
+    after a failure writes the same folder and is not counted in twice."""
+    def fold(batch: DataFrame, number: int) -> None:
+        done = store.version_of(f"batch-{number}")
+        before = done - 1 if done else store.version()
+        rows, state = step(batch, store.load(schema, before))
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if not done:
+            store.commit(state, f"batch-{number}", before + 1)
 
+    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def stream_status(arrivals: DataFrame) -> DataFrame:
-    """Status of each arrival as it comes: new, changed, unchanged or reopened.
 
-    ``arrivals`` has ``internal_id, observed_at, seq, content_hash, closed``. A
-    row with ``closed`` set ends the posting (status expired); expiry by absence
+def arrival_status(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Status of each arrival against the one before it, and the last arrival of each key.
+
+    ``batch`` has ``internal_id, observed_at, seq, content_hash, closed``. A row
+    with ``closed`` set ends the posting (status expired); expiry by absence
     needs a whole run and is part of the run fold.
     """
-    def step(key, chunks, state):
-        import pandas as pd
-
-        known, active = state.get if state.exists else (None, False)
-        rows = pd.concat(list(chunks)).sort_values(["observed_at", "seq"])
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.closed:
-                status = "expired"
-            elif known is None:
-                status = "new"
-            elif not active:
-                status = "reopened"
-            else:
-                status = "unchanged" if r.content_hash == known else "changed"
-            known, active = r.content_hash, not r.closed
-            out.append((key[0], r.observed_at, r.seq, r.content_hash, status))
-        state.update((known, active))
-        yield pd.DataFrame(out, columns=["internal_id", "observed_at", "seq", "content_hash", "status"])
-
-    return arrivals.groupBy("internal_id").applyInPandasWithState(
-        step, STATUS_SCHEMA, "hash string, active boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_watch_diff(checks: DataFrame, min_chars: int = 40) -> DataFrame:
-    """Outcome of each page check as it comes.
-
-    ``checks`` has ``id, seq, checked_at, content_text, content_hash, check_error,
-    keywords`` (see ``operators.watch.page_texts``). State is the last good text.
+    names = ["internal_id", "observed_at", "seq", "content_hash", "closed"]
+    both = state.select(*names, F.lit(False).alias("fresh")).unionByName(batch.select(*names, F.lit(True).alias("fresh")))
+    order = Window.partitionBy("internal_id").orderBy("fresh", "observed_at", "seq")
+    before = F.lag(F.struct("content_hash", "closed")).over(order)
+    status = (
+        F.when(F.col("closed"), F.lit("expired")).when(F.col("before").isNull(), F.lit("new")).when(F.col("before.closed"), F.lit("reopened"))
+        .when(F.col("content_hash") == F.col("before.content_hash"), F.lit("unchanged")).otherwise(F.lit("changed")))
+    rows = both.withColumn("before", before).filter("fresh").select("internal_id", "observed_at", "seq", "content_hash", status.alias("status"))
+    last = F.max_by(F.struct(*names[1:]), F.struct("fresh", "observed_at", "seq"))
+    return rows, both.groupBy("internal_id").agg(last.alias("l")).select("internal_id", "l.*")
+
+
+def stream_status(arrivals: DataFrame, store: StateStore, out: str, checkpoint: str) -> StreamingQuery:
+    """Status of each arrival as it comes: new, changed, unchanged, reopened or expired."""
+    return _each_batch(arrivals, store, ARRIVAL_STATE, out, checkpoint, arrival_status)
+
+
+def page_outcomes(batch: DataFrame, state: DataFrame, min_chars: int = MIN_MEANINGFUL_CHARS) -> tuple[DataFrame, DataFrame]:
+    """Outcome of each page check against the last good one before it, and the last good text of each page.
+
+    ``batch`` has ``id, seq, checked_at, content_text, content_hash, check_error,
+    keywords`` (see ``operators.watch.page_texts``).
     """
-    added_text = line_differ()
-
-    def step(key, chunks, state):
-        import pandas as pd
-
-        seen, digest, text, changed_at = state.get if state.exists else (False, None, None, None)
-        rows = pd.concat(list(chunks)).sort_values(["checked_at", "seq"])
-        out = []
-        for r in rows.itertuples(index=False):
-            added, error = "", ""
-            if isinstance(r.check_error, str):
-                status, error = "error", r.check_error
-            elif not seen:
-                status, digest, text, changed_at = "new", r.content_hash, r.content_text, r.checked_at
-            elif r.content_hash == digest:
-                status = "unchanged"
-            else:
-                added = added_text(text or "", r.content_text)
-                digest, text = r.content_hash, r.content_text
-                if len(added) >= min_chars:
-                    status, changed_at = "changed", r.checked_at
-                else:
-                    status, added = "unchanged", ""
-            seen = True
-            lowered = added.lower()
-            words = ", ".join(k for k in (r.keywords if r.keywords is not None else []) if k.lower() in lowered)
-            out.append((key[0], r.seq, r.checked_at, status, added, words, None if status == "error" else changed_at, error))
-        state.update((seen, digest, text, changed_at))
-        frame = pd.DataFrame(out, columns=["id", "seq", "checked_at", "status", "added_text", "keywords_found",
-                                           "last_changed_at", "error"])
-        frame["last_changed_at"] = pd.to_datetime(frame["last_changed_at"])
-        yield frame
-
-    return checks.groupBy("id").applyInPandasWithState(
-        step, WATCH_SCHEMA, "seen boolean, digest string, text string, changed_at timestamp", "append",
-        GroupStateTimeout.NoTimeout)
+    null = F.lit(None).cast("string")
+    stored = state.select("id", "seq", "checked_at", "content_text", "content_hash", null.alias("check_error"),
+                          F.lit(None).cast("array<string>").alias("keywords"), "last_changed_at", F.lit(False).alias("fresh"))
+    new = batch.select("id", "seq", "checked_at", "content_text", "content_hash", "check_error", "keywords",
+                       F.lit(None).cast("timestamp").alias("last_changed_at"), F.lit(True).alias("fresh"))
+    order = Window.partitionBy("id").orderBy("fresh", "checked_at", "seq")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    good = F.col("check_error").isNull() & F.col("content_hash").isNotNull()
+    # written once: the line comparison and the outcome both read it
+    seen = cut_lineage(stored.unionByName(new).withColumns({
+        "known": F.row_number().over(order) > 1,
+        "previous": F.last(F.when(good, F.struct("content_hash", "content_text")), ignorenulls=True).over(before),
+        "key": F.struct("id", "fresh", "checked_at", "seq"),
+    }))
+    differs = F.col("fresh") & F.col("check_error").isNull() & F.col("known") & ~F.col("content_hash").eqNullSafe(F.col("previous.content_hash"))
+    added = added_lines(seen.filter(differs).select(F.col("key").alias("id"), "content_text", F.col("previous.content_text").alias("previous_text"))).select(
+        F.col("id").alias("key"), "added_text")
+    status = (
+        F.when(F.col("check_error").isNotNull(), F.lit("error")).when(~F.col("known"), F.lit("new"))
+        .when(differs & meaningful(F.coalesce("added_text", F.lit("")), min_chars), F.lit("changed")).otherwise(F.lit("unchanged")))
+    text = F.when(F.col("status") == "changed", F.coalesce("added_text", F.lit(""))).otherwise(F.lit(""))
+    moved = F.when(F.col("fresh"), F.when(F.col("status").isin("new", "changed"), F.col("checked_at"))).otherwise(F.col("last_changed_at"))
+    judged = seen.join(added, "key", "left").withColumn("status", status).withColumn("added_text", text).withColumn(
+        "changed_at", F.last(moved, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = judged.filter("fresh").select(
+        "id", "seq", "checked_at", "status", "added_text", F.array_join(keywords_found(F.col("added_text"), F.col("keywords")), ", ").alias("keywords_found"),
+        F.when(F.col("status") != "error", F.col("changed_at")).alias("last_changed_at"), F.coalesce("check_error", F.lit("")).alias("error"))
+    at = F.struct("fresh", "checked_at", "seq")
+    kept = judged.groupBy("id").agg(
+        F.max_by(F.struct("checked_at", "seq"), at).alias("l"), F.max_by("changed_at", at).alias("last_changed_at"),
+        F.max_by(F.struct("content_text", "content_hash"), F.when(good, at)).alias("g"))
+    return rows, kept.select("id", "l.checked_at", "l.seq", "g.content_text", "g.content_hash", "last_changed_at")
+
+
+def stream_watch_diff(checks: DataFrame, store: StateStore, out: str, checkpoint: str, min_chars: int = MIN_MEANINGFUL_CHARS) -> StreamingQuery:
+    """Outcome of each page check as it comes."""
+    return _each_batch(checks, store, PAGE_STATE, out, checkpoint, lambda batch, state: page_outcomes(batch, state, min_chars))

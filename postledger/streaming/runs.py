@@ -41,9 +41,12 @@ def fold_run(current: DataFrame, store: StateStore, run_id: str, run_at, log_roo
 
 
 def stream_runs(markers: DataFrame, read_run: Callable[[str], DataFrame], store: StateStore, checkpoint: str,
-                log_root: str | None = None) -> StreamingQuery:
+                log_root: str | None = None, incomplete: Callable[[str], DataFrame] | None = None) -> StreamingQuery:
     """Fold every run that a stream of completion markers announces.
 
+    ``incomplete(run_id)`` gives the sources (``source_id``) whose collection
+    failed in part; they expire nothing.
+
     ``markers`` has ``run_id, run_at``, one row per complete run. Expiry needs a
     whole run, so the run's postings are read when its marker arrives, not as
     their files do. Only markers reach the driver.
@@ -51,7 +54,9 @@ def stream_runs(markers: DataFrame, read_run: Callable[[str], DataFrame], store:
     def fold(batch: DataFrame, _: int) -> None:
         for marker in batch.select("run_id", "run_at").distinct().orderBy("run_at", "run_id").toLocalIterator():
             if not store.has_run(marker.run_id):  # a repeated marker reads nothing
-                fold_run(read_run(marker.run_id), store, marker.run_id, marker.run_at, log_root)
+                current = read_run(marker.run_id)
+                whole = None if incomplete is None else D.complete_sources(current, incomplete(marker.run_id))
+                fold_run(current, store, marker.run_id, marker.run_at, log_root, whole)
 
     return (
         markers.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

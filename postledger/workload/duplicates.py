@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import duplicates as D
-from .registry import query
+from .registry import SQL, query
 from .views import SQL_ALL, all_postings, current_postings, previous_state, SQL_DIFF
 
 _LEV = "1.0 - levenshtein({0}, {1}) / greatest(length({0}), length({1}))"
@@ -22,10 +22,10 @@ def _roles(spark, sf):
 
 
 @query("duplicate_links", SQL_ALL + f""", k AS (SELECT company_name AS c, lower(title) AS t, lower(location) AS p, apply_url AS u, source_url AS v, source_id AS s FROM v_all),
-  rol AS (SELECT DISTINCT 'role' AS scope, md5(c || '|' || t || '|' || p) AS node, c, p, t, 'any' AS via, '' AS url, s FROM k
-    UNION SELECT DISTINCT 'role', md5(c || '|' || t || '|' || p), c, p, t, 'apply_url', u, s FROM k
-    UNION SELECT DISTINCT 'role', md5(c || '|' || t || '|' || p), c, p, t, 'source_url', v, s FROM k
-    UNION SELECT DISTINCT 'job', md5(c || '|' || t), c, '', t, 'apply_url', u, s FROM k),
+  rol AS (SELECT DISTINCT 'role' AS scope, md5(length(c) || ':' || c || length(t) || ':' || t || length(p) || ':' || p) AS node, c, p, t, 'any' AS via, '' AS url, s FROM k
+    UNION SELECT DISTINCT 'role', md5(length(c) || ':' || c || length(t) || ':' || t || length(p) || ':' || p), c, p, t, 'apply_url', u, s FROM k
+    UNION SELECT DISTINCT 'role', md5(length(c) || ':' || c || length(t) || ':' || t || length(p) || ':' || p), c, p, t, 'source_url', v, s FROM k
+    UNION SELECT DISTINCT 'job', md5(length(c) || ':' || c || length(t) || ':' || t), c, '', t, 'apply_url', u, s FROM k),
   unit AS (SELECT scope, node, c, p, t, via, url, min(s) AS lo, max(s) AS hi FROM rol GROUP BY ALL),
   x AS (SELECT a.scope, a.node AS node_a, b.node AS node_b, a.via, a.url,
       round(30 + 40 * (CASE WHEN a.t = b.t THEN 1.0 ELSE {_LEV.format('a.t', 'b.t')} END) + CASE WHEN a.scope = 'role' THEN 20 ELSE 0 END
@@ -76,10 +76,19 @@ def already_known(spark, sf):
   SELECT internal_id, duplicate_id, score FROM (SELECT *, row_number() OVER (PARTITION BY internal_id ORDER BY score DESC, duplicate_id) AS rank FROM q WHERE score >= 0.8) WHERE rank = 1""")
 def duplicates_of_new(spark, sf):
     """Best known duplicate of each posting that is new in the run."""
+    fresh, known = (D.with_role(x) for x in _new_and_known(spark, sf))
+    return D.best_duplicates(fresh, D.duplicate_links(fresh.unionByName(known)), known)
+
+
+
+
+def _new_and_known(spark, sf):
     state = previous_state(spark, sf)
     new = current_postings(spark, sf).join(state.select("source_id", "source_job_id"), ["source_id", "source_job_id"], "left_anti")
-    with_id = new.withColumn("internal_id", F.concat_ws("#", "source_id", "source_job_id"))
-    fresh, known = D.with_role(with_id), D.with_role(state)
-    return D.best_duplicates(fresh, D.duplicate_links(fresh.unionByName(known)), known)
+    return new.withColumn("internal_id", F.concat_ws("#", "source_id", "source_job_id")), state
 
 
+@query("ranked_duplicates_of_new", SQL["duplicates_of_new"].replace("SELECT internal_id, duplicate_id, score FROM (SELECT *,", "SELECT internal_id, duplicate_id, score, rank FROM (SELECT *,").replace(" WHERE rank = 1", ""))
+def ranked_duplicates_of_new(spark, sf):
+    """All known duplicates of each posting that is new in the run, best first."""
+    return D.duplicates_of(*_new_and_known(spark, sf))

@@ -110,6 +110,15 @@ def feed_parts(spark, sf):
     return _digests(feed.batch_messages(all_postings(spark, sf), _watches(spark, sf), F.lit(RUN_AT).cast("timestamp_ntz"), failed_sources=2))
 
 
+@query("feed_parts_limited", _SIZED.replace("WITH ", "WITH RECURSIVE ", 1) + f", {_BATCHES}, {_WATCHES}, m AS (SELECT batch + 1 AS part, " + _header(
+    "(batch + 1)", "(SELECT max(batch) + 1 FROM walk)", "count(*)", "(SELECT CASE WHEN count(*) > 0 THEN 'records_omitted: ' || count(*) || ' (part limit; ordered new-first, so omitted records are the lowest priority)' || chr(10) ELSE '' END FROM walk WHERE batch >= 2)",
+    "CASE WHEN batch = 0 THEN (SELECT count(*) FROM pages) ELSE 0 END",
+    f"CASE WHEN batch = 0 THEN {_CHANGED} ELSE 0 END") + " AS header FROM walk WHERE batch < 2 GROUP BY batch), j AS (SELECT batch + 1 AS part, pos, record FROM o JOIN walk USING (pos) WHERE batch < 2) "
+       + _rows_sql("m", "j"))
+def feed_parts_limited(spark, sf):
+    return _digests(feed.batch_messages(all_postings(spark, sf), _watches(spark, sf), F.lit(RUN_AT).cast("timestamp_ntz"), max_parts=2, failed_sources=2))
+
+
 @query("json_report_rows", SQL_ALL + """ SELECT status, source_type AS source, source_job_id AS source_id, company_name AS company, title, location, employment_type,
   remote_status, salary_text AS salary, sha256(left(description_text, 2000)) AS digest, apply_url, strftime(date_posted, '%Y-%m-%dT%H:%M:%S') AS posted_date,
   strftime(first_seen_at, '%Y-%m-%dT%H:%M:%S') AS first_seen, 0 AS warnings FROM v_all WHERE status IN ('new', 'changed', 'expired')""")
@@ -122,16 +131,22 @@ _MD = r"""v_md AS (SELECT *, CASE WHEN category IN ('Software development', 'QA
     WHEN contains(location, 'TX') OR contains(location, 'Texas') OR contains(location, 'Austin') THEN 3 ELSE 4 END AS b FROM v_all WHERE status IN ('new', 'changed'))"""
 
 
-@query("markdown_report", SQL_ALL + f""", {_MD} SELECT CASE WHEN status = 'changed' THEN 'Changed Jobs' WHEN b = 1 THEN 'New Software & QA Jobs' WHEN b = 2 THEN 'New Trades & Immediate Income Jobs'
-    WHEN b = 3 THEN 'New Austin-Area Technical Jobs' ELSE 'Other New Jobs' END AS section, internal_id, CASE WHEN status = 'new' AND b = 4 THEN
-    '- [' || title || '](' || apply_url || ') — ' || company_name || ', ' || location ELSE chr(10) || '### ' || title END AS first_line FROM v_md
-  UNION ALL SELECT 'header', NULL, '# Job Collection Report'""")
+_SECTION = """CASE WHEN status = 'changed' THEN 'Changed Jobs' WHEN b = 1 THEN 'New Software & QA Jobs' WHEN b = 2 THEN 'New Trades & Immediate Income Jobs'
+    WHEN b = 3 THEN 'New Austin-Area Technical Jobs' ELSE 'Other New Jobs' END"""
+_LINE = """CASE WHEN status = 'new' AND b = 4 THEN '- [' || title || '](' || apply_url || ') — ' || company_name || ', ' || location
+  ELSE chr(10) || '### ' || title || chr(10) || '**' || company_name || '** | ' || location || CASE WHEN employment_type <> '' THEN chr(10) || '*' || employment_type || '*' ELSE '' END
+    || CASE WHEN remote_status <> '' THEN chr(10) || '*Remote: ' || remote_status || '*' ELSE '' END || CASE WHEN salary_text <> '' THEN chr(10) || '**Salary:** ' || salary_text ELSE '' END
+    || CASE WHEN description_text <> '' THEN chr(10) || chr(10) || left(description_text, 500) || CASE WHEN length(description_text) > 500 THEN '...' ELSE '' END ELSE '' END
+    || chr(10) || '[Apply](' || apply_url || ')' END"""
+
+
+@query("markdown_report", SQL_ALL + f""", {_MD}, posts AS (SELECT {_SECTION} AS section, internal_id, {_LINE} AS line FROM v_md)
+  SELECT section, internal_id, sha256(line) AS digest FROM posts
+  UNION ALL SELECT section, NULL, sha256(chr(10) || '## ' || section || ' (' || count(*) || ')') FROM posts GROUP BY section
+  UNION ALL SELECT 'header', NULL, sha256(unnest(['# Job Collection Report', chr(10) || '**Generated:** 2024-02-01T06:00:00Z', '**Sources checked:** 5', '**Status:** 4 successful, 1 failed']))""")
 def markdown_report(spark, sf):
     rows = report.markdown_rows(all_postings(spark, sf), F.lit(RUN_AT).cast("timestamp_ntz"), 5, 4, 1)
-    posts = rows.filter("section_ord > 0 and row_ord > 0 and internal_id is not null")
-    first = F.when(F.col("line").startswith("\n### "), F.substring_index("line", "\n", 2)).otherwise(F.col("line"))
-    head = rows.filter("section_ord = 0 and row_ord = 0").select(F.lit("header").alias("section"), F.lit(None).cast("string").alias("internal_id"), F.col("line").alias("first_line"))
-    return posts.select("section", "internal_id", first.alias("first_line")).unionByName(head)
+    return rows.select("section", "internal_id", F.sha2("line", 256).alias("digest"))
 
 
 @query("markdown_headings", SQL_ALL + f""", {_MD} SELECT CASE WHEN status = 'changed' THEN 'Changed Jobs' WHEN b = 1 THEN 'New Software & QA Jobs' WHEN b = 2 THEN 'New Trades & Immediate Income Jobs'

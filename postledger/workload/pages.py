@@ -77,16 +77,10 @@ def watch_list(spark, sf) -> DataFrame:
 
 @query("watch_diff", CHECK_SQL + f" SELECT id, status, CASE WHEN status = 'changed' THEN sha256(added) ELSE sha256('') END AS added_digest, {_ERROR} AS error FROM o")
 def watch_diff(spark, sf):
-    d = W.watch_diff(_texts(pages_now(spark, sf)), pages_before(spark, sf), "multiset")
+    d = W.watch_diff(_texts(pages_now(spark, sf)), pages_before(spark, sf))
     return d.select("id", "status", F.sha2("added_text", 256).alias("added_digest"), F.coalesce("check_error", F.lit("")).alias("error"))
 
 
-@query("watch_diff_sequence")
-def watch_diff_sequence(spark, sf):
-    d = W.watch_diff(_texts(pages_now(spark, sf)), pages_before(spark, sf), "sequence")
-    return d.select("id", "status", "added_text")
-
-
 @query("added_lines", CHECK_SQL + " SELECT id, sha256(added) AS digest FROM added")
 def added_lines(spark, sf):
     now = _texts(pages_now(spark, sf)).filter("content_text is not null").select("id", "content_text")
@@ -97,7 +91,7 @@ def added_lines(spark, sf):
 @query("watch_results", CHECK_SQL + f""" SELECT id, status, CASE WHEN status = 'changed' THEN 'apply now, MONDAY' ELSE '' END AS keywords,
     CASE WHEN status = 'error' THEN NULL WHEN status IN ('new', 'changed') THEN '2024-02-01' ELSE '2024-01-01' END AS changed_on, {_ERROR} AS error FROM o""")
 def watch_results(spark, sf):
-    d = W.watch_diff(_texts(pages_now(spark, sf)), pages_before(spark, sf), "multiset")
+    d = W.watch_diff(_texts(pages_now(spark, sf)), pages_before(spark, sf))
     keys = table(spark, sf, "pages").select(F.concat(F.lit("w"), F.col("page_id").cast("string")).alias("id"),
                                            F.array(F.lit("apply now"), F.lit("Deadline"), F.lit("MONDAY")).alias("keywords"))
     return W.watch_results(d, keys).select("id", "status", F.array_join("keywords_found", ", ").alias("keywords"),
@@ -110,7 +104,7 @@ def watch_results(spark, sf):
     CASE WHEN status = 'changed' THEN length(added) ELSE 0 END AS added_chars FROM o""")
 def merge_watches(spark, sf):
     before = pages_before(spark, sf)
-    d = W.watch_diff(_texts(pages_now(spark, sf)), before, "multiset")
+    d = W.watch_diff(_texts(pages_now(spark, sf)), before)
     day = lambda c, n: F.date_format(c, "yyyy-MM-dd").alias(n)
     return W.next_watch_state(d, before).select(
         "id", "name", "content_hash", day("first_seen_at", "first_seen"), day("last_checked_at", "checked"), day("last_changed_at", "changed"),
@@ -119,14 +113,14 @@ def merge_watches(spark, sf):
 
 @query("watch_counts", CHECK_SQL + " SELECT count(*) AS watches_checked, count(*) FILTER (WHERE status = 'changed') AS watches_changed FROM o")
 def watch_counts(spark, sf):
-    return rollups.watch_counts(W.watch_diff(_texts(pages_now(spark, sf)), pages_before(spark, sf), "multiset"))
+    return rollups.watch_counts(W.watch_diff(_texts(pages_now(spark, sf)), pages_before(spark, sf)))
 
 
 @query("watch_feed_state", CHECK_SQL + f""" SELECT id, CASE WHEN page_id % 2 = 0 THEN 'Even page' ELSE id END AS name, CASE WHEN status IN ('changed', 'error') THEN status ELSE 'unchanged' END AS status,
     CASE WHEN status = 'changed' THEN 'apply now, MONDAY' ELSE '' END AS keywords, {_ERROR} AS error FROM o WHERE page_id % 7 <> 0""")
 def watch_feed_state(spark, sf):
     before = pages_before(spark, sf)
-    state = W.next_watch_state(W.watch_diff(_texts(pages_now(spark, sf)), before, "multiset"), before)
+    state = W.next_watch_state(W.watch_diff(_texts(pages_now(spark, sf)), before), before)
     return W.watch_feed_state(watch_list(spark, sf), state).select("id", "name", "status", F.array_join("keywords_found", ", ").alias("keywords"), "error")
 
 

@@ -2,14 +2,18 @@
 one stored response per document, in the shape each platform sends."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import LocationFilter
 from ..operators import validate as V
 from ..sources import boards, jsonld, union, workday
+from ..session import shared_folder
+from ..sources import landing as landed
 from ..sources.landing import accepted, rejected
-from .registry import query
+from .registry import SQL, query
 from .views import SQL_POST, posting_base
 
 
@@ -198,7 +202,7 @@ _IN_AREA = rf"(regexp_matches({_PLACE}, '(?i)\bAFRICA\b|\bOslo\b') AND NOT regex
     'https://acme.wd5.myworkdayjobs.com/Careers' || {_PATH} AS apply_url FROM v_post WHERE {_GOOD})
   SELECT source_id, source_job_id, {_OUT}, {_DIGEST} FROM w""")
 def decode_workday(spark, sf):
-    return _shown(workday.workday_rows(workday_landing(spark, sf), cap=10**9))
+    return _shown(workday.workday_rows(workday_landing(spark, sf)))
 
 
 @query("workday_summaries", SQL_POST + f" SELECT source_company_id AS company_id, {_PATH} AS path, title, {_PLACE} AS location FROM v_post WHERE {_GOOD}")
@@ -237,7 +241,7 @@ def _item(title: Column) -> Column:
     return F.struct(
         F.lit("JobPosting").alias("@type"), title.alias("title"), F.concat(F.lit("https://jobs.example.com/ld/"), F.col("source_job_id")).alias("url"),
         F.struct(F.col("company_name").alias("name")).alias("hiringOrganization"), F.array(place).alias("jobLocation"),
-        F.substring("description_text", 1, 300).alias("description"),
+        F.col("description_text").alias("description"),
         F.expr("CASE doc_id % 4 WHEN 0 THEN 'PART_TIME' WHEN 1 THEN 'CONTRACTOR' WHEN 2 THEN 'FULL_TIME' END").alias("employmentType"),
         F.expr("CASE doc_id % 3 WHEN 0 THEN 'TELECOMMUTE' WHEN 1 THEN 'ON_SITE' END").alias("jobLocationType"),
         _when(_KEY % 3 != 0, F.struct(F.concat(F.lit("ref-"), F.col("source_job_id")).alias("value"))).alias("identifier"),
@@ -259,7 +263,7 @@ def jsonld_landing(spark, sf):
 
 _LD = f"""
   ld AS (SELECT doc_id, source_company_id || '#jsonld' AS source_id, company_name, title, 'Austin, ' || location || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ', DE' END AS location,
-    'https://jobs.example.com/ld/' || source_job_id AS apply_url, left(description_text, 300) AS description_text, source_job_id AS k,
+    'https://jobs.example.com/ld/' || source_job_id AS apply_url, description_text, source_job_id AS k,
     CASE doc_id % 4 WHEN 0 THEN 'part_time' WHEN 1 THEN 'contract' ELSE 'full_time' END AS employment_type,
     CASE doc_id % 3 WHEN 0 THEN 'remote' WHEN 1 THEN 'on_site' ELSE 'unknown' END AS remote_status, strftime(date_posted, '%Y-%m-%d') || ' 00:00:00' AS posted,
     '$' || format('{{:,}}', (doc_id % 50 + 50) * 1000) || ' - $' || format('{{:,}}', (doc_id % 50 + 90) * 1000) || CASE WHEN doc_id % 2 = 0 THEN ' EUR' ELSE ' USD' END AS salary_text
@@ -291,12 +295,35 @@ def page_has_posting(spark, sf):
     return pages.select("doc_id", jsonld.has_posting(F.col("html")).alias("has_posting"))
 
 
-@query("union_sources", SQL_POST + f""",{_GH_SQL},{_LEVER_SQL},{_LD} SELECT source_id, count(*) AS postings FROM (
-    SELECT source_id FROM g WHERE doc_id % 17 <> 5 UNION ALL SELECT source_id FROM l2 UNION ALL SELECT source_id FROM ld
-    UNION ALL SELECT source_company_id || '#ashby' FROM v_post WHERE {_GOOD} AND doc_id % 7 <> 3
-    UNION ALL SELECT source_company_id || '#workday' FROM v_post WHERE {_GOOD} AND {_IN_AREA}) GROUP BY 1""")
+def _rows_of(name: str) -> str:
+    """The common table expressions of a decoder's statement."""
+    return SQL[name][len(SQL_POST):].rsplit("SELECT source_id, ", 1)[0]
+
+
+@query("union_sources", SQL_POST + _rows_of("decode_greenhouse") + _rows_of("decode_lever") + _rows_of("decode_ashby") + _rows_of("decode_jsonld")
+       + _rows_of("decode_workday") + f""" SELECT source_id, {_DIGEST} FROM g WHERE doc_id % 17 <> 5 UNION ALL SELECT source_id, {_DIGEST} FROM l2 UNION ALL SELECT source_id, {_DIGEST} FROM a
+    UNION ALL SELECT source_id, {_DIGEST} FROM ld2 UNION ALL SELECT source_id, {_DIGEST} FROM w WHERE {_IN_AREA.replace(_PLACE, "location")}""")
 def union_sources(spark, sf):
+    return union.union_sources(_all_landing(spark, sf), where=_AREA).select("source_id", "content_hash")
+
+
+def _all_landing(spark, sf):
     landing = greenhouse_landing(spark, sf)
     for other in (lever_landing, ashby_landing, workday_landing, jsonld_landing):
         landing = landing.unionByName(other(spark, sf))
-    return union.union_sources(landing, where=_AREA).groupBy("source_id").agg(F.count("*").alias("postings"))
+    return landing
+
+
+@query("read_landing", """SELECT source_type, page_kind, count(*) AS responses FROM (SELECT unnest(['greenhouse/board', 'lever/board', 'ashby/board', 'jsonld/html', 'workday/search', 'workday/search']) AS k FROM documents
+    UNION ALL SELECT 'workday/detail' FROM documents WHERE doc_id % 2 = 1), LATERAL (SELECT split_part(k, '/', 1) AS source_type, split_part(k, '/', 2) AS page_kind) GROUP BY ALL""")
+def read_landing(spark, sf):
+    """Landed responses written by partition and read back for one run."""
+    folder = f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
+    _all_landing(spark, sf).write.partitionBy("run_id", "source_type", "page_kind").parquet(folder)
+    return landed.read_landing(spark, folder, "r1").groupBy("source_type", "page_kind").agg(F.count("*").alias("responses"))
+
+
+@query("search_plan", SQL_POST + f""" SELECT DISTINCT source_company_id AS company_id, term AS search_term, 2 AS total, 1 AS pages, 0 AS left_out
+  FROM v_post, (SELECT unnest(['a', 'b']) AS term) WHERE {_GOOD}""")
+def search_plan(spark, sf):
+    return workday.search_plan(workday_landing(spark, sf)).select("company_id", "search_term", "total", "pages", "left_out")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import LocationFilter
 from ..operators import diff as D
+from ..operators import feed
 from ..operators import rollups as R
 from ..operators import validate as V
 from .registry import query
@@ -65,6 +66,46 @@ def merge_state(spark, sf):
                       text("last_changed_at"), "active", "state_version")
 
 
+@query("merge_state_texts", SQL_DIFF + """, t AS (SELECT COALESCE(c.source_id, s.source_id) || '#' || COALESCE(c.source_job_id, s.source_job_id) AS internal_id,
+    sha256(CASE WHEN c.source_id IS NOT NULL THEN c.description_text ELSE s.description_text END) AS description_digest
+    FROM c FULL JOIN s ON c.source_id = s.source_id AND c.source_job_id = s.source_job_id)
+  SELECT internal_id, description_digest, status AS last_status FROM t JOIN diff USING (internal_id)""")
+def merge_state_texts(spark, sf):
+    out = D.next_state(_diff(spark, sf), F.lit(RUN_AT), 2)
+    return out.select("internal_id", F.sha2("description_text", 256).alias("description_digest"), "last_status")
+
+
+_ACTIVE = "(seen OR (was_active AND status IS NULL))"
+
+
+@query("published_inventory", SQL_DIFF + f" SELECT internal_id FROM diff WHERE {_ACTIVE}")
+def published_inventory(spark, sf):
+    """What a full inventory publishes after the run: every active posting, touched by the run or not."""
+    whole = D.inventory(D.next_state(_diff(spark, sf), F.lit(RUN_AT), 2), 2)
+    return feed.feed_records(whole, "all").select("internal_id")
+
+
+@query("inventory_message_counts", SQL_DIFF + f""" SELECT CAST(count(*) FILTER (WHERE {_ACTIVE}) AS VARCHAR) AS total_active, CAST(count(*) FILTER (WHERE status = 'new') AS VARCHAR) AS "new",
+  CAST(count(*) FILTER (WHERE status = 'changed') AS VARCHAR) AS changed, CAST(count(*) FILTER (WHERE status = 'expired') AS VARCHAR) AS expired FROM diff""")
+def inventory_message_counts(spark, sf):
+    """The counts in the header of a message over the whole snapshot."""
+    whole = D.inventory(D.next_state(_diff(spark, sf), F.lit(RUN_AT), 2), 2)
+    none = spark.createDataFrame([], "id string, name string, url string, status string, added_text string, keywords_found array<string>, last_changed_at timestamp_ntz, error string")
+    rows = feed.single_message(whole, none, F.lit(RUN_AT).cast("timestamp_ntz"))
+    value = lambda n: F.regexp_extract("text", f"(?m)^{n}: ([0-9]+)$", 1).alias(n)
+    return rows.filter("section = 0").select(*[value(n) for n in ("total_active", "new", "changed", "expired")])
+
+
+@query("expired_after_partial_failure", SQL_DIFF + "," + SQL_RESPONSES[len("WITH "):] + """ SELECT source_id, source_job_id FROM diff WHERE status = 'expired'
+  AND source_id NOT IN (SELECT source_id FROM v_err WHERE message IS NOT NULL AND page_seq % 40 = 0)""")
+def expired_after_partial_failure(spark, sf):
+    """Sources with any failed response expire nothing."""
+    current = current_postings(spark, sf)
+    failed = R.response_errors(response_log(spark, sf).filter("page_seq % 40 = 0"))
+    diff = D.snapshot_diff(current, previous_state(spark, sf), D.complete_sources(current, failed))
+    return diff.filter("status = 'expired'").select("source_id", "source_job_id")
+
+
 @query("observations", SQL_DIFF + """ SELECT internal_id, status, content_hash, sha256('run-7|' || internal_id) AS observation_id
   FROM diff WHERE status IS NOT NULL""")
 def observations(spark, sf):

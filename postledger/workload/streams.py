@@ -36,6 +36,13 @@ def _run(out: DataFrame) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
+def _fold(stream, arrivals: DataFrame) -> DataFrame:
+    """Run a stream of batch folds over all that is there, then read the result back."""
+    spark, folder = arrivals.sparkSession, _folder(arrivals.sparkSession, "fold")
+    stream(arrivals, StateStore(spark, f"{folder}/state"), f"{folder}/out", f"{folder}/log").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 @query("stream_status_counts", f"""WITH e AS (SELECT date_trunc('day', ts) AS d, {STATUS_OF_EVENT} AS status FROM events)
   SELECT strftime(d, '%Y-%m-%d') AS day, status, count(*) AS observations FROM e
   WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY ALL""")
@@ -53,7 +60,7 @@ def status(spark, sf):
     arrivals = _stream(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("internal_id"), F.col("ts").cast("timestamp").alias("observed_at"), F.col("event_id").alias("seq"),
         F.col("event_type").alias("content_hash"), (F.col("event_type") == "error").alias("closed"))
-    return _run(stream_status(arrivals)).select("internal_id", "seq", "status")
+    return _fold(stream_status, arrivals).select("internal_id", "seq", "status")
 
 
 @query("stream_watch_diff", CHECK_SQL.replace("replace(html, 'ou', 'o')", "html") + """ SELECT id, CASE WHEN k IN (1, 2) THEN 'error' WHEN k >= 5 THEN 'changed' ELSE 'unchanged' END AS status,
@@ -68,7 +75,7 @@ def watch(spark, sf):
     checks = W.page_texts(first.unionByName(second)).select(
         "id", F.unix_seconds(F.col("checked_at").cast("timestamp")).alias("seq"), F.col("checked_at").cast("timestamp").alias("checked_at"), "content_text",
         "content_hash", "check_error", F.array(F.lit("apply now"), F.lit("Deadline"), F.lit("MONDAY")).alias("keywords"))
-    out = _run(stream_watch_diff(checks))
+    out = _fold(stream_watch_diff, checks)
     return out.filter("checked_at > timestamp'2024-01-02'").select("id", "status", "added_text", "keywords_found")
 
 

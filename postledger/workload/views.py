@@ -24,27 +24,20 @@ STATUS_OF_EVENT = ("CASE event_type WHEN 'click' THEN 'new' WHEN 'view' THEN 'un
                    "WHEN 'purchase' THEN 'changed' WHEN 'signup' THEN 'reopened' ELSE 'source_error' END")
 
 
-_TEXT_TABLES = ("documents", "pages")
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table. A text table in fewer file splits than cores is dealt out to all
-    of them; a large one is read in place."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _TEXT_TABLES and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def posting_base(spark: SparkSession, sf: str) -> DataFrame:
     """One posting per document, with title and place from the dimensions."""
     d = table(spark, sf, "documents").select("doc_id", "text", "source")
+    # several documents share a title, and there are more titles where there are more parts
+    titles = F.floor(table(spark, sf, "part").agg(F.count("*")).scalar() / 10)
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("pk"), F.concat_ws(" ", "p_name", "p_type").alias("title"))
     n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_nationkey").alias("nk"), F.concat_ws(", ", "n_name", "r_name").alias("location"))
     return (
-        d.join(p, F.col("doc_id") % 200 == F.col("pk")).join(n, F.col("doc_id") % 25 == F.col("nk"))
+        d.join(p, F.col("doc_id") % titles == F.col("pk")).join(n, F.col("doc_id") % 25 == F.col("nk"))
         .select(
             "doc_id",
             F.col("source").alias("source_company_id"),
@@ -146,7 +139,7 @@ v_post AS (
     d.text AS description_text, {EMPLOYMENT} AS employment_type, {REMOTE} AS remote_status, {CATEGORY} AS category,
     CASE WHEN doc_id % 3 = 0 THEN '$' || CAST(doc_id % 90 + 10 AS VARCHAR) || 'k' ELSE '' END AS salary_text,
     TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 28 AS INT)) AS date_posted
-  FROM documents d JOIN part p ON p.p_partkey = d.doc_id % 200
+  FROM documents d JOIN part p ON p.p_partkey = d.doc_id % (SELECT count(*) // 10 FROM part)
     JOIN nation n ON n.n_nationkey = d.doc_id % 25 JOIN region r ON r.r_regionkey = n.n_regionkey)"""
 _HASH = "sha256(company_name || '|' || title || '|' || location || '|' || description_text || '|' || apply_url)"
 

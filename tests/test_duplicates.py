@@ -120,3 +120,11 @@ def test_exact_duplicates(spark):
     df = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "1")], "source_id string, source_job_id string")
     assert [tuple(r) for r in D.exact_duplicates(df).collect()] == [("a", "1", 2)]
     assert D.exact_duplicates_of(df, df.filter("source_id = 'b'")).count() == 1
+
+
+def test_roles_do_not_collide(spark):
+    rows = [("1", "s1", "a|b", "c", "p"), ("2", "s2", "a", "b|c", "p"), ("3", "s1", "x", None, "y"), ("4", "s2", "x", "y", None)]
+    df = spark.createDataFrame([(i, s, c, t, p, None, None) for i, s, c, t, p in rows],
+                               "internal_id string, source_id string, company_name string, title string, location string, apply_url string, source_url string")
+    roles = D.with_role(df)
+    assert roles.select("role").distinct().count() == 4 and roles.select("job").distinct().count() == 4

@@ -8,7 +8,6 @@ from postledger.operators import diff as D
 from postledger.operators import rollups, validate
 from postledger.plans import daily, pages
 from postledger.schemas import COMPANY_CONFIG, LANDING, WATCH_CONFIG
-from postledger.sinks.report import single_json
 from postledger.sinks.state import StateStore
 from postledger.sources.registry import no_watches, read_registry, read_watches
 from postledger.sources.union import quarantine, union_sources
@@ -156,9 +155,11 @@ def test_reports_and_messages(spark, tmp_path):
             inside.setdefault(k, v)
     assert sorted(ids) == [f"acme#greenhouse|{i}" for i in range(1, 8)]
     assert "records_included: 7" in body and "records_omitted" not in body and "END_JOB" in body
-    header = spark.createDataFrame([(("x", "success", 1, 1, 0),)], "run struct<generated_at string, status string, source_count int, successful_sources int, failed_sources int>")
-    report = json.loads(single_json(postings, header, out["source_errors"]).first().report)
-    assert len(report["jobs"]["new"]) == 7 and report["jobs"]["changed"] == [] and report["run"]["status"] == "success"
+    written = spark.read.json(str(tmp_path / "out" / "latest_jobs" / "jobs"))
+    assert written.filter("status = 'new'").count() == 7 == written.count()
+    assert spark.read.json(str(tmp_path / "out" / "latest_jobs" / "run")).first()["run"]["status"] == "success"
+    dated = spark.read.parquet(str(tmp_path / "out" / "archive")).orderBy("section_ord", "row_ord", "sort_key").collect()
+    assert "\n".join(r.line for r in dated) == text
 
 
 def test_message_limits_are_counted(spark):
@@ -172,7 +173,11 @@ def test_message_limits_are_counted(spark):
     assert f"records_included: 4\nrecords_omitted: {offered - 4} (record cap;" in capped
     tight = feed.message_bodies(feed.single_message(postings, none, F.lit(T0), max_bytes=500)).first().body
     assert f"records_included: 1\nrecords_omitted: {offered - 1} (body size limit;" in tight
+    part = feed.message_bodies(feed.batch_messages(postings, none, F.lit(T0), "all", max_parts=2, max_bytes=20_000)).collect()
     parts = feed.message_bodies(feed.batch_messages(postings, none, F.lit(T0), "all", max_bytes=20_000)).collect()
+    left = postings.count() - sum(p.records for p in part)
+    assert len(part) == 2 and len(parts) > 2 and left > 0
+    assert all(f"part: {p.part} of {len(parts)}\n" in p.body and f"records_omitted: {left} (part limit;" in p.body for p in part)
     assert sum(p.records for p in parts) == postings.count()
     assert all(f"part: {p.part} of {len(parts)}\n" in p.body and len(p.body.encode()) <= 20_000 for p in parts)
     postings.unpersist()
@@ -190,14 +195,13 @@ def test_watched_page_over_time(spark, tmp_path):
     steps = [(closed, 200, "new"), (closed, 200, "unchanged"), (closed + "<b>Visitors: 1</b>", 200, "unchanged"), (closed + "<b>Visitors: 1</b>", 200, "unchanged"),
              ("<h1>404 Page</h1>", 200, "error"), (None, 503, "error"),
              (closed + "<b>Visitors: 1</b><p>We are now accepting applications. The deadline is 1 October.</p>", 200, "changed")]
-    for mode in ("sequence", "multiset"):
-        store = StateStore(spark, str(tmp_path / mode))
-        for day, (html, status, want) in enumerate(steps):
-            r = pages.check_watches(watch_pages(spark, html, status, day), watches, store, f"c{day}", mode).first()
-            assert r.status == want, (mode, day)
-        assert r.keywords_found == ["Accepting Applications", "deadline"] and r.added_text.startswith("We are now accepting")
-        kept = store.load().first()
-        assert kept.last_changed_at == T0 + dt.timedelta(days=6) and kept.first_seen_at == T0 and kept.last_error == ""
+    store = StateStore(spark, str(tmp_path / "w"))
+    for day, (html, status, want) in enumerate(steps):
+        r = pages.check_watches(watch_pages(spark, html, status, day), watches, store, f"c{day}").first()
+        assert r.status == want, day
+    assert r.keywords_found == ["Accepting Applications", "deadline"] and r.added_text.startswith("We are now accepting")
+    kept = store.load().first()
+    assert kept.last_changed_at == T0 + dt.timedelta(days=6) and kept.first_seen_at == T0 and kept.last_error == ""
 
 
 def test_first_check_failing_makes_the_next_one_a_change(spark, tmp_path):
@@ -227,3 +231,117 @@ def test_failure_streaks(spark):
     assert (h["s"].consecutive_failures, h["s"].last_error, h["s"].last_successful_at) == (2, "y", day(1))
     assert (h["ok"].consecutive_failures, h["ok"].last_error, h["ok"].last_status) == (0, None, "success")
     assert (h["bad"].consecutive_failures, h["bad"].last_successful_at) == (1, None)
+
+
+def search(total, *paths, term="", ord=0, status=200, seq=0):
+    found = {"total": total, "jobPostings": [{"title": p, "externalPath": f"/job/Austin/{p}_JR-{p}", "locationsText": "Austin"} for p in paths]}
+    row = list(response("acme", "workday", found if status == 200 else None, "search", status, seq=seq, term=term))
+    row[8] = ord
+    return tuple(row)
+
+
+def test_a_failed_term_expires_nothing(spark, tmp_path):
+    store = StateStore(spark, str(tmp_path / "s"))
+    both = [search(1, "a", term="a"), search(1, "b", term="b", ord=1)]
+    assert set(statuses(run(spark, store, both, "w1", 0, tmp_path)).values()) == {"new"}
+    half = [search(1, "a", term="a"), search(0, term="b", ord=1, status=503)]
+    out = run(spark, store, half, "w2", 1, tmp_path)
+    assert statuses(out) == {"/job/Austin/a_JR-a": "unchanged"} and {r.status for r in out["source_runs"].collect()} == {"error"}
+    # a failed detail page does not keep the source from expiring
+    gone = [search(1, "a", term="a"), response("acme", "workday", None, "detail", 500, path="/job/Austin/a_JR-a")]
+    assert statuses(run(spark, store, gone, "w3", 2, tmp_path)) == {"/job/Austin/a_JR-a": "unchanged", "/job/Austin/b_JR-b": "expired"}
+
+
+def test_inventory_has_every_active_posting(spark, tmp_path):
+    from postledger.operators import feed
+
+    store = StateStore(spark, str(tmp_path / "s"))
+    lever = [{"id": "L", "text": "Cook", "categories": {"location": "Austin"}}]
+    run(spark, store, [response("acme", "greenhouse", board((1, "Dev", "A"), (2, "QA", "A"))), response("beta", "lever", lever)], "d1", 0, tmp_path)
+    run(spark, store, [response("acme", "greenhouse", board((1, "Dev", "A"))), response("beta", "lever", None, status=503)], "d2", 1, tmp_path)
+    whole = daily.inventory(store)
+    assert {r.internal_id.replace("|", "#") for r in feed.feed_records(whole, "all").collect()} == {"acme#greenhouse#1", "beta#lever#L"}
+    assert feed.feed_records(whole, "delta").count() == 0
+    none = spark.createDataFrame([], "id string, name string, url string, status string, added_text string, keywords_found array<string>, last_changed_at timestamp_ntz, error string")
+    body = feed.message_bodies(feed.batch_messages(whole, none, F.lit(T0), "all")).first().body
+    assert "total_active: 2\nnew: 0\nchanged: 0\nexpired: 1\n" in body and "records_included: 2" in body
+
+
+def test_landed_pages_and_details_are_all_used(spark):
+    from postledger.sources import workday
+
+    pages_of = [search(1200, *[f"p{k}x{i}" for i in range(20)], seq=k) for k in range(60)]
+    rows = landing(spark, pages_of + [response("acme", "workday", {"jobPostingInfo": {"jobDescription": "<p>d</p>"}}, "detail", path=f"/job/Austin/p{k}x{i}_JR-p{k}x{i}")
+                                      for k in range(60) for i in range(20)])
+    decoded = union_sources(rows)
+    assert decoded.count() == 1200 and decoded.filter("description_text = 'd'").count() == 1200
+    plan = workday.search_plan(rows).first()
+    assert (plan.total, plan.pages, plan.left_out) == (1200, 50, 200)
+    assert workday.search_completeness(rows).filter("found < total").count() == 0
+
+
+def test_options_come_from_the_registry(spark, tmp_path):
+    from postledger.sources.landing import attach_options
+
+    row = response("acme", "workday", {"total": 1, "jobPostings": [{"title": "T", "externalPath": "/job/X/T_JR1"}]}, "search", options={"store_raw": "no", "kept": "yes"})
+    source = ("acme", "workday", {"store_raw": "true"}, "ten", "wd9", None)
+    sources = spark.createDataFrame([source], "company_id string, type string, parsing_config map<string,string>, tenant string, wd_host string, site string")
+    out = attach_options(landing(spark, [row]), sources).first().options
+    assert out == {"store_raw": "true", "kept": "yes", "tenant": "ten", "wd_host": "wd9"}
+
+
+def test_daily_extras(spark, tmp_path):
+    store, registry_store = StateStore(spark, str(tmp_path / "s")), StateStore(spark, str(tmp_path / "r"))
+    rows = [response("acme", "greenhouse", {"jobs": [{"title": "no id"}, {"id": 7, "title": "ok"}]}), search(3, "a", term="t")]
+    out = run(spark, store, rows, "d1", 0, tmp_path, registry=registry_store)
+    assert sorted(r.kind for r in out["warnings"].collect()) == ["rejected row", "short search"]
+    log = out["run_log"].first()
+    assert (log.run_id, log.new_count, log.source_count) == ("d1", 2, 3)
+    assert sorted(r.id for r in registry_store.load().collect()) == ["acme", "beta"]
+    run(spark, store, rows, "d1", 0, tmp_path, registry=registry_store)
+    assert registry_store.version() == 1
+
+
+def test_landing_is_read_by_partition(spark, tmp_path):
+    from postledger.sources import boards
+    from postledger.sources.landing import read_landing
+
+    rows = [response("acme", "greenhouse", board((1, "Dev", "A"))), response("beta", "lever", []), search(1, "a")]
+    landing(spark, rows).write.partitionBy("run_id", "source_type", "page_kind").parquet(str(tmp_path / "landing"))
+    read = read_landing(spark, str(tmp_path / "landing"), "r")
+    assert read.count() == 3 and read_landing(spark, str(tmp_path / "landing"), "other").count() == 0
+    decoded = boards.greenhouse_rows(read)
+    assert decoded.count() == 1 and len(boards.greenhouse_rows(read).select("source_job_id").inputFiles()) >= 1
+    text = decoded._jdf.queryExecution().executedPlan().toString()
+    filters = text.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    assert "run_id" in filters and "source_type" in filters and "page_kind" in filters
+
+
+def test_registry_outcomes_are_written(spark, tmp_path):
+    from postledger.sinks.feed import write_registry
+
+    rows = spark.createDataFrame([("a", "found"), ("b", None)], "company_id string, discovery_result string")
+    write_registry(rows, str(tmp_path / "o"))
+    assert sorted(map(str, spark.read.json(str(tmp_path / "o")).select("company_id", "discovery_result").collect())) == sorted(map(str, rows.collect()))
+
+
+def test_json_blocks_of_any_case(spark):
+    from postledger.sources.jsonld import has_posting
+
+    html = '<script type="application/LD+json">{"@type": "JobPosting", "title": "x"}</script>'
+    df = spark.createDataFrame([(html,), ("<p>ld+json</p>",), (None,)], "html string")
+    assert [r[0] for r in df.select(has_posting(F.col("html"))).collect()] == [True, False, False]
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    import types
+
+    import pytest
+
+    from postledger.session import shared_folder
+
+    conf = types.SimpleNamespace(get=lambda key, default=None: default)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        fake = types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master=master, applicationId="a"))
+        with pytest.raises(ValueError):
+            shared_folder(fake)

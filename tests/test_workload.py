@@ -56,3 +56,11 @@ def test_salted_join_and_top_n(spark):
     assert salted_join(big, small, ["k"], "left", F.col("id")).count() == 1000
     top = top_n_per_group(big, ["k"], [F.col("id").desc()], 3, F.col("id")).filter("k = 'hot'")
     assert sorted(r.id for r in top.collect()) == [897, 898, 899]
+
+
+def test_comparison_reads_each_side_once(spark):
+    """Besides the narrow list of sources, each side is scanned and joined once."""
+    df = D.snapshot_diff(current_postings(spark, SF), previous_state(spark, SF))
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join FullOuter") == 1 and "LeftAnti" not in text
+    assert text.count("text#") > 0 and sum("text#" in line for line in text.split("\n") if "Relation" in line) <= 3
