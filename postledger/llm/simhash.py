@@ -76,7 +76,7 @@ def _signed(value: int) -> int:
 
 def _linked(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the values within ``radius`` of each other, as (smallest, member)."""
-    left, out = np.sort(values), []
+    left, out = np.sort(values).view(np.uint64), []  # signed numbers would be counted by their absolute value
     while len(left) > 1:
         group, left = left[:1], left[1:]
         front = group
@@ -85,7 +85,7 @@ def _linked(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
             for at in range(0, len(front), 128):
                 near |= (np.bitwise_count(front[at:at + 128, None] ^ left[None, :]) <= radius).any(axis=0)
             front, left = left[near], left[~near]
-            out.extend((int(group[0]), int(x)) for x in front)
+            out.extend((int(group.view(np.int64)[0]), int(x)) for x in front.view(np.int64))
     return out
 
 
@@ -160,7 +160,7 @@ def _compare(rows: DataFrame, radius: int) -> DataFrame:
             if pair_u:
                 at = np.array(pair_u)
                 a, b = fps[at], fps[at + 1]
-                near = np.bitwise_count(a ^ b) <= radius
+                near = np.bitwise_count((a ^ b).view(np.uint64)) <= radius
                 if near.any():
                     yield block(a[near], b[near])
         yield from close()
