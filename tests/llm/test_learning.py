@@ -23,6 +23,16 @@ def test_marked_articles():
     assert pages.blocks("") == [] and pages.blocks("<p") == [] and pages.blocks("a <b class='x") == [("a", "open")]
 
 
+def test_names_of_parts():
+    def main(html):
+        return [t for t, z in pages.blocks(html) if z == "main"]
+
+    assert main('<body class="nav ads"><div class="has-sidebar layout"><main class="with-sidebar"><article class="post no-comments"><p>kept</p></article></main></div>') == ["kept"]
+    assert main('<article><div class="entry-header"><h1>Title</h1><span>by</span></div><p class="lead">kept</p><div class="page-sidebar"><h2>no</h2></div></article>') == ["Title", "kept"]
+    assert main('<article><p>kept</p><ul class="comment-list"><li>no</li></ul><div id="cookie_banner">no</div></article><article class="comment">no</article>') == ["kept"]
+    assert main('<article><p>kept <span class="badge adjective">too</span></p><div role="complementary">no</div><p hidden>no</p></article>') == ["kept too"]
+
+
 def test_unmarked_pages_lose_what_the_host_repeats(spark):
     menu = "<div>Home News Contact About us Login here</div>"
     tail = "<p>All rights of this fine host are reserved by its owners</p>"
