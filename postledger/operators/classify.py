@@ -45,22 +45,21 @@ def classify_page(url: Column, final_url: Column, html: Column, http_status: Col
     greenhouse = html.contains("Powered by Greenhouse") | html.contains("greenhouse.io")
     lever = html.contains("lever.co") | (html.contains("Lever") & html.contains("job"))
     cascade = F.coalesce(
-        _by(final_url, _GREENHOUSE_URL, "greenhouse", 0.95, "Final URL matches boards.greenhouse.io pattern"),
-        _by(url, _GREENHOUSE_URL, "greenhouse", 0.95, "URL matches boards.greenhouse.io pattern"),
-        _by(html, _GREENHOUSE_TOKEN, "greenhouse", 0.85, "HTML contains Greenhouse branding", only=greenhouse),
-        _by(html, _GREENHOUSE_LINK, "greenhouse", 0.75, "HTML contains Greenhouse branding",
-            "Found board token in HTML", only=greenhouse),
-        _by(final_url, _LEVER_URL, "lever", 0.95, "Final URL matches jobs.lever.co pattern"),
-        _by(url, _LEVER_URL, "lever", 0.95, "URL matches jobs.lever.co pattern"),
-        _by(html, _LEVER_LINK, "lever", 0.8, "HTML contains Lever branding", only=lever),
-        _by(final_url, _ASHBY_URL, "ashby", 0.95, "Final URL matches ashby.co pattern", only=ashby_host(final_url)),
-        _by(url, _ASHBY_URL, "ashby", 0.95, "URL matches ashby.co pattern", only=ashby_host(url)),
-        _by(html, _ASHBY_LINK, "ashby", 0.8, "HTML contains Ashby reference"),
+        _by(final_url, _GREENHOUSE_URL, "greenhouse", 0.95, "redirected to a Greenhouse board"),
+        _by(url, _GREENHOUSE_URL, "greenhouse", 0.95, "address of a Greenhouse board"),
+        _by(html, _GREENHOUSE_TOKEN, "greenhouse", 0.85, "page names Greenhouse", only=greenhouse),
+        _by(html, _GREENHOUSE_LINK, "greenhouse", 0.75, "page names Greenhouse", "page links a board", only=greenhouse),
+        _by(final_url, _LEVER_URL, "lever", 0.95, "redirected to a Lever board"),
+        _by(url, _LEVER_URL, "lever", 0.95, "address of a Lever board"),
+        _by(html, _LEVER_LINK, "lever", 0.8, "page names Lever", only=lever),
+        _by(final_url, _ASHBY_URL, "ashby", 0.95, "redirected to an Ashby board", only=ashby_host(final_url)),
+        _by(url, _ASHBY_URL, "ashby", 0.95, "address of an Ashby board", only=ashby_host(url)),
+        _by(html, _ASHBY_LINK, "ashby", 0.8, "page links an Ashby board"),
         _hit(final_url.contains(_WORKDAY_HOST), "workday", final_url, 0.5,
-             "URL contains myworkdayjobs.com (Workday system)"),
-        _hit(has_posting(html), "jsonld", url, 0.9, "Found JobPosting JSON-LD"),
+             "address of a Workday site"),
+        _hit(has_posting(html), "jsonld", url, 0.9, "page embeds a posting"),
         _hit(http_status == 200, "jsonld", url, 0.3,
-             "Page is accessible but no recognized ATS detected - fallback to JSON-LD"),
+             "page was served, platform unknown"),
     )
     return F.when(http_status.between(200, 299), cascade)
 

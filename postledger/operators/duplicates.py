@@ -218,15 +218,27 @@ def _two_best(rows: DataFrame, keys: list[str], best: Column) -> DataFrame:
         F.count("*").alias("offers"))
 
 
+_PROFILE = ["role", "job", "apply_url", "source_url"]
+
+
+def _smallest_ids(roles: DataFrame) -> DataFrame:
+    """One row per profile and source, under its smallest id: copies beyond it offer and get nothing else."""
+    return roles.groupBy(*_PROFILE, "source_id").agg(F.min("internal_id").alias("internal_id"))
+
+
 def best_duplicates(roles: DataFrame, links: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """Best-scoring duplicate of each posting: ``internal_id, duplicate_id, score``.
 
     The duplicate comes from ``among`` (by default from ``roles`` itself); links
-    must cover both. Ties go to the smallest id. A node offers at most two postings, the smallest
-    ids of two sources, so work is per node and link, never per pair of postings.
+    must cover both. Ties go to the smallest id. Postings of one source that no
+    link can tell apart have the same best duplicate, so only the smallest id of
+    each such set takes part, and postings are joined once at the end. A node
+    offers at most two postings, the smallest ids of two sources, so work is per
+    node and link, never per pair of postings.
     """
-    rows = _per_kind(roles, "internal_id", "source_id")
-    pool = rows if among is None else _per_kind(among, "internal_id", "source_id")
+    own = cut_lineage(_smallest_ids(roles))
+    rows = _per_kind(own, "internal_id", "source_id")
+    pool = rows if among is None else _per_kind(_smallest_ids(among), "internal_id", "source_id")
     smallest = _two_best(pool, _UNIT, F.struct(F.col("internal_id").alias("id")))
     offered = smallest.select(
         "scope", "via", F.col("node").alias("node_b"), "url",
@@ -238,9 +250,10 @@ def best_duplicates(roles: DataFrame, links: DataFrame, among: DataFrame | None
         "scope", "via", F.col("node_a").alias("node"), "url", "score", "o.id", "o.source_id")
     best = _two_best(offers, _UNIT, F.struct((-F.col("score")).alias("s"), F.col("id").alias("id")))
     other = F.when(F.col("first_source") != F.col("source_id"), F.col("first")).when(F.col("offers") > 1, F.col("second"))
-    # ``best`` has one row per unit; AQE splits a unit with very many postings
     picks = rows.join(best, _UNIT).select("internal_id", other.alias("best")).filter("best is not null")
-    return picks.groupBy("internal_id").agg(F.min("best").alias("best")).select(
+    chosen = picks.groupBy("internal_id").agg(F.min("best").alias("best")).join(own, "internal_id").drop("internal_id")
+    # AQE splits a profile with very many postings: both sides are plain shuffles
+    return roles.join(cut_lineage(chosen), [*_PROFILE, "source_id"]).select(
         "internal_id", F.col("best.id").alias("duplicate_id"), (-F.col("best.s")).alias("score"))
 
 
@@ -265,7 +278,7 @@ def duplicates_of(new: DataFrame, existing: DataFrame, threshold: float = DEFAUL
 
 def _profiles(roles: DataFrame) -> DataFrame:
     """Postings that no link can tell apart, under the smallest of their ids."""
-    return roles.groupBy("role", "job", "apply_url", "source_url").agg(F.min("internal_id").alias("profile"))
+    return roles.groupBy(*_PROFILE).agg(F.min("internal_id").alias("profile"))
 
 
 def _edges(profiles: DataFrame, links: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def postings_per_source(postings: DataFrame) -> DataFrame:
 
 
 def _response_error() -> Column:
-    """Message of a failed response; a likely wrong site id gets a hint."""
+    """Message of a failed response; a likely wrong site id gets a hint. The texts are fixed values."""
     at = tenant_coordinates(F.lit(None).cast("string"), F.lit(None).cast("string"),
                             F.lit(None).cast("string"), F.col("source_key"))
     hint = F.when(

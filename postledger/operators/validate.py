@@ -15,7 +15,7 @@ def _blank(name: str) -> Column:
 
 
 def registry_errors(raw: DataFrame) -> DataFrame:
-    """Problems of the configured companies, as ``(company_id, error)``."""
+    """Problems of the configured companies, as ``(company_id, error)``. The texts are fixed values."""
     one = raw.select("id", F.coalesce("name", "id", F.lit("")).alias("name"),
                      F.coalesce(F.size("sources"), F.lit(0)).alias("n"), "sources")
     sources = one.select("id", F.explode("sources").alias("s")).select("id", "s.*")

@@ -92,3 +92,22 @@ def _new_and_known(spark, sf):
 def ranked_duplicates_of_new(spark, sf):
     """All known duplicates of each posting that is new in the run, best first."""
     return D.duplicates_of(*_new_and_known(spark, sf))
+
+
+# a third of all postings in one company and place, many of them without links
+_HOT = {
+    "company_name": "CASE WHEN doc_id % 3 = 0 THEN 'Hot Employer' ELSE company_name END",
+    "location": "CASE WHEN doc_id % 3 = 0 THEN 'One Place' ELSE location END",
+    "apply_url": "CASE WHEN doc_id % 4 = 0 THEN '' ELSE apply_url END",
+    "source_url": "CASE WHEN doc_id % 8 = 0 THEN '' ELSE source_url END",
+}
+_HOT_SQL = PAIRS_SQL.replace("FROM v_all),", "FROM v_hot),").replace(
+    ", v_key AS", ", v_hot AS (SELECT * REPLACE (" + ", ".join(f"{v} AS {k}" for k, v in _HOT.items()) + ") FROM v_all), v_key AS")
+
+
+@query("hot_duplicates", _HOT_SQL + """ SELECT internal_id, duplicate_id, score FROM (SELECT *, row_number() OVER (
+  PARTITION BY internal_id ORDER BY score DESC, duplicate_id) AS n FROM v_dup) WHERE n = 1""")
+def hot_duplicates(spark, sf):
+    """Best duplicates where one company and place holds a third of all postings and many URLs are blank."""
+    roles = D.with_role(all_postings(spark, sf).withColumns({k: F.expr(v) for k, v in _HOT.items()}))
+    return D.best_duplicates(roles, D.duplicate_links(roles))
