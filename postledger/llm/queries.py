@@ -51,7 +51,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal")
 
 
-@_query("op6_secrets")
+@_query("op6_secrets", secrets.SCAN_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = documents(spark, sf_dir).select(F.col("doc_id").alias("path"), "text")
     return secrets.digests(secrets.findings(versions, secrets.scan(versions))).withColumnRenamed("path", "doc_id")
@@ -67,7 +67,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
-@_query("op9_main_text")
+@_query("op9_main_text", pages.SIMPLE_PAGES_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -86,7 +86,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: Sequence[R
 def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Every row of ``versions`` (path, text) with blob and the findings of ``rules`` from the ledger, an empty list where there are none."""
     current = F.array(*[F.lit(r.key) for r in rules])
-    known = ledger.filter(F.size("findings") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("findings"))).alias("findings"))
+    # written, so that both sides of the join are plain shuffles and Spark can split a blob with very many paths
+    known = cut_lineage(ledger.filter(F.size("findings") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("findings"))).alias("findings")))
     rows = versions.select("path", address().alias("blob"))
     none = F.array().cast("array<struct<rule:string,kind:string,start:bigint,end:bigint>>")
     return rows.join(known, "blob", "left").select("path", "blob", F.filter(
@@ -101,3 +102,27 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select(
         "path", *[of_kind(own, k).alias(f"n_{k}") for k in base],
         F.sha2(digest(own, base), 256).alias("base_sha256"), digest(F.col("findings"), kinds).alias("spans"))
+
+
+def _sql() -> str:
+    """The result of scanning everything once, stated by regular expressions over all texts."""
+    quote = lambda text: "'" + text.replace("'", "''") + "'"
+    # the possessive forms match the same texts as the greedy ones
+    rules = ", ".join(f"({n}, {quote(r.name)}, {quote(r.pattern.replace('}+', '}'))}, {r.least}, {r.group})" for n, r in enumerate(RULES))
+    inner = " ".join(f"WHEN {quote(r.name)} THEN length(regexp_extract(m, {quote(r.pattern.replace('}+', '}'))}, {r.group}))" for r in RULES if r.group)
+    base = ", ".join(quote(r.name) for r in BASE)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = {quote(r.name)}) AS n_{r.name}" for r in BASE)
+    shown = "string_agg(kind || ':' || s || ':' || (s + length(m)), ',' ORDER BY s, rank)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+k(rank, kind, pat, least, grp) AS (VALUES {rules}),
+a AS (SELECT rid, rank, kind, least, regexp_extract_all(t, pat) AS ms, string_split_regex(t, pat) AS gs FROM d, k WHERE regexp_matches(t, pat)),
+u AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM a),
+f AS (SELECT rid, rank, kind, least, ms[i] AS m, length(array_to_string(gs[1:i], '')) + length(array_to_string(ms[1:i - 1], '')) AS s FROM u),
+g AS (SELECT * FROM f WHERE CASE kind {inner} ELSE length(m) END >= least),
+r AS (SELECT rid, {counts}, sha256(coalesce({shown} FILTER (WHERE kind IN ({base})), '')) AS base_sha256, {shown} AS spans FROM g GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{x.name}, 0) AS n_{x.name}" for x in BASE)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN r USING (rid)"""
+
+
+SCAN_SQL = _sql()

@@ -205,7 +205,8 @@ def components(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: in
     linked = graph.select(F.col("node").alias("fp"), "component").join(nodes, "fp")
     least = linked.groupBy("component").agg(F.min("least").alias("group_least"))
     moved = linked.join(least, "component").select("fp", "group_least")
-    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id"))
+    # written, so that both sides of the join are plain shuffles and Spark can split a fingerprint with very many rows
+    named = cut_lineage(nodes.join(moved, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id")))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
