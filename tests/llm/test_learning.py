@@ -50,6 +50,17 @@ def test_unmarked_pages_lose_what_the_host_repeats(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+def test_loose_blocks_of_an_article(spark):
+    note = "<div>Please join the friends of this host today and get more</div>"
+    rows = [(i, f"http://h.example/{i}", f"<article><h1>Head {i}</h1><p>The same paragraph stands here on every page of it</p>{note}<div>Own words of page number{i}</div></article>")
+            for i in range(4)]
+    rows += [(9, "http://h.example/9", "<article>Bare text of this one stays<br>in two lines</article>" + note)]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        assert got[i] == f"Head {i}\nThe same paragraph stands here on every page of it\nOwn words of page number{i}"
+    assert got[9] == "Bare text of this one stays\nin two lines"
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 5))
