@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.duplicates import connected_components
+from . import shingles
 from .common import cut_lineage, map_rows, type_of, utf8
 
 WORDS = 4
@@ -200,21 +201,30 @@ def components(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: in
     rows.
     """
     rows = cut_lineage(fingerprints(docs, words, seed))
-    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    graph = connected_components(links(nodes, radius))
-    linked = graph.select(F.col("node").alias("fp"), "component").join(nodes, "fp")
+    return _named(rows, links(cut_lineage(rows.select("fp").distinct()), radius), "fp")
+
+
+def _named(rows: DataFrame, found: DataFrame, node: str) -> DataFrame:
+    """``rows`` (doc_id and their node) with component_id, the smallest doc_id reachable over the links ``found``."""
+    nodes = cut_lineage(rows.groupBy(node).agg(F.min("doc_id").alias("least")))
+    graph = connected_components(found)
+    linked = graph.select(F.col("node").alias(node), "component").join(nodes, node)
     least = linked.groupBy("component").agg(F.min("least").alias("group_least"))
-    moved = linked.join(least, "component").select("fp", "group_least")
-    # written, so that both sides of the join are plain shuffles and Spark can split a fingerprint with very many rows
-    named = cut_lineage(nodes.join(moved, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id")))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    moved = linked.join(least, "component").select(node, "group_least")
+    # written, so that both sides of the join are plain shuffles and Spark can split a node with very many rows
+    named = cut_lineage(nodes.join(moved, node, "left").select(node, F.coalesce("group_least", "least").alias("component_id")))
+    return rows.join(named, node).select("doc_id", node, "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component: one document of each group.
+def keep_one(docs: DataFrame, words: int = shingles.WORDS, similarity: float = shingles.SIMILARITY) -> DataFrame:
+    """One row of ``docs`` for each group of near copies, that of the smallest doc_id.
 
-    Rows that repeat a doc_id are one document, of which one row stays. Rows
-    without a doc_id stay, as nothing names them.
+    Near copies are texts whose word shingles have at least this Jaccard
+    similarity; all such pairs are found and verified exactly, and groups are
+    what they connect. Texts without words are copies of each other. Rows that
+    repeat a doc_id are one document, of which one row stays. Rows without a
+    doc_id stay, as nothing names them.
     """
-    kept = components(docs, words, seed, radius).filter("doc_id = component_id").select("doc_id").distinct()
+    rows, found = shingles.links(docs, words, similarity)
+    kept = _named(rows, found, "node").filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))

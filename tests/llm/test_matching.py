@@ -291,3 +291,37 @@ def test_ledger_scans_only_what_is_new(spark):
     both = ledger.unionByName(new).unionByName(again)
     hits = {r["path"]: {f["rule"] for f in r["findings"]} for r in secrets.findings(first, both, changed).collect()}
     assert hits["b"] == {"assign@2"} and hits["a"] == {"assign@2", "hex@1"}
+
+
+def test_keep_one_finds_all_near_copies(spark, edge):
+    from postledger.llm import shingles
+
+    rng = random.Random(6)
+    words = [f"v{i}" for i in range(900)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 300))) for _ in range(30)]
+    for t in texts[:20]:
+        for _ in range(4):
+            own = t.split()
+            for k in rng.sample(range(len(own)), min(len(own) - 1, rng.choice([0, 1, 2, 4, 6]))):
+                own[k] = rng.choice(words)
+            texts.append(" ".join(own + rng.choices(words, k=rng.choice([0, 0, 5, 30]))).upper())
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+
+    def shingled(text):
+        w = text.lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingled(t) for _, t in rows]
+    group, wide = list(range(len(rows))), 0
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = sorted((group[i], group[j]))
+            group = [a if g == b else g for g in group]
+            wide += (simhash.fingerprint(rows[i][1].encode()) ^ simhash.fingerprint(rows[j][1].encode())).bit_count() > simhash.RADIUS
+    assert wide > 5  # pairs that fingerprints within RADIUS do not show
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(group))
+    nodes, found = shingles.links(docs)
+    assert nodes.count() == len(rows) and found.count() >= 1
