@@ -1,6 +1,7 @@
 """Benchmark decontamination by spaced seeds over words."""
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -12,7 +13,8 @@ from .common import ROWS_PER_BATCH, cut_lineage, group_key, type_of, utf8
 
 #: Spaced seeds: 1 compares a word, 0 ignores it. Every stretch of 12 to 23 words with at most a
 #: fifth of them substituted agrees with some item on some seed at some place (tested for all choices
-#: of places); longer stretches hold such a one, so no leak as defined here is missed.
+#: of places); longer stretches hold such a one. Shorter items have seeds of their own length
+#: (``short_seeds``), so no leak as defined here is missed.
 SEEDS = ("111011", "11010011", "110100101")
 #: A leak is an aligned stretch of at least so many words, or the whole of a shorter item,
 MIN_WORDS = 12
@@ -55,7 +57,22 @@ def seed_hashes(words: np.ndarray, seeds: tuple[str, ...] = SEEDS):
         yield number, h
 
 
-def _items(benchmark: DataFrame, seeds: tuple[str, ...]) -> DataFrame:
+def short_seeds(length: int, similarity: float = SIMILARITY) -> list[str]:
+    """Seeds as long as a whole item of ``length`` words, of which one compares none of any tolerated choice of places."""
+    free = length - int(np.ceil(similarity * length - 1e-9))
+    parts = min(free + 2, length) if free else 1
+    block = [k * parts // length for k in range(length)]
+    return ["".join("0" if b in gone else "1" for b in block) for gone in itertools.combinations(range(parts), free)]
+
+
+def short_hashes(words: np.ndarray, lengths: list[int], similarity: float):
+    """The same as ``seed_hashes`` for the seeds of whole items of the given lengths."""
+    for length in lengths:
+        for number, h in seed_hashes(words, tuple(short_seeds(length, similarity))):
+            yield number, h * np.uint64(2 * length + 1) ^ np.uint64(length)
+
+
+def _items(benchmark: DataFrame, seeds: tuple[str, ...], min_words: int, similarity: float) -> DataFrame:
     """item_id, its word hashes, and seed hashes with their places."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -68,7 +85,8 @@ def _items(benchmark: DataFrame, seeds: tuple[str, ...]) -> DataFrame:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = word_hashes(text.decode("utf-8"), memo)
                 places, hashes = [], []
-                for _, h in seed_hashes(words, seeds):
+                own = short_hashes(words, [len(words)], similarity) if 0 < len(words) < min_words else seed_hashes(words, seeds)
+                for _, h in own:
                     places.append(np.arange(len(h), dtype=np.int32))
                     hashes.append(h.view(np.int64))
                 yield pa.RecordBatch.from_arrays([
@@ -90,7 +108,7 @@ def _filter(items: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _candidates(docs: DataFrame, table, seeds: tuple[str, ...], bits: int) -> DataFrame:
+def _candidates(docs: DataFrame, table, seeds: tuple[str, ...], bits: int, lengths: list[int], similarity: float) -> DataFrame:
     """Rows of ``docs`` of which some seed hash passes the filter, with their words and these hashes."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -114,7 +132,7 @@ def _candidates(docs: DataFrame, table, seeds: tuple[str, ...], bits: int) -> Da
                 for doc, row, text in zip(*(c.to_pylist() for c in part.columns)):
                     words = word_hashes(text.decode("utf-8"), memo)
                     places, hashes = [], []
-                    for _, h in seed_hashes(words, seeds):
+                    for _, h in itertools.chain(seed_hashes(words, seeds), short_hashes(words, lengths, similarity)):
                         hit = np.flatnonzero(present(h))
                         if len(hit):
                             places.append(hit.astype(np.int32))
@@ -157,20 +175,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seeds: tuple[str, ...] = SEEDS,
     item has before that join. Hits of an item on one diagonal (difference of places)
     are one candidate, for which the words around the hits are compared. A leak
     is the longest aligned stretch of at least ``min_words`` words, or of all
-    words of a shorter item, with at least ``similarity`` equal words.
+    words of a shorter item, with at least ``similarity`` equal words. Shorter
+    items are joined on hashes of their own length that leave out the words
+    that may differ; there are fewer than ``min_words`` such lengths.
     Substituted words are tolerated, inserted or deleted ones end a stretch.
 
-    Null texts are empty, items without words or of fewer words than the
-    shortest seed leak nothing, a null item_id is not searched, a null doc_id
+    Null texts are empty, items without words leak nothing, a null item_id is not searched, a null doc_id
     is reported as such, repeated rows are reported each (``row`` tells them
     apart), repeated items once, other columns are ignored, empty tables give
     no rows.
     """
     if filter_bits & (filter_bits - 1):
         raise ValueError("filter_bits must be a power of two")
-    items = cut_lineage(_items(benchmark, seeds))
+    items = cut_lineage(_items(benchmark, seeds, min_words, similarity))
+    size = F.expr("octet_length(words) div 8")
+    lengths = sorted(r["n"] for r in items.select(size.cast("int").alias("n")).filter((F.col("n") > 0) & (F.col("n") < min_words)).distinct().collect())
     table = docs.sparkSession.sparkContext.broadcast(_filter(items, filter_bits))  # filter_bits / 8 bytes
-    found = cut_lineage(_candidates(docs, table, seeds, filter_bits))
+    found = cut_lineage(_candidates(docs, table, seeds, filter_bits, lengths, similarity))
     test = items.select("item_id", F.explode(F.arrays_zip("places", "hashes")).alias("t")).select(
         "item_id", F.col("t.hashes").alias("h"), F.col("t.places").alias("item_place"))
     train = found.select("row", F.explode(F.arrays_zip("doc_places", "doc_hashes")).alias("t")).select(
@@ -179,7 +200,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seeds: tuple[str, ...] = SEEDS,
         "row", "item_id", (F.col("doc_place") - F.col("item_place")).alias("diagonal")).distinct()
     # each candidate takes only the words that its item can cover
     first = F.greatest("diagonal", F.lit(0))
-    size = F.expr("octet_length(words) div 8")
     last = F.least(F.col("diagonal") + size, F.expr("octet_length(doc_words) div 8"))
     kind = type_of(benchmark, "item_id")
     pairs = (
@@ -200,7 +220,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seeds: tuple[str, ...] = SEEDS,
                 theirs = np.frombuffer(words, dtype=np.uint64)
                 ours = np.frombuffer(part, dtype=np.uint64)
                 same = theirs[skipped:skipped + len(ours)] == ours
-                i, j = best_stretch(same, similarity)
+                if len(theirs) < min_words:  # the whole item or nothing, whichever words differ
+                    whole = len(same) == len(theirs) and same.sum() >= similarity * len(same) - 1e-9
+                    i, j = 0, len(same) if whole else 0
+                else:
+                    i, j = best_stretch(same, similarity)
                 if j > i and j - i >= min(min_words, len(theirs)):
                     for col, v in zip(out, (doc, row, item, at + i, skipped + i, j - i, int(same[i:j].sum()))):
                         col.append(v)

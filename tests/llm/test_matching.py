@@ -325,3 +325,18 @@ def test_keep_one_finds_all_near_copies(spark, edge):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(group))
     nodes, found = shingles.links(docs)
     assert nodes.count() == len(rows) and found.count() >= 1
+
+
+def test_short_items_leak_whole(spark):
+    items, docs, want = [], [], set()
+    for length in range(1, D.MIN_WORDS):
+        own = [f"i{length}w{k}" for k in range(length)]
+        items.append((length, " ".join(own)))
+        free = length - int(np.ceil(D.SIMILARITY * length - 1e-9))
+        for n in (free, free + 1):
+            for gone in itertools.combinations(range(length), n):
+                if n == free:
+                    want.add((len(docs), length, 1, 0, length, length - free))
+                docs.append((len(docs), " ".join(["before", *("other" if k in gone else w for k, w in enumerate(own)), "after"])))
+    found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["doc_start"], r["item_start"], r["n_words"], r["n_equal"]) for r in found.collect()} == want
