@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, nbsvm, pages, pii, quality, secrets, sharding, simhash, tokens
+from . import ctph, decontaminate, mixing, nbsvm, pages, pii, quality, repair, secrets, sharding, simhash, tokens
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+@_query("op12_fingerprints")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.compare_neighbours(documents(spark, sf_dir))
+
+
+@_query("op13_conversation_repair", repair.REPAIR_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def _model_file(name: str) -> bytes:
     """A tokenizer's file, read where the driver runs; it belongs to the installed library, not to the input."""
     import public_tokenizers
