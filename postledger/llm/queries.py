@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctph, decontaminate, mixing, nbsvm, pages, pii, quality, repair, secrets, sharding, simhash, tokens
+from . import ctph, decontaminate, mixing, nbsvm, pages, phrases, pii, quality, repair, secrets, sharding, simhash, tokens
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+@_query("op11_collocations", phrases.COLLOCATIONS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 @_query("op12_fingerprints")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare_neighbours(documents(spark, sf_dir))
