@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-__all__ = ["cut_lineage", "documents", "group_key", "map_rows", "table", "type_of", "utf8"]
+__all__ = ["among", "cut_lineage", "documents", "group_key", "map_rows", "table", "type_of", "utf8", "without"]
 
 # texts are handed to Python in batches of at most so many rows, so that a batch of long texts stays small
 ROWS_PER_BATCH = 2000
@@ -34,6 +34,30 @@ def group_key(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("-"))
 
 
+#: Slots of the small table that keeps rows from being shuffled for a join that most of them fail.
+SLOTS = 1 << 18
+
+
+def _slots(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    slot = F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int")
+    # at most SLOTS rows of one number
+    return df.withColumn("_slot", slot), F.broadcast(ids.select(slot.alias("_slot")).distinct())
+
+
+def among(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is in ``ids``; only rows that share a slot with one are shuffled for it."""
+    marked, taken = _slots(df, ids, column)
+    return marked.join(taken, "_slot", "left_semi").drop("_slot").join(ids.select(column), column, "left_semi").select(*df.columns)
+
+
+def without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is not in ``ids``, nulls included; only rows that share a slot with one are shuffled for it."""
+    marked, taken = _slots(df, ids, column)
+    clear = marked.join(taken, "_slot", "left_anti").drop("_slot")
+    unsure = marked.join(taken, "_slot", "left_semi").drop("_slot").join(ids.select(column), column, "left_anti")
+    return clear.select(*df.columns).unionByName(unsure.select(*df.columns))
+
+
 def type_of(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 

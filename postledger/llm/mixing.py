@@ -84,9 +84,11 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, total: int | None = N
 MIX_SQL = f"""
 with c as (select source, count(*)::double n, count(*)::double ** {TEMPER} w from documents group by source),
 r as (select source, (select sum(n) from c) * w / (select sum(w) from c) / n as rate from c),
-terms as (select source, i, exp(-rate + i * ln(rate) - lgamma(i + 1)) p from r, range(0, 200) t(i)),
-cdf as (select source, i, sum(p) over (partition by source order by i) f from terms),
-d as (select *, ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::varchar, 'null') || '|0'), 1, 13))::bigint / 4503599627370496.0 u from documents),
+q as (select source, rate / parts as rate, parts from (select *, greatest(ceil(rate / {LARGEST_PART}), 1)::bigint as parts from r)),
+terms as (select source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 24)::bigint)) i from q),
+cdf as (select source, i, sum(exp(-rate + i * ln(rate) - lgamma(i + 1))) over (partition by source order by i) f from terms),
+j as (select d.*, unnest(range(0, q.parts)) part from documents d join q on q.source is not distinct from d.source),
+d as (select *, ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::varchar, 'null') || '|' || part), 1, 13))::bigint / 4503599627370496.0 u from j),
 k as (select d.doc_id, d.text, d.lang, d.source, d.n_chars, count(cdf.i)::int copies
   from d join cdf on cdf.source is not distinct from d.source and cdf.f <= d.u group by all)
 select doc_id, text, lang, source, n_chars, copy_no::int as copy_no,

@@ -19,7 +19,7 @@ COST = 1.0
 BLEND = 0.5  # part of the fitted weights against their mean size, as in the published method
 THRESHOLD = 0.3
 FOLDS = 5
-_MEMO = 300_000
+_MEMO = 100_000
 
 
 def form(word: str) -> str:
@@ -29,8 +29,6 @@ def form(word: str) -> str:
         k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if len(out) < 2 or out[-1] != k or out[-2] != k:
             out.append(k)
-            if len(out) >= 12:
-                break
     return "".join(out)
 
 
@@ -214,7 +212,13 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``threshold``, judged row by row, with all their columns."""
+    """The rows of ``docs`` whose text scores at least ``threshold``, judged row by row, with all their columns.
+
+    Nulls count as empty texts, which have the score of the machine's bias. Rows
+    with one text are judged alike, repeated rows and rows without doc_id each
+    for themselves. Whole texts are scored. Columns of any name pass through;
+    an empty table gives no rows.
+    """
     machine = docs.sparkSession.sparkContext.broadcast(fit(cut_lineage(grams(docs)), labels, label))
     at = docs.columns.index("text")
 

@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.duplicates import connected_components
 from . import shingles
-from .common import cut_lineage, map_rows, type_of, utf8
+from .common import among, cut_lineage, map_rows, type_of, utf8, without
+from .components import components as graph_components
 
 WORDS = 4
 SEED = 42
@@ -207,7 +207,7 @@ def components(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: in
 def _named(rows: DataFrame, found: DataFrame, node: str) -> DataFrame:
     """``rows`` (doc_id and their node) with component_id, the smallest doc_id reachable over the links ``found``."""
     nodes = cut_lineage(rows.groupBy(node).agg(F.min("doc_id").alias("least")))
-    graph = connected_components(found)
+    graph = graph_components(found)
     linked = graph.select(F.col("node").alias(node), "component").join(nodes, node)
     least = linked.groupBy("component").agg(F.min("least").alias("group_least"))
     moved = linked.join(least, "component").select(node, "group_least")
@@ -221,10 +221,17 @@ def keep_one(docs: DataFrame, words: int = shingles.WORDS, similarity: float = s
 
     Near copies are texts whose word shingles have at least this Jaccard
     similarity; all such pairs are found and verified exactly, and groups are
-    what they connect. Texts without words are copies of each other. Rows that
+    what they connect. Texts without words, null or empty ones included, are copies of each other. Rows that
     repeat a doc_id are one document, of which one row stays. Rows without a
-    doc_id stay, as nothing names them.
+    doc_id stay, as nothing names them. All columns are returned, whatever their
+    names; an empty table gives no rows.
     """
-    rows, found = shingles.links(docs, words, similarity)
-    kept = _named(rows, found, "node").filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    narrow = docs.select("doc_id", "text").filter("doc_id is not null")
+    found = shingles.groups(narrow, words, similarity)
+    least = found.groupBy("group").agg(F.min("doc_id").alias("least"))
+    # a repeated doc_id may have several texts, so several groups: it stays if it is the least of each
+    dropped = cut_lineage(found.join(least, "group").filter("doc_id > least").select("doc_id").distinct())
+    repeated = cut_lineage(narrow.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    single = without(docs, dropped.unionByName(repeated), "doc_id")
+    several = without(among(docs, repeated, "doc_id"), dropped, "doc_id").dropDuplicates(["doc_id"])
+    return single.unionByName(several)

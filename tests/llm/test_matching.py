@@ -323,8 +323,52 @@ def test_keep_one_finds_all_near_copies(spark, edge):
     assert wide > 5  # pairs that fingerprints within RADIUS do not show
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(group))
-    nodes, found = shingles.links(docs)
-    assert nodes.count() == len(rows) and found.count() >= 1
+    assert {r["doc_id"] for r in shingles.groups(docs).collect()} >= {i for i, g in enumerate(group) if group.count(g) > 1}
+
+
+def test_hashes_of_short_and_empty_texts_meet(spark):
+    rows = [(1, "One two"), (2, "one\ttwo"), (3, ""), (4, None), (5, "one two three"), (6, " \n"), (7, "a b c d e f"), (7, "x y"), (8, "X y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(docs).collect())
+    assert kept == [1, 3, 5, 7]
+
+
+def test_candidates_of_templated_texts_grow_in_proportion(spark):
+    """Texts of common sentences, none like another: common shingles must not bring them together."""
+    from postledger.llm import shingles
+
+    counts = []
+    for n in (500, 1000, 2000):
+        rng = random.Random(n)
+        sentences = [" ".join(f"s{k}w{i}" for i in range(14)) for k in range(60)]
+        # own words between sentences: most shingles of a text are shared, four fifths of them by many texts
+        rows = [(d, " ".join(x + f" d{d}" * (k == 2) for k, x in enumerate(rng.sample(sentences, 5)))) for d in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        nodes = shingles._nodes(docs, docs.withColumn("node", F.col("doc_id").cast("string").cast("binary")), 5)
+        counts.append(shingles.candidates(shingles._prefixes(nodes, 0.8), 0.8).count())
+    assert counts[1] <= 3 * counts[0] + 50 and counts[2] <= 3 * counts[1] + 50, counts
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_against_union_find(spark, seed):
+    from postledger.llm.components import components
+
+    rng = random.Random(seed)
+    n = 400
+    links = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.choice([0, 100, 250, 380]))] + [(k + 1000, k + 1001) for k in range(200)]
+    rng.shuffle(links)
+    least = {x: x for pair in links for x in pair}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    want = {(x, c) for x, c in least.items() if sum(d == c for d in least.values()) > 1}
+    df = spark.createDataFrame(links, "u long, v long").repartition(6)
+    got = [tuple(r) for r in components(df).collect()]
+    assert set(got) == want and len(got) == len(want)
 
 
 def test_short_items_leak_whole(spark):
