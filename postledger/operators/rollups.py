@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.records import markdown_bucket
 from ..functions.rules import tenant_coordinates
 from ..functions.text import source_id
+from ..sources.landing import unreadable
 from .skew import salted_join
 
 COUNTED = ("new", "changed", "unchanged", "expired", "reopened")
@@ -50,13 +51,18 @@ def _response_error() -> Column:
     ).otherwise(F.lit(""))
     by_status = F.when(~F.coalesce(F.col("http_status").between(200, 299), F.lit(False)),
                        F.concat(F.lit("HTTP error: "), F.coalesce(F.col("http_status").cast("string"), F.lit("no response")), hint))
-    return F.coalesce(F.col("error"), by_status)
+    return F.coalesce(F.col("error"), by_status, F.concat(F.lit("unreadable response: "), F.col("unreadable")))
 
 
 def response_errors(landing: DataFrame) -> DataFrame:
-    """Failed responses. A failed detail page does not fail its source."""
+    """Failed and unreadable responses. A failed detail page does not fail its source.
+
+    ``landing`` may be judged already (:func:`..sources.landing.judged`), so that bodies are parsed once."""
+    pages = landing.filter(F.col("page_kind") != "detail")
+    if "unreadable" not in landing.columns:
+        pages = pages.withColumn("unreadable", unreadable())
     return (
-        landing.filter(F.col("page_kind") != "detail")
+        pages
         .select("run_id", source_id(F.col("company_id"), F.col("source_type")).alias("source_id"),
                 "company_id", "source_type", "page_seq", "http_status", _response_error().alias("message"))
         .filter(F.col("message").isNotNull())

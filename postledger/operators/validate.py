@@ -70,8 +70,8 @@ def domain_errors(postings: DataFrame) -> DataFrame:
 
 
 def warnings(completeness: DataFrame, detail_caps: DataFrame, rejected: DataFrame,
-             omitted: DataFrame | None = None) -> DataFrame:
-    """Every cap, omission and drop of a run as ``(kind, subject, warning)``."""
+             omitted: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
+    """Every cap, omission and drop of a run as ``(kind, subject, warning)``, unreadable responses included."""
     parts = [
         completeness.filter(F.col("warning").isNotNull()).select(
             F.lit("short search").alias("kind"), F.concat_ws("#", "company_id", "source_type").alias("subject"), "warning"),
@@ -84,6 +84,10 @@ def warnings(completeness: DataFrame, detail_caps: DataFrame, rejected: DataFram
         parts.append(omitted.filter("omitted > 0").select(
             F.lit("feed limit").alias("kind"), F.lit("feed").alias("subject"),
             F.format_string("%d of %d records left out", "omitted", "offered").alias("warning")))
+    if unreadable is not None:
+        place = F.concat_ws(" ", "page_kind", F.coalesce("request_path", F.concat(F.lit("page "), F.col("page_seq").cast("string"))))
+        parts.append(unreadable.select(F.lit("unreadable response").alias("kind"), F.col("source_id").alias("subject"),
+                                       F.concat(place, F.lit(": "), F.col("reject_reason")).alias("warning")))
     return reduce(DataFrame.unionByName, parts)
 
 

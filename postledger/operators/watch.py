@@ -11,7 +11,7 @@ from ..functions.text import strip
 
 # --- fixed values -------------------------------------------------------------------
 MAX_ERROR_CHARS = 500
-_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 _SOFT_404_MESSAGE = "page returned 200 but looks like a 404: "
 # ------------------------------------------------------------------------------------
 
@@ -38,8 +38,8 @@ def added_lines(pairs: DataFrame) -> DataFrame:
     Counts occurrences of each line (multiset difference) and keeps page order.
     Work is keyed by (page, line), so one long page is many small keys.
     """
-    now = pairs.select("id", F.posexplode_outer(F.split("content_text", _LINE_END)).alias("pos", "line"))
-    old = pairs.select("id", F.explode_outer(F.split(F.coalesce("previous_text", F.lit("")), _LINE_END)).alias("line"))
+    now = pairs.select("id", F.posexplode_outer(F.split("content_text", LINE_END)).alias("pos", "line"))
+    old = pairs.select("id", F.explode_outer(F.split(F.coalesce("previous_text", F.lit("")), LINE_END)).alias("line"))
     had = old.groupBy("id", "line").agg(F.count("*").alias("had"))
     nth = Window.partitionBy("id", "line").orderBy("pos")
     new = (

@@ -15,7 +15,7 @@ from ..session import cut_lineage
 from ..sinks.feed import write_messages
 from ..sinks.report import archive_report, write_json_report, write_markdown_report
 from ..sinks.state import StateStore
-from ..sources.landing import accepted, attach_options, rejected
+from ..sources.landing import accepted, attach_options, judged, rejected, unreadable_responses
 from ..sources.registry import enabled_sources
 from ..sources.union import decode_all
 from ..sources.workday import detail_cap_warnings, search_completeness, search_summaries
@@ -34,13 +34,15 @@ def collect(landing: DataFrame, companies: DataFrame, sources: DataFrame, store:
     once, because the comparison, the counts and the source roll-up all read
     them. ``diff`` holds the transitions. Places are filtered before the
     comparison, so that out-of-area postings never expire later. Sources with a
-    short search or any failed response other than a detail page expire
+    short search, or any failed or unreadable response other than a detail page, expire
     nothing. With ``registry`` the companies of the configuration are merged
     into the stored ones. The result also has the run's warnings and log row.
     """
     scope = enabled_sources(companies, sources)
     wanted = attach_options(landing.join(scope.select("company_id", F.col("type").alias("source_type")).distinct(),
                                          ["company_id", "source_type"], "left_semi"), scope)
+    # roll-ups, the expiry gate and warnings read responses without bodies
+    seen = cut_lineage(judged(wanted))
     decoded = cut_lineage(decode_all(wanted, where=where, retain_raw=retain_raw))
     found = accepted(decoded)
     keep = F.lit(True) if where is None else where.matches(F.col("location"))
@@ -48,28 +50,29 @@ def collect(landing: DataFrame, companies: DataFrame, sources: DataFrame, store:
     current = D.last_in_run(
         found.filter(keep).withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.get(names, 0), F.lit(""))),
         F.col("ingest_order")).drop("ingest_order")
-    expirable = D.complete_sources(current, incomplete_sources(wanted)) if gate_incomplete else None
+    completeness = cut_lineage(search_completeness(wanted))
+    expirable = D.complete_sources(current, incomplete_sources(seen, completeness)) if gate_incomplete else None
     diff = fold_run(current, store, run_id, run_at, log_root, expirable, write)
     if registry is not None and write and not registry.has_run(run_id):
         version = registry.version()
         merged = D.merge_companies(registry.load(STORED_COMPANY, version), companies, F.lit(run_at))
         registry.commit(merged, run_id, version + 1)
-    runs = rollups.source_runs(wanted, found)
+    runs = rollups.source_runs(seen, found)
     statistics = rollups.run_statistics(diff)
     stats = rollups.collection_stats(scope, runs, statistics)
-    refused = rejected(decoded)
+    refused, unread = rejected(decoded), unreadable_responses(seen)
     at = F.lit(run_at)
     return {
-        "diff": diff, "postings": current, "rejected": refused, "source_runs": runs,
-        "source_errors": rollups.source_errors(wanted), "filter_effect": rollups.filter_effect(found, keep),
+        "diff": diff, "postings": current, "rejected": refused, "unreadable": unread, "source_runs": runs,
+        "source_errors": rollups.source_errors(seen), "filter_effect": rollups.filter_effect(found, keep),
         "statistics": statistics, "stats": stats, "run_log": rollups.run_log_row(stats, run_id, at, at),
-        "warnings": warnings(search_completeness(wanted), detail_cap_warnings(search_summaries(wanted), where), refused),
+        "warnings": warnings(completeness, detail_cap_warnings(search_summaries(wanted), where), refused, unreadable=unread),
     }
 
 
-def incomplete_sources(landing: DataFrame) -> DataFrame:
-    """Sources of which the run may lack postings: short searches and failed responses."""
-    short = search_completeness(landing).filter("found < total").select(source_id(F.col("company_id"), F.col("source_type")).alias("source_id"))
+def incomplete_sources(landing: DataFrame, completeness: DataFrame) -> DataFrame:
+    """Sources of which the run may lack postings: short searches, failed and unreadable responses."""
+    short = completeness.filter("found < total").select(source_id(F.col("company_id"), F.col("source_type")).alias("source_id"))
     return short.unionByName(rollups.response_errors(landing).select("source_id")).distinct()
 
 

@@ -52,6 +52,54 @@ def responses(landing: DataFrame, source_type: str, page_kind: str) -> DataFrame
     )
 
 
+# --- fixed values: what the body of a response must be, by source type and kind of page; pages of HTML are always readable ---
+CONTAINERS = {
+    ("greenhouse", "board"): "object",
+    ("lever", "board"): "array",
+    ("ashby", "board"): "object",
+    ("workday", "search"): "object",
+    ("workday", "detail"): "object",
+}
+_OPENING = {"object": r"^\s*\{", "array": r"^\s*\["}
+# -----------------------------------------------------------------------------------
+
+
+def _opens(container: str) -> Column:
+    return F.col("body").rlike(_OPENING[container])
+
+
+def unreadable() -> Column:
+    """Why the body of a successful response cannot be decoded; null for readable ones.
+
+    A response with an HTTP success may still hold a maintenance page, a cut-off
+    text or another shape than its source publishes. A null body was not kept,
+    so it is not judged. The body is parsed once, as a whole.
+    """
+    parsed = F.try_parse_json("body").isNotNull()
+    reason = F.lit(None).cast("string")
+    for (kind, page), container in CONTAINERS.items():
+        wanted = (F.col("source_type") == kind) & (F.col("page_kind") == page)
+        why = (F.when(F.col("body").rlike(r"^\s*$"), "empty body")
+               .when(~parsed, "body is not JSON")
+               .when(~_opens(container), f"body is not an {container}"))
+        reason = F.when(wanted, why).otherwise(reason)
+    usable = F.col("http_status").between(200, 299) & F.col("error").isNull() & F.col("body").isNotNull()
+    return F.when(usable, reason)
+
+
+def judged(landing: DataFrame) -> DataFrame:
+    """Every response without its body, with the reason ``unreadable`` or null. Roll-ups take it in place of the landing."""
+    return landing.withColumn("unreadable", unreadable()).drop("body")
+
+
+def unreadable_responses(landing: DataFrame) -> DataFrame:
+    """Responses put aside because their body cannot be decoded; ``landing`` may be judged already."""
+    rows = landing if "unreadable" in landing.columns else judged(landing)
+    return rows.filter(F.col("unreadable").isNotNull()).select(
+        "run_id", source_id(F.col("company_id"), F.col("source_type")).alias("source_id"), "page_kind", "page_seq",
+        "search_term", "request_path", F.col("unreadable").alias("reject_reason"))
+
+
 def json_elements(pages: DataFrame, array_path: str | None, element: str, retain_raw: bool) -> DataFrame:
     """One row per element of a JSON array, as struct ``j`` and text ``raw``.
 
@@ -59,8 +107,7 @@ def json_elements(pages: DataFrame, array_path: str | None, element: str, retain
     the array. The array is parsed once; only ``retain_raw`` keeps each
     element's own text, which costs a second parse.
     """
-    opening = "{" if array_path else "["
-    body = F.when(F.ltrim(F.col("body")).startswith(opening), F.col("body"))
+    body = F.when(_opens("object" if array_path else "array"), F.col("body"))
     item = "string" if retain_raw else element
     if array_path:
         items = F.from_json(body, f"struct<{array_path}: array<{item}>>")[array_path]

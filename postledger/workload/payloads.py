@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import LocationFilter
+from ..operators import rollups as R
 from ..operators import validate as V
 from ..sources import boards, jsonld, union, workday
 from ..session import shared_folder
 from ..sources import landing as landed
-from ..sources.landing import accepted, rejected
+from ..sources.landing import accepted, rejected, unreadable_responses
 from .registry import SQL, query
 from .views import SQL_POST, posting_base
 
@@ -233,6 +234,46 @@ def warnings(spark, sf):
     return V.warnings(workday.search_completeness(landing), caps, bad)
 
 
+# --- responses whose body cannot be decoded ----------------------------------------------------
+def mixed_landing(spark, sf):
+    """One response per document: readable, cut off, a page of HTML, another shape, blank, without body or failed."""
+    b = posting_base(spark, sf)
+    jobs = F.concat(F.lit('[{"id": "'), F.col("doc_id").cast("string"), F.lit('", "title": "'), "title", F.lit('"}]'))
+    board = F.concat(F.lit('{"jobs": '), jobs, F.lit("}"))
+    flat = F.expr("floor(doc_id / 100) % 5 = 1")
+    right, wrong = F.when(flat, jobs).otherwise(board), F.when(flat, board).otherwise(jobs)
+    k = _KEY % 8
+    body = (F.when(k == 1, F.expr("substring(%s, 1, 20 + doc_id %% 9)" % "concat('{\"jobs\": [{\"id\": \"', doc_id, '\", \"title\": \"', title, '\"}]}')"))
+            .when(k == 2, F.lit("<html>busy</html>")).when(k == 3, wrong).when(k == 4, F.lit(" \n"))
+            .when(k == 5, F.lit(None).cast("string")).when(k == 6, F.concat(F.lit("\n "), right)).otherwise(right))
+    kind = F.when(F.col("source_type") == "workday", F.lit("search")).when(F.col("source_type") == "jsonld", F.lit("html")).otherwise(F.lit("board"))
+    rows = _landing(b, "", "", body, page_kind=kind, page_seq=F.col("doc_id").cast("int"), options=F.create_map(F.lit("type"), "source_type"))
+    return rows.withColumn("source_type", F.element_at("options", "type"))
+
+
+_MIXED_SQL = SQL_POST + """, b AS (SELECT *, '[{"id": "' || doc_id || '", "title": "' || title || '"}]' AS jobs, source_type = 'lever' AS flat FROM v_post),
+  c AS (SELECT *, '{"jobs": ' || jobs || '}' AS board FROM b),
+  m AS (SELECT *, CASE doc_id % 8 WHEN 1 THEN substr(board, 1, CAST(20 + doc_id % 9 AS INT)) WHEN 2 THEN '<html>busy</html>'
+      WHEN 3 THEN CASE WHEN flat THEN board ELSE jobs END WHEN 4 THEN ' ' || chr(10) WHEN 5 THEN NULL
+      ELSE CASE WHEN flat THEN jobs ELSE board END END AS body FROM c),
+  u AS (SELECT doc_id, source_id, CASE WHEN trim(body, ' ' || chr(10)) = '' THEN 'empty body' WHEN NOT json_valid(body) THEN 'body is not JSON'
+      WHEN flat AND json_type(body) <> 'ARRAY' THEN 'body is not an array' WHEN NOT flat AND json_type(body) <> 'OBJECT' THEN 'body is not an object' END AS reason
+    FROM m WHERE source_type <> 'jsonld' AND body IS NOT NULL AND doc_id % 23 <> 4)"""
+
+
+@query("unreadable_responses", _MIXED_SQL + " SELECT source_id, CAST(doc_id AS INT) AS page_seq, reason AS reject_reason FROM u WHERE reason IS NOT NULL")
+def unreadable_responses_query(spark, sf):
+    """Successful responses whose body is cut off, blank, no JSON or another shape than their source publishes."""
+    return unreadable_responses(mixed_landing(spark, sf)).select("source_id", "page_seq", "reject_reason")
+
+
+@query("errors_with_unreadable_responses", _MIXED_SQL + """ SELECT source_id, count(*) AS failed_responses FROM (
+    SELECT source_id FROM u WHERE reason IS NOT NULL UNION ALL SELECT source_id FROM m WHERE doc_id % 23 = 4) GROUP BY 1""")
+def errors_with_unreadable_responses(spark, sf):
+    """Failed responses by source: an unreadable body counts as one, so its source expires nothing."""
+    return R.source_errors(mixed_landing(spark, sf)).select("source_id", "failed_responses")
+
+
 # --- pages with embedded postings ---------------------------------------------------------------
 def _item(title: Column) -> Column:
     place = F.struct(F.struct(F.lit("Austin").alias("addressLocality"), F.col("location").alias("addressRegion"),

@@ -8,6 +8,7 @@ from ..operators import diff as D
 from ..operators import feed
 from ..operators import rollups as R
 from ..operators import validate as V
+from ..operators.skew import salted_join
 from .registry import query
 from .views import (RUN_AT, SQL_ALL, SQL_DIFF, SQL_LOG, SQL_LOG_AND_ALL, SQL_POST, SQL_RESPONSES, all_postings,
                     current_postings, observation_log, posting_base, previous_state, response_log, table)
@@ -96,12 +97,17 @@ def inventory_message_counts(spark, sf):
     return rows.filter("section = 0").select(*[value(n) for n in ("total_active", "new", "changed", "expired")])
 
 
-@query("expired_after_partial_failure", SQL_DIFF + "," + SQL_RESPONSES[len("WITH "):] + """ SELECT source_id, source_job_id FROM diff WHERE status = 'expired'
-  AND source_id NOT IN (SELECT source_id FROM v_err WHERE message IS NOT NULL AND page_seq % 40 = 0)""")
+@query("expired_after_partial_failure", SQL_DIFF + "," + SQL_RESPONSES[len("WITH "):] + """, v_last AS (
+    SELECT source_id, max(strftime(fetched_at, '%Y-%m-%d %H')) AS run FROM v_err GROUP BY 1)
+  SELECT source_id, source_job_id FROM diff WHERE status = 'expired' AND source_id NOT IN (
+    SELECT v_err.source_id FROM v_err JOIN v_last ON v_last.source_id = v_err.source_id AND run = strftime(fetched_at, '%Y-%m-%d %H') WHERE message IS NOT NULL)""")
 def expired_after_partial_failure(spark, sf):
-    """Sources with any failed response expire nothing."""
+    """Sources with any failed response in their last run, an hour of the whole log, expire nothing."""
     current = current_postings(spark, sf)
-    failed = R.response_errors(response_log(spark, sf).filter("page_seq % 40 = 0"))
+    log = response_log(spark, sf).withColumn("run_id", F.date_format("fetched_at", "yyyy-MM-dd HH"))
+    source = ["company_id", "source_type"]
+    last = log.groupBy(*source).agg(F.max("run_id").alias("run_id"))
+    failed = R.response_errors(salted_join(log, last, [*source, "run_id"], "left_semi", F.col("page_seq")))
     diff = D.snapshot_diff(current, previous_state(spark, sf), D.complete_sources(current, failed))
     return diff.filter("status = 'expired'").select("source_id", "source_job_id")
 

@@ -9,6 +9,7 @@ from postledger.operators import rollups, validate
 from postledger.plans import daily, pages
 from postledger.schemas import COMPANY_CONFIG, LANDING, WATCH_CONFIG
 from postledger.sinks.state import StateStore
+from postledger.sources.landing import judged, unreadable_responses
 from postledger.sources.registry import no_watches, read_registry, read_watches
 from postledger.sources.union import quarantine, union_sources
 
@@ -252,6 +253,45 @@ def test_a_failed_term_expires_nothing(spark, tmp_path):
     assert statuses(run(spark, store, gone, "w3", 2, tmp_path)) == {"/job/Austin/a_JR-a": "unchanged", "/job/Austin/b_JR-b": "expired"}
 
 
+def test_unreadable_successes_expire_nothing(spark, tmp_path):
+    """A search page or a board of another shape, served with status 200, is no empty result."""
+    search = lambda term, path: response("acme", "workday", {"total": 1, "jobPostings": [
+        {"title": term, "externalPath": f"/job/Austin/{path}", "locationsText": "Austin"}]}, "search", term=term)
+    lever = response("beta", "lever", [{"id": "L", "text": "Cook", "categories": {"location": "Austin"}}])
+    store = StateStore(spark, str(tmp_path / "state"))
+    first = run(spark, store, [search("a", "A_R-1"), search("b", "B_R-2"), lever], "d1", 0, tmp_path)
+    assert sorted(statuses(first)) == ["L", "R-1", "R-2"] and first["unreadable"].count() == 0
+    busy = response("acme", "workday", "<html>busy</html>", "search", term="b")
+    other = response("beta", "lever", {"ok": False, "jobs": []})
+    out = run(spark, store, [search("a", "A_R-1"), busy, other], "d2", 1, tmp_path)
+    assert {k: v for k, v in statuses(out).items() if v} == {"R-1": "unchanged"}
+    runs = {r.source_id: r for r in out["source_runs"].collect()}
+    assert runs["acme#workday"].status == "error" and runs["acme#workday"].error == "unreadable response: body is not JSON"
+    assert runs["beta#lever"].status == "error" and runs["beta#lever"].error == "unreadable response: body is not an array"
+    kinds = sorted((r.kind, r.subject) for r in out["warnings"].collect())
+    assert ("unreadable response", "acme#workday") in kinds and ("unreadable response", "beta#lever") in kinds
+    assert out["stats"].first().failed_sources == 2
+    # without the gate the run is taken at its word
+    out = run(spark, StateStore(spark, str(tmp_path / "state")), [search("a", "A_R-1"), busy], "d3", 2, tmp_path, gate_incomplete=False)
+    assert statuses(out)["R-2"] == "expired"
+
+
+def test_what_makes_a_body_unreadable(spark):
+    cut = json.dumps(board((1, "Dev", "Austin")))[:-4]
+    rows = [response("a", "greenhouse", "\n " + json.dumps(board((1, "Dev", "Austin"))), seq=0), response("a", "greenhouse", cut, seq=1),
+            response("a", "greenhouse", " \t\n", seq=2), response("a", "greenhouse", "[]", seq=3), response("a", "greenhouse", None, seq=4),
+            response("a", "greenhouse", "down", status=503, seq=5), response("a", "ashby", "null", seq=6), response("a", "lever", "[]", seq=7),
+            response("a", "jsonld", "<html>", "html", seq=8), response("a", "workday", "{", "detail", seq=9, path="/job/x"),
+            response("a", "greenhouse", '{"jobs": []}', seq=10)]
+    df = landing(spark, rows)
+    got = {r.page_seq: r.reject_reason for r in unreadable_responses(df).collect()}
+    assert got == {1: "body is not JSON", 2: "empty body", 3: "body is not an object", 6: "body is not an object", 9: "body is not JSON"}
+    assert unreadable_responses(judged(df)).count() == 5
+    # an unreadable detail page fails no source, and what is readable is decoded
+    assert sorted(r.page_seq for r in rollups.response_errors(df).collect()) == [1, 2, 3, 5, 6]
+    assert [r.title for r in union_sources(df.filter("page_seq in (0, 2, 3, 4, 10)")).collect()] == ["Dev"]
+
+
 def test_inventory_has_every_active_posting(spark, tmp_path):
     from postledger.operators import feed
 
