@@ -15,7 +15,7 @@ from ..operators.skew import top_n_per_group
 from .common import cut_lineage, map_rows
 
 #: Words of a shard; a piece is never cut, so a shard may have one piece more.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 6 << 20
 LEAST, TOP, SHARE = 10, 2000, 50
 _LOCAL_BITS, _SHARD_BITS = 26, 16
 #: Lower-cases A-Z and turns the ends of pieces into a byte that no UTF-8 text has.
@@ -143,39 +143,49 @@ def _shards(docs: DataFrame, shard_words: int) -> DataFrame:
 
 def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
     """All pairs of known words of one shard; ``right`` is the shard's (local, gid)."""
-    names = ["shard", "slot", "x", "y", "n"]
-    empty = pa.table({n: pa.array([], pa.int64()) for n in names})
+    names = ["code", "x", "y", "n"]
     if not left.num_rows or not right.num_rows:
-        return empty
+        return pa.table({n: pa.array([], pa.int64()) for n in names})
     index = Index(left["packed"][0].as_py())
     gid = np.zeros(int(index.first[-1]) + 1, dtype=np.int64)
     known = np.zeros(len(gid), dtype=bool)
     local = right["local"].to_numpy()
     gid[local], known[local] = right["gid"].to_numpy(), True
     slot, x, y, n = index.pairs(known)
-    shard = np.full(len(slot), left["shard"][0].as_py(), dtype=np.int64)
-    return pa.table([pa.array(c.astype(np.int64)) for c in (shard, slot, gid[x], gid[y], n)], names=names)
+    code = (left["shard"][0].as_py() << _LOCAL_BITS) + slot.astype(np.int64)
+    return pa.table([pa.array(c.astype(np.int64)) for c in (code, gid[x], gid[y], n)], names=names)
 
 
 def _triples(left: pa.Table, right: pa.Table) -> pa.Table:
-    """All triples of one shard whose pairs are among ``right`` (slot, x, y)."""
-    names = ["x", "y", "z", "n"]
+    """All triples of one shard whose pairs are among ``right`` (slot, pid)."""
+    names = ["p", "q", "n"]
     if not left.num_rows or not right.num_rows:
         return pa.table({n: pa.array([], pa.int64()) for n in names})
     index = Index(left["packed"][0].as_py())
-    ends = np.zeros((2, len(index.starts)), dtype=np.int64)
+    pid = np.zeros(len(index.starts), dtype=np.int64)
     live = np.zeros(len(index.starts), dtype=bool)
     slot = right["slot"].to_numpy()
-    ends[0, slot], ends[1, slot], live[slot] = right["x"].to_numpy(), right["y"].to_numpy(), True
+    pid[slot], live[slot] = right["pid"].to_numpy(), True
     a, b, n = index.triples(live)
-    return pa.table([pa.array(c.astype(np.int64)) for c in (ends[0, a], ends[1, a], ends[1, b], n)], names=names)
+    return pa.table([pa.array(c.astype(np.int64)) for c in (pid[a], pid[b], n)], names=names)
+
+
+def _named(rows: DataFrame, values: list[str], least: int, name: str) -> DataFrame:
+    """``(code, name, ...)`` of the rows (code, n, ...) whose ``values`` occur ``least`` times in all shards.
+
+    The smallest code of equal values is their name. Its row alone has the values and their sum as ``total``.
+    """
+    same = Window.partitionBy(*values)
+    found = rows.withColumns({"total": F.sum("n").over(same), name: F.min("code").over(same)}).filter(F.col("total") >= least)
+    first = F.col("code") == F.col(name)
+    return cut_lineage(found.select("code", name, *[F.when(first, F.col(v)).alias(v) for v in (*values, "total")]))
 
 
 def ngrams(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Words, pairs and triples of words that occur at least ``least`` times, counted by language, and words by language.
 
-    ``(gid, lang, word, n)``, ``(x, y, n)``, ``(x, y, z, n)`` and ``(lang, total)``; x, y, z
-    are gids. A gid names a word of one language. Counts are sums over shards.
+    ``(gid, lang, word, n)``, ``(pid, x, y, n)``, ``(p, q, n)`` and ``(lang, total)``: x and y
+    are gids, p and q the pids of a triple's first and last two words. A gid names a word of one language. Counts are sums over shards.
     A pair can only be frequent if both words are, and a triple if both pairs
     are, so each shard extends only the intervals that survived the sum.
     Groups that meet in one task have one row for each shard at most.
@@ -184,20 +194,18 @@ def ngrams(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS)
     indexes = shards.filter("packed is not null").select("shard", "packed")
     vocabulary = shards.filter("packed is null").drop("packed")
     totals = vocabulary.groupBy("lang").agg(F.sum("n").alias("total"))
-    same = Window.partitionBy("lang", "word")
-    code = F.shiftleft(F.col("shard"), _LOCAL_BITS) + F.col("local")
-    known = cut_lineage(
-        vocabulary.withColumn("code", code).withColumn("total", F.sum("n").over(same)).filter(F.col("total") >= least)
-        .withColumn("gid", F.min("code").over(same)))
-    words = known.filter("gid = code").select("gid", "lang", "word", F.col("total").alias("n"))
+    shard, place = F.shiftright("code", _LOCAL_BITS), F.col("code").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+    known = _named(vocabulary.select((F.shiftleft("shard", _LOCAL_BITS) + F.col("local")).alias("code"), "lang", "word", "n"), ["lang", "word"], least, "gid")
+    words = known.filter("code = gid").select("gid", "lang", "word", F.col("total").alias("n"))
     by_shard = indexes.groupBy("shard")
-    found = by_shard.cogroup(known.select("shard", "local", "gid").groupBy("shard")).applyInArrow(
-        _pairs, "shard long, slot long, x long, y long, n long")
-    frequent = cut_lineage(found.withColumn("total", F.sum("n").over(Window.partitionBy("x", "y"))).filter(F.col("total") >= least).drop("n"))
-    pairs = frequent.select("x", "y", F.col("total").alias("n")).distinct()
-    triples = by_shard.cogroup(frequent.select("shard", "slot", "x", "y").groupBy("shard")).applyInArrow(_triples, "x long, y long, z long, n long")
-    triples = triples.groupBy("x", "y", "z").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return words, cut_lineage(pairs), cut_lineage(triples), totals
+    spelled = known.select(shard.alias("shard"), place.cast("int").alias("local"), "gid")
+    found = by_shard.cogroup(spelled.groupBy("shard")).applyInArrow(_pairs, "code long, x long, y long, n long")
+    frequent = _named(found, ["x", "y"], least, "pid")
+    pairs = frequent.filter("code = pid").select("pid", "x", "y", F.col("total").alias("n"))
+    live = frequent.select(shard.alias("shard"), place.cast("int").alias("slot"), "pid")
+    triples = by_shard.cogroup(live.groupBy("shard")).applyInArrow(_triples, "p long, q long, n long")
+    triples = triples.groupBy("p", "q").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return words, pairs, cut_lineage(triples), totals
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -220,8 +228,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
     word = lambda g, *more: words.select(F.col("gid").alias(g), *more)
     three = (
         triples.withColumnRenamed("n", "a")
-        .join(pairs.select("x", "y", F.col("n").alias("xy")), ["x", "y"])
-        .join(pairs.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("n").alias("yz")), ["y", "z"])
+        .join(pairs.select(F.col("pid").alias("p"), "x", "y", F.col("n").alias("xy")), "p")
+        .join(pairs.select(F.col("pid").alias("q"), F.col("y").alias("z"), F.col("n").alias("yz")), "q")
         .join(word("x", "lang", F.col("word").alias("w1"), F.col("n").alias("n1")), "x")
         .join(word("y", F.col("word").alias("w2")), "y")
         .join(word("z", F.col("word").alias("w3"), F.col("n").alias("n3")), "z")
@@ -229,10 +237,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
         .withColumn("first", F.col("early") <= F.col("late")))
     three = three.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", F.when(F.col("first"), F.col("n1")).otherwise(F.col("xy")).alias("l"),
                          F.when(F.col("first"), F.col("yz")).otherwise(F.col("n3")).alias("r"), F.least("early", "late").alias("score"))
-    inside = (triples.select("x", "y", "n").unionByName(triples.select(F.col("y").alias("x"), F.col("z").alias("y"), "n"))
-              .groupBy("x", "y").agg(F.max("n").alias("longer")))
+    inside = triples.select(F.explode(F.array("p", "q")).alias("pid"), "n").groupBy("pid").agg(F.max("n").alias("longer"))
     two = (
-        pairs.withColumnRenamed("n", "a").join(inside, ["x", "y"], "left")
+        pairs.withColumnRenamed("n", "a").join(inside, "pid", "left")
         .filter(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
         .join(word("x", "lang", F.col("word").alias("w1"), F.col("n").alias("l")), "x")
         .join(word("y", F.col("word").alias("w2"), F.col("n").alias("r")), "y")
