@@ -173,7 +173,7 @@ def fit(featured: DataFrame, labels: DataFrame, label: str = "quality", sample:
     costs = np.where(y, COST * 0.5 / share, COST * 0.5 / max(1 - share, 1e-6))
     w = dual_coordinate_descent(places[:cut], values[:cut], np.where(y, 1.0, -1.0)[:cut], BUCKETS + 1, costs[:cut])
     weights = w[:-1]
-    used = weights[weights != 0]
+    used = weights[np.abs(weights) > 1e-9]  # others have cancelled out but for rounding
     mean = float(np.abs(used).mean()) if len(used) else 0.0
     machine = Machine(((1 - BLEND) * mean + BLEND * weights) * scaled[:-1], float(w[-1]), 1.0, 0.0)
     sums = np.concatenate([[0.0], np.cumsum(machine.weights[flat])])

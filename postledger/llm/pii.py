@@ -17,18 +17,18 @@ SEEDS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_GAP = r"\x20\t-\r"
-#: A token with a digit or @ may be an identifier.
-TOKEN = rf"(?<![^{_GAP}])[^{_GAP}0-9@]*+[0-9@][^{_GAP}]*+"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: What an identifier of a kind must look like where only its context names it.
-LOOKS = {
-    "email": r"^[^@\s]+@[A-Za-z0-9][^@\s]*$",
-    "ip": r"^(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}$|^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$",
-    "card": r"^[0-9]{4}(?:-?[0-9]){8,15}$",
-    "phone": r"^\(?[0-9]{2,4}\)?(?:[.-]?[0-9]){5,11}$",
+#: A possible identifier begins the text or follows white space, a label or a bracket, and ends before the like.
+_FROM = r"""(?<![^\x20\t-\r:=(\[<"'])"""
+_TO = r"""(?![^\x20\t-\r,;.:!?)\]>"'])"""
+#: What may be an identifier where only its context names it: groups of digits with single separators or
+#: brackets between them, words with @, and groups of hexadecimal digits with colons.
+POSSIBLE = {
+    "number": rf"{_FROM}\(?[0-9]++\)?(?:[\x20./-]?\(?[0-9]++\)?|\)\x20[0-9]++)*+{_TO}",
+    "address": rf"{_FROM}[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?{_TO}",
+    "hex": rf"{_FROM}(?:[0-9A-Fa-f]{{1,4}}:){{3,7}}[0-9A-Fa-f]{{1,4}}{_TO}",
 }
-#: A context is trusted with so many different known identifiers, and from such a share of its identifiers on.
+#: A context is trusted with so many different known identifiers, and from such a share of its known and contradicting ones on.
 SUPPORT = 3
 TRUST = 0.7
 #: An identifier is accepted from this confidence on.
@@ -58,63 +58,81 @@ def valid(kind: Column, value: Column) -> Column:
     )
 
 
+def _looks(kind: Column, value: Column) -> Column:
+    """The kind that a possible identifier may be of, by its form; null if of none."""
+    n = F.length(_digits(value))
+    dotted = F.regexp_like(value, F.lit(r"^[0-9]+(?:\.[0-9]+){3}$"))
+    return (
+        F.when(kind == "address", "email").when(kind == "hex", "ip")
+        .when((kind == "number") & dotted, F.when(F.regexp_like(value, F.lit(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$")), "ip"))
+        .when((kind == "number") & n.between(14, 19) & F.regexp_like(value, F.lit(r"^[0-9\x20-]+$")), "card")
+        .when((kind == "number") & n.between(7, 13), "phone"))
+
+
 def mentions(docs: DataFrame) -> DataFrame:
-    """row, doc_id and all valid seeds and possible identifiers (``kind`` token) of every whole text, with their contexts.
+    """row, doc_id and all valid seeds and possible identifiers of every whole text, with their contexts.
 
-    Rows without any stay with a null kind.
+    Possible identifiers of no kind, as numbers that are too short, are kept as
+    kind ``none``: they contradict the contexts they stand in. Rows without any
+    mention stay with a null kind. The contexts are the two words before, the words on either side, the
+    label before, and the words before a label that touches the identifier.
+    Words with digits or @ are alike in them, so that lists of identifiers have contexts.
     """
     text = F.col("text")
-    before = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
+    before = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "address": F.contains(text, F.lit("@")),
+              "hex": F.regexp_like(text, F.lit("[0-9A-Fa-f]:[0-9A-Fa-f]"))}
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = located(rows, "row", [Search(k, p, when=before.get(k)) for k, p in SEEDS.items()] + [Search("token", TOKEN)])
-    lead = F.length(F.regexp_extract("value", r"^[^A-Za-z0-9+@(]*", 0))
-    core = F.regexp_replace(F.regexp_replace("value", r"^[^A-Za-z0-9+@(]+", ""), r"[^A-Za-z0-9]+$", "")
-    token = F.col("kind") == "token"
-    found = found.withColumn("core", F.when(token, core).otherwise(F.col("value"))).withColumn(
-        "start", F.when(token, F.col("start") + lead).otherwise(F.col("start"))).withColumn(
-        "end", F.when(token, F.col("start") + F.length("core")).otherwise(F.col("end")))
+    found = located(rows, "row", [Search(k, p, when=before.get(k)) for k, p in {**SEEDS, **POSSIBLE}.items()], words=2)
     seed = F.col("kind").isin(*KINDS) & valid(F.col("kind"), F.col("value"))
-    found = found.withColumn("kind", F.when(seed | token, F.col("kind")))
-    # a token that a seed overlaps is no candidate: look at the seeds that start before and after it
+    possible = F.col("kind").isin(*POSSIBLE)
+    found = found.withColumn("seed", F.coalesce(seed, F.lit(False))).withColumn(
+        "kind", F.when(seed, F.col("kind")).when(possible, F.coalesce(_looks(F.col("kind"), F.col("value")), F.lit("none"))))
+    # what a seed overlaps is no candidate: look at the seeds that start before and after it
     at = Window.partitionBy("row").orderBy("start")
-    is_seed = F.col("kind").isin(*KINDS)
-    reach = F.max(F.when(is_seed, F.col("end"))).over(at.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    reach = F.max(F.when(F.col("seed"), F.col("end"))).over(at.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     back = Window.partitionBy("row").orderBy(F.col("start").desc())
-    following = F.min(F.when(is_seed, F.col("start"))).over(back.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    hidden = token & ((F.coalesce(reach, F.lit(-1)) > F.col("start")) | (F.coalesce(following, F.col("end")) < F.col("end")))
-    looks = F.coalesce(*[F.when(F.regexp_like("core", F.lit(p)), F.lit(k)) for k, p in LOOKS.items()])
-    found = found.withColumn("kind", F.when(hidden, None).otherwise(F.col("kind"))).withColumn(
-        "seed", F.col("kind").isin(*KINDS)).withColumn("kind", F.when(F.col("kind") == "token", looks).otherwise(F.col("kind")))
-    words = F.split(F.lower(F.trim(F.translate(F.col("left"), "\t\n\x0b\x0c\r", "     "))), " +")
-    after = F.split(F.lower(F.trim(F.translate(F.col("right"), "\t\n\x0b\x0c\r", "     "))), " +")
-    w1, w2, w3 = F.get(words, F.size(words) - 1), F.get(words, F.size(words) - 2), F.get(after, F.lit(0))
+    following = F.min(F.when(F.col("seed"), F.col("start"))).over(back.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    hidden = ~F.col("seed") & ((F.coalesce(reach, F.lit(-1)) > F.col("start")) | (F.coalesce(following, F.col("end")) < F.col("end")))
+    found = found.withColumn("kind", F.when(~hidden, F.col("kind")))
+    alike = lambda side: F.transform(F.split(F.lower(F.trim(side)), " +"), lambda w: F.when(w.rlike("[0-9@]"), "#").otherwise(w))
+    glued = F.regexp_like("left", F.lit(r"[:=(]$"))
+    found = found.withColumns({"words": alike(F.col("left")), "after": alike(F.col("right")), "glued": glued})
+    last = lambda k: F.get("words", F.size("words") - k)
+    w1, w2, w3, bare = last(1), last(2), last(3), F.get("after", F.lit(0))
+    contexts = F.array(
+        F.when(w1 != "", F.concat_ws(" ", w2, w1, F.lit("_"))),
+        F.when((w1 != "") & (bare != ""), F.concat_ws(" ", w1, F.lit("_"), bare)),
+        F.when(w1.rlike("[a-z][:=]$"), F.concat_ws(" ", w1, F.lit("_"))),
+        F.when(F.col("glued") & (w2 != ""), F.concat_ws(" ", w3, w2, F.lit("_"))))
     return cut_lineage(found.select(
-        "row", "doc_id", "kind", "seed", "start", "end", F.lower(F.col("core")).alias("name"),
-        F.when(w1 != "", F.concat_ws(" ", w2, w1, F.lit("_"))).alias("before"), F.when((w1 != "") & (w3 != ""), F.concat_ws(" ", w1, F.lit("_"), w3)).alias("around"),
-    ))
+        "row", "doc_id", "kind", "seed", "start", "end", F.lower(F.col("value")).alias("name"), F.array_distinct(F.array_compact(contexts)).alias("contexts")))
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST, accept: float = ACCEPT) -> DataFrame:
     """``(kind, name, confidence)`` of the identifiers that only their contexts show.
 
-    The graph links contexts (two words before, or one on either side) with the
-    different identifiers seen in them. A context's trust is the summed
-    confidence of its identifiers over their number plus one; an identifier's
+    The graph links contexts with the different identifiers seen in them. A
+    context's trust in a kind is the summed confidence of its identifiers of
+    that kind, over the same sum for all kinds and the number of its mentions of
+    no kind, plus one. Identifiers that are not known yet speak neither for nor against it. An identifier's
     confidence is one minus the product of the doubts of its trusted contexts.
     Seeds have confidence one; accepted identifiers count in the next round.
     """
     edges = cut_lineage(
-        found.filter("kind is not null").select("kind", "name", "seed", F.explode(F.array("before", "around")).alias("context"))
-        .filter("context is not null").groupBy("kind", "context", "name").agg(F.max("seed").alias("seed")))
+        found.filter("kind is not null").select("kind", "name", "seed", F.explode("contexts").alias("context"))
+        .groupBy("kind", "context", "name").agg(F.max("seed").alias("seed")))
     known = None
     for _ in range(rounds):
-        scored = edges.withColumn("confidence", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.lit(0.0)))
-        if known is not None:
-            scored = edges.join(known, ["kind", "name"], "left").withColumn(
-                "confidence", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("confidence", F.lit(0.0))))
-        contexts = scored.groupBy("kind", "context").agg(
-            F.count_if(F.col("confidence") > 0).alias("n"), (F.sum("confidence") / (F.count("*") + 1)).alias("trust")).filter(
-            (F.col("n") >= support) & (F.col("trust") >= trust))
+        own = F.when(F.col("seed"), F.lit(1.0))
+        if known is None:
+            scored = edges.withColumn("confidence", own.otherwise(F.lit(0.0)))
+        else:
+            scored = edges.join(known, ["kind", "name"], "left").withColumn("confidence", own.otherwise(F.coalesce("confidence", F.lit(0.0))))
+        kinds = scored.groupBy("context", "kind").agg(
+            F.count_if(F.col("confidence") > 0).alias("n"), F.sum("confidence").alias("mass"), F.count("*").alias("all"))
+        whole = kinds.groupBy("context").agg(F.sum(F.when(F.col("kind") == "none", F.col("all")).otherwise(F.col("mass"))).alias("total"))
+        contexts = kinds.filter((F.col("kind") != "none") & (F.col("n") >= support)).join(whole, "context").select(
+            "context", "kind", (F.col("mass") / (F.col("total") + 1)).alias("trust")).filter(F.col("trust") >= trust)
         doubt = F.exp(F.sum(F.log(1 - F.col("trust"))))
         known = cut_lineage(
             edges.filter(~F.col("seed")).join(contexts, ["kind", "context"]).groupBy("kind", "name").agg((1 - doubt).alias("confidence"))

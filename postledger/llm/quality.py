@@ -80,18 +80,21 @@ def host_verdicts(failures: DataFrame) -> DataFrame:
 
     The prior of a rule is the beta distribution whose mean is the failure rate
     of all documents and whose variance is that of the hosts' rates, weighted
-    by their documents. A host's rate is the posterior mean. With one host, or
-    equal rates, the prior has the weight MOST_PRIOR.
+    by their documents, less what rates differ by chance alone: each host's
+    sampling variance, with these weights, sums to ``hosts * m * (1 - m) / documents``.
+    A host's rate is the posterior mean. With one host, or rates that differ
+    by no more than chance, the prior has the weight MOST_PRIOR.
     """
     hosts = cut_lineage(failures.groupBy("host").agg(
         F.count("*").alias("n"), *[F.count_if(f"fails_{r}").alias(f"f_{r}") for r in RULES]))
     n = F.col("n")
-    means = hosts.agg(F.sum("n").alias("n"), *[(F.sum(f"f_{r}") / F.sum("n")).alias(r) for r in RULES]).first()
+    means = hosts.agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), *[(F.sum(f"f_{r}") / F.sum("n")).alias(r) for r in RULES]).first()
     spread = hosts.agg(*[
         (F.sum(n * F.pow(F.col(f"f_{r}") / n - F.lit(means[r] or 0.0), 2)) / F.sum("n")).alias(r) for r in RULES]).first()
     columns = {}
     for r in RULES:
-        m, v = means[r] or 0.0, spread[r] or 0.0
+        m = means[r] or 0.0
+        v = (spread[r] or 0.0) - (means["hosts"] / means["n"] if means["n"] else 0.0) * m * (1 - m)
         weight = MOST_PRIOR if v <= 1e-12 else min(MOST_PRIOR, max(LEAST_PRIOR, m * (1 - m) / v - 1))
         columns[f"rate_{r}"] = (F.col(f"f_{r}") + F.lit(m * weight)) / (n + F.lit(weight))
     return hosts.withColumns(columns)
@@ -143,7 +146,7 @@ f as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} *
   5 * n_dup_lines > n_words fails_lines, word_chars < 2 * n_words or word_chars > 20 * n_words fails_lengths from m),
 h as (select host, count(*) n, {", ".join(f"count_if(fails_{r}) f_{r}" for r in RULES)} from f group by host),
 p as (select {", ".join(f"sum(f_{r}) / sum(n) m_{r}" for r in RULES)} from h),
-q as (select {", ".join(f"any_value(m_{r}) m_{r}, sum(n * (f_{r} / n - m_{r}) ** 2) / sum(n) v_{r}" for r in RULES)} from h, p),
+q as (select {", ".join(f"any_value(m_{r}) m_{r}, sum(n * (f_{r} / n - m_{r}) ** 2) / sum(n) - count(*) / sum(n) * any_value(m_{r}) * (1 - any_value(m_{r})) v_{r}" for r in RULES)} from h, p),
 k as (select *, {weight} from q),
 v as (select host, {", ".join(rate)} from h, k)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fails_base as base_failed,

@@ -20,12 +20,22 @@ class Search:
     when: Column | None = None
 
 
-def located(df: DataFrame, key: str, searches: list[Search]) -> DataFrame:
+def _end_of(gap: Column, words: int) -> Column:
+    """The last words of a stretch, with white space as single characters."""
+    return F.substring_index(F.translate(gap, "\t\n\x0b\x0c\r", "     "), " ", -2 * words)
+
+
+def _start_of(gap: Column, words: int) -> Column:
+    return F.substring_index(F.translate(gap, "\t\n\x0b\x0c\r", "     "), " ", 2 * words)
+
+
+def located(df: DataFrame, key: str, searches: list[Search], words: int = 0) -> DataFrame:
     """One row per leftmost non-overlapping match of each search in column ``text``.
 
     Columns: those of ``df`` but the text, kind, value (the match), inner (its
     group), left and right (context), start and end (code points, end
-    exclusive). Rows without a match stay, with null kind. A match's place is
+    exclusive). With ``words`` the context is so many whole words at least on either side, whatever
+    search found what stands there; else it is a stretch of characters up to the next match. Rows without a match stay, with null kind. A match's place is
     the sum of the lengths of all earlier matches and of the stretches between
     them, which come from splitting the text by the same pattern; ``key`` must
     tell rows apart. Texts without a match are tested once and not split.
@@ -48,10 +58,22 @@ def located(df: DataFrame, key: str, searches: list[Search]) -> DataFrame:
     def each(n: int, s: Search) -> Column:
         gaps, found = F.col(f"_gaps{n}"), F.col(f"_found{n}")
         inner = F.col(f"_inner{n}") if s.group else found
+        nothing = F.lit("")
+
+        def near(i: Column, m: Column) -> tuple[Column, Column]:
+            if not words:
+                return F.substring(m["gap"], -CONTEXT, CONTEXT), F.substring(m["rest"], 1, CONTEXT)
+            # a match between two stretches is a word at least, so as many matches as words are enough
+            left, right = [_end_of(m["gap"], words)], [_start_of(m["rest"], words)]
+            for k in range(1, words + 1):
+                left[:0] = [_end_of(F.coalesce(F.get(gaps, i - k), nothing), words), F.coalesce(F.get(found, i - k), nothing)]
+                right += [F.coalesce(F.get(found, i + k), nothing), _start_of(F.coalesce(F.get(gaps, i + k + 1), nothing), words)]
+            return F.concat(*left), F.concat(*right)
+
         rows = F.arrays_zip(found.alias("value"), inner.alias("inner"), gaps.alias("gap"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("rest"))
         structs = F.transform(rows, lambda m, i: F.struct(
             F.lit(s.kind).alias("kind"), i.alias("i"), F.length(m["gap"]).alias("gap"), F.length(m["value"]).alias("size"), m["value"].alias("value"),
-            m["inner"].alias("inner"), F.substring(m["gap"], -CONTEXT, CONTEXT).alias("left"), F.substring(m["rest"], 1, CONTEXT).alias("right")))
+            m["inner"].alias("inner"), near(i, m)[0].alias("left"), near(i, m)[1].alias("right")))
         # there is one stretch more than matches
         return F.when(gaps.isNotNull(), F.slice(structs, F.lit(1), F.size(found)))
 

@@ -45,6 +45,23 @@ def test_quality_verdicts(spark, edge, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_prior_of_hosts_that_differ_by_chance_only(spark):
+    """Hosts of one true rate are drawn to the mean; hosts that do differ keep most of their own rate."""
+    import random
+
+    rng = random.Random(2)
+    names = [f"fails_{r}" for r in quality.RULES]
+    chance = [(f"h{h}", *[rng.random() < 0.1 for _ in names]) for h in range(20) for _ in range(50)]
+    apart = [(f"h{h}", *[rng.random() < (0.9 if h % 2 else 0.05) for _ in names]) for h in range(20) for _ in range(50)]
+    schema = "host string, " + ", ".join(f"{n} boolean" for n in names)
+    for rows, least, most in ((chance, 0.0, 0.02), (apart, 0.3, 1.0)):
+        hosts = quality.host_verdicts(spark.createDataFrame(rows, schema)).collect()
+        mean = sum(r[1] for r in rows) / len(rows)
+        rule = f"rate_{quality.RULES[0]}"
+        off = max(abs(r[rule] - mean) for r in hosts)
+        assert least <= off <= most, (off, mean)
+
+
 @pytest.fixture(scope="module")
 def proto():
     return _model_file("piece_bpe_32k.model")

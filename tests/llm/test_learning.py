@@ -61,6 +61,63 @@ def test_loose_blocks_of_an_article(spark):
     assert got[9] == "Bare text of this one stays\nin two lines"
 
 
+def test_paragraphs_of_unmarked_pages_stay_whole(spark):
+    """Copies of an article at two urls, and words of another page inside a paragraph."""
+    same = "The council voted on Monday to build a bridge over the river before the next summer begins"
+    menus = "<ul><li><a href=a>Home</a><li><a href=b>Local news</a><li><a href=c>Sports and weather</a></ul>"
+    rows = [(1, "http://h.example/1", f"<body>{menus}<div>{same}</div>"), (2, "http://h.example/2", f"<body><div><a href=x>Other menu</a></div><div>{same}</div>"),
+            (3, "http://h.example/3", f"<body>{menus}<div>In a letter the council voted on Monday to build a tower instead</div>"), (4, "http://h.example/4", "<a href=x>Only a link</a>")]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: same, 2: same, 3: "In a letter the council voted on Monday to build a tower instead", 4: "Only a link"}
+
+
+def test_boilerplate_against_a_plain_suffix_array(spark):
+    """Blocks that go are those covered by substrings which a sorted list of all suffixes shows on enough pages."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    shared = [" ".join(f"{x}{i}" for i in range(n)) for x, n in (("menu", 9), ("foot", 14), ("tiny", 2), ("rare", 8), ("mid", 6))]
+    rows = []
+    for p in range(12):
+        parts = [shared[0], *[" ".join(rng.choices(["a", "b", "c", "d", "e"], k=rng.randint(2, 14))) for _ in range(rng.randint(1, 4))], shared[1]]
+        if p % 2:
+            parts.insert(1, shared[2])
+        if p < 2:
+            parts.insert(2, shared[3])
+        if p % 3 == 0:
+            parts.insert(2, shared[4] + " and own words")
+        rows.append((p, "http://h.example/x", "".join(f"<div>{x}</div>" for x in parts)))
+    rows.append((20, "http://h.example/x", rows[0][2]))
+
+    streams = {}
+    for p, _, html in rows:
+        own = [text.split() for text, _ in pages.blocks(html)]
+        streams.setdefault(tuple(map(tuple, own)), []).append(p)
+    need = max(3, math.ceil(0.3 * len(streams)))
+    order = sorted((tuple(w for b in own for w in b)[i:], n) for n, own in enumerate(streams) for i in range(sum(map(len, own))))
+    boiler = set()  # longest common beginnings of `need` neighbours from different pages
+    for k, (suffix, _) in enumerate(order):
+        for size in range(5, len(suffix) + 1):
+            on = {n for other, n in order if other[:size] == suffix[:size]}
+            if len(on) < need:
+                break
+            boiler.add(suffix[:size])
+    want = {}
+    for own, ids in streams.items():
+        words = [w for b in own for w in b]
+        gone = {i for b in boiler for s in range(len(words) - len(b) + 1) if tuple(words[s:s + len(b)]) == b for i in range(s, s + len(b))}
+        at, kept = 0, []
+        for b in own:
+            whole = all(i in gone for i in range(at, at + len(b))) or len(b) < 5 and sum(b in other for other in streams) >= need
+            if not whole:
+                kept.append(" ".join(b))
+            at += len(b)
+        want.update({p: "\n".join(kept) for p in ids})
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want and any("rare" in t for t in got.values()) and not any("menu" in t or "tiny" in t for t in got.values())
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 5))

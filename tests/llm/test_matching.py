@@ -236,6 +236,119 @@ def test_contexts_find_further_identifiers(spark):
     assert all(got[i].startswith("phone:") and "email:" in got[i] for i in range(8))
 
 
+def test_forms_that_no_seed_has(spark):
+    """Identifiers of several tokens, behind labels, and as many unknown as known ones in one context."""
+    rows = [(i, f"Please use contact phone: +1 (743) 555-{1000 + i} at any time") for i in range(40)]
+    wanted = ["(743) 555-7777", "0171 234 5678"]
+    rows += [(100 + k, f"Please use contact phone: {w} at any time") for k, w in enumerate(wanted)]
+    rows += [(110, "Please use contact phone: tel:0171-2345678 at any time")]
+    rows += [(200 + i, f"you may write to user{i}@mail.example.com or come") for i in range(30)]
+    rows += [(300 + i, f"you may write to clerk{i}@intranet or come") for i in range(25)]
+    rows += [(400, "item 0171 234 5678 is sold out"), (401, "the order (743) 555-7778 came"), (402, "see clerk@desk over there")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.personal_data(docs)).collect()}
+    for k, w in enumerate(wanted):
+        at = rows[40 + k][1].index(w)
+        assert got[100 + k] == f"phone:{at}:{at + len(w)}"
+    at = rows[42][1].index("0171")
+    assert got[110] == f"phone:{at}:{at + 12}"
+    assert all(got[300 + i].startswith("email:17:") for i in range(25)), got[300]
+    assert got[401] == got[402] == ""
+    # the same number is an identifier wherever it stands, once a context has shown it
+    assert got[400] == "phone:5:18"
+
+
+def test_contradicted_contexts_are_not_trusted(spark):
+    rows = [(i, f"the code is +1 743 555 {1000 + i} here") for i in range(6)] + [(10 + i, f"the code is {i}{i} here") for i in range(10)]
+    rows += [(30, "the code is 0171 234 5678 here")]
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[30] == "" and got[0].startswith("phone:")
+
+
+def plain_bootstrap(texts):
+    """Spans found by contexts, in plain Python."""
+    possible = {k: re.compile(p) for k, p in pii.POSSIBLE.items()}
+    byte = lambda x: int(x) <= 255
+    found = []
+    for row, text in enumerate(texts):
+        seeds = [(k, s, e) for k, s, e in plain_pii(text)]
+        spans = [(k, s, e, True) for k, s, e in seeds]
+        for name, pattern in possible.items():
+            for m in pattern.finditer(text):
+                if any(s < m.end() and m.start() < e for _, s, e in seeds):
+                    continue
+                digits = re.sub("[^0-9]", "", m[0])
+                kind = {"address": "email", "hex": "ip"}.get(name, "none")
+                if name == "number":
+                    if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", m[0]):
+                        kind = "ip" if all(map(byte, m[0].split("."))) else "none"
+                    elif 14 <= len(digits) <= 19 and re.fullmatch(r"[0-9 -]+", m[0]):
+                        kind = "card"
+                    elif 7 <= len(digits) <= 13:
+                        kind = "phone"
+                spans.append((kind, m.start(), m.end(), False))
+        for kind, s, e, seed in spans:
+            mask = lambda ws: [re.sub(".*[0-9@].*", "#", w) for w in ws]
+            left, right = mask(text[:s].lower().split()), mask(text[e:].lower().split())
+            pick = lambda k: left[-k] if len(left) >= k else None
+            w1, w2, w3, after = pick(1), pick(2), pick(3), right[0] if right else None
+            join = lambda *ws: " ".join(w for w in ws if w is not None)
+            contexts = set()
+            if w1:
+                contexts.add(join(w2, w1, "_"))
+                if after:
+                    contexts.add(join(w1, "_", after))
+                if re.search("[a-z][:=]$", w1):
+                    contexts.add(join(w1, "_"))
+            if w2 and text[:s][-1:] in (":", "=", "("):
+                contexts.add(join(w3, w2, "_"))
+            found.append((row, kind, s, e, seed, text[s:e].lower(), contexts))
+    edges = {}
+    for _, kind, _, _, seed, name, contexts in found:
+        for c in contexts:
+            edges[c, kind, name] = edges.get((c, kind, name), False) or seed
+    known = {}
+    for _ in range(pii.ROUNDS):
+        mass, number, total = {}, {}, {}
+        for (c, kind, name), seed in edges.items():
+            confidence = 1.0 if seed else known.get((kind, name), 0.0)
+            mass[c, kind] = mass.get((c, kind), 0.0) + confidence
+            number[c, kind] = number.get((c, kind), 0) + (confidence > 0)
+            total[c] = total.get(c, 0.0) + (1.0 if kind == "none" else confidence)
+        trust = {(c, k): m / (total[c] + 1) for (c, k), m in mass.items() if k != "none" and number[c, k] >= pii.SUPPORT and m / (total[c] + 1) >= pii.TRUST}
+        doubt = {}
+        for (c, kind, name), seed in edges.items():
+            if not seed and (c, kind) in trust:
+                doubt[kind, name] = doubt.get((kind, name), 1.0) * (1 - trust[c, kind])
+        known = {k: 1 - d for k, d in doubt.items() if 1 - d >= pii.ACCEPT}
+    out = {}
+    for row, kind, s, e, seed, name, _ in found:
+        if seed or (kind, name) in known:
+            out.setdefault(row, set()).add((kind, s, e))
+    return out
+
+
+def test_bootstrapping_against_plain_python(spark):
+    rng = random.Random(12)
+    labels = ["contact phone:", "write to", "server at", "id", "paid with", "tel:", "host="]
+    things = [lambda: f"+49 171 {rng.randrange(10**6, 10**7)}", lambda: f"0171 {rng.randrange(10**6, 10**7)}", lambda: f"user{rng.randrange(50)}@mail.example.com",
+              lambda: f"clerk{rng.randrange(30)}@intranet", lambda: f"10.0.{rng.randrange(256)}.{rng.randrange(300)}", lambda: str(rng.randrange(1000)),
+              lambda: f"(743) 555-{rng.randrange(1000, 1100)}", lambda: "fe80:0:0:1"]
+    texts = []
+    for _ in range(300):
+        k = rng.randrange(len(labels))
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            thing = things[rng.choice([k % len(things), k % len(things), (k + 1) % len(things), rng.randrange(len(things))])]()
+            parts.append(rng.choice(["please ", "now ", ""]) + labels[k] + rng.choice([" ", " ", "" if labels[k][-1] in ":=" else " "]) + thing + rng.choice([" today", " or so,", "."]))
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in r["spans"]} for r in pii.personal_data(docs).collect()}
+    want = plain_bootstrap(texts)
+    assert {d: s for d, s in got.items() if s} == want
+    assert sum(map(len, want.values())) > sum(len(plain_pii(t)) for t in texts) + 20
+
+
 def test_native_operators_run_no_python(spark, edge):
     versions = edge.select(F.col("doc_id").alias("path"), "text")
     for df in (pii.personal_data(edge), secrets.findings(versions, secrets.scan(versions))):
@@ -345,7 +458,7 @@ def test_candidates_of_templated_texts_grow_in_proportion(spark):
         rows = [(d, " ".join(x + f" d{d}" * (k == 2) for k, x in enumerate(rng.sample(sentences, 5)))) for d in range(n)]
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         nodes = shingles._nodes(docs, docs.withColumn("node", F.col("doc_id").cast("string").cast("binary")), 5)
-        counts.append(shingles.candidates(shingles._prefixes(nodes, 0.8), 0.8).count())
+        counts.append(shingles.candidates(shingles._prefixes(nodes, 0.8), 0.8, None).count())
     assert counts[1] <= 3 * counts[0] + 50 and counts[2] <= 3 * counts[1] + 50, counts
 
 
