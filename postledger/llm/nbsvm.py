@@ -166,9 +166,13 @@ def fit(featured: DataFrame, labels: DataFrame, label: str = "quality", sample:
     y = part["y"].to_numpy() == 1
     n = len(y)
     cut = n - n // 5 if n >= 50 else n
-    places = [np.append(flat[s:e], BUCKETS) for s, e in zip(offsets[:-1], offsets[1:])]
     scaled = np.append(ratio, 1.0)
-    values = [np.append(ratio[p[:-1]] / np.sqrt(max(len(p) - 1, 1)), 1.0) for p in places]
+    # rows are views of two arrays; the bias is the last place of each
+    sizes = np.diff(offsets)
+    at = np.arange(len(flat)) + np.repeat(np.arange(n), sizes)
+    place, value = np.full(len(flat) + n, BUCKETS, dtype=np.int32), np.ones(len(flat) + n)
+    place[at], value[at] = flat, ratio[flat] / np.sqrt(np.repeat(sizes, sizes))
+    places, values = (np.split(x, offsets[1:-1] + np.arange(1, n)) for x in (place, value))
     share = max(y[:cut].mean(), 1e-6)
     costs = np.where(y, COST * 0.5 / share, COST * 0.5 / max(1 - share, 1e-6))
     w = dual_coordinate_descent(places[:cut], values[:cut], np.where(y, 1.0, -1.0)[:cut], BUCKETS + 1, costs[:cut])
