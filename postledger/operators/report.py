@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions.records import markdown_bucket, markdown_line, markdown_posting
 
-# --- fixed values: sections in order, with the bucket of new postings they show ------
+# --- fixed values: texts of the report; sections in order, with the bucket of new postings they show ------
+_TITLE = "# Job Collection Report"
+_GENERATED = "\n**Generated:** "
+_CHECKED = "**Sources checked:** {sources}"
+_STATUS = "**Status:** {successful} successful, {failed} failed"
+_HEADING = "\n## %s (%d)"
+_GONE = "%d jobs are no longer posted"
+_PROBLEM = "- **%s (%s)**: %s"
+_CHANGED_TITLE, _EXPIRED_TITLE, _PROBLEMS_TITLE = "Changed Jobs", "Expired Jobs", "Collection Problems"
 REPORT_DESCRIPTION_CHARS = 2000
 REPORTED = ("new", "changed", "expired")
 _HEADER, _CHANGED, _EXPIRED, _PROBLEMS = 0, 5, 6, 7
@@ -56,16 +64,16 @@ def markdown_rows(postings: DataFrame, generated_at: Column, sources: int, succe
     header = postings.sparkSession.range(1).select(
         F.lit(_HEADER).alias("section_ord"), F.lit("header").alias("section"),
         F.posexplode(F.array(
-            F.lit("# Job Collection Report"),
-            F.concat(F.lit("\n**Generated:** "), F.date_format(generated_at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")),
-            F.lit(f"**Sources checked:** {sources}"),
-            F.lit(f"**Status:** {successful} successful, {failed} failed"),
+            F.lit(_TITLE),
+            F.concat(F.lit(_GENERATED), F.date_format(generated_at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")),
+            F.lit(_CHECKED.format(sources=sources)),
+            F.lit(_STATUS.format(successful=successful, failed=failed)),
         )).alias("row_ord", "line"),
     ).select("section_ord", "section", "row_ord", F.lit("").alias("sort_key"), F.lit(None).cast("string").alias("internal_id"), "line")
 
     bucket = markdown_bucket(F.col("category"), F.col("location"))
     order = F.when(F.col("status") == "changed", F.lit(_CHANGED)).when(F.col("status") == "expired", F.lit(_EXPIRED))
-    title = F.when(F.col("status") == "changed", F.lit("Changed Jobs")).when(F.col("status") == "expired", F.lit("Expired Jobs"))
+    title = F.when(F.col("status") == "changed", F.lit(_CHANGED_TITLE)).when(F.col("status") == "expired", F.lit(_EXPIRED_TITLE))
     for place, shown, name in _SECTIONS:
         order = order.when(bucket == shown, F.lit(place))
         title = title.when(bucket == shown, F.lit(name))
@@ -78,18 +86,18 @@ def markdown_rows(postings: DataFrame, generated_at: Column, sources: int, succe
     heading = counts.select(
         "section_ord", "section", F.lit(0).alias("row_ord"), F.lit("").alias("sort_key"),
         F.lit(None).cast("string").alias("internal_id"),
-        F.format_string("\n## %s (%d)", "section", "n").alias("line"))
+        F.format_string(_HEADING, "section", "n").alias("line"))
     gone = counts.filter(F.col("section_ord") == _EXPIRED).select(
         "section_ord", "section", F.lit(1).alias("row_ord"), F.lit("").alias("sort_key"),
-        F.lit(None).cast("string").alias("internal_id"), F.format_string("%d jobs are no longer posted", "n").alias("line"))
+        F.lit(None).cast("string").alias("internal_id"), F.format_string(_GONE, "n").alias("line"))
     parts = [header, heading, shown.filter(F.col("section_ord") != _EXPIRED), gone]
     if source_errors is not None:
         problems = source_errors.select(
-            F.lit(_PROBLEMS).alias("section_ord"), F.lit("Collection Problems").alias("section"), F.lit(1).alias("row_ord"),
+            F.lit(_PROBLEMS).alias("section_ord"), F.lit(_PROBLEMS_TITLE).alias("section"), F.lit(1).alias("row_ord"),
             F.concat_ws("\u0001", "source_id", "run_id").alias("sort_key"), F.lit(None).cast("string").alias("internal_id"),
-            F.format_string("- **%s (%s)**: %s", "company_id", "source_type", "error").alias("line"))
+            F.format_string(_PROBLEM, "company_id", "source_type", "error").alias("line"))
         n = problems.groupBy("section_ord", "section").agg(F.count("*").alias("n"))
         parts += [problems, n.select(
             "section_ord", "section", F.lit(0).alias("row_ord"), F.lit("").alias("sort_key"),
-            F.lit(None).cast("string").alias("internal_id"), F.format_string("\n## %s (%d)", "section", "n").alias("line"))]
+            F.lit(None).cast("string").alias("internal_id"), F.format_string(_HEADING, "section", "n").alias("line"))]
     return reduce(DataFrame.unionByName, parts)

@@ -70,8 +70,12 @@ def domain_errors(postings: DataFrame) -> DataFrame:
 
 
 def warnings(completeness: DataFrame, detail_caps: DataFrame, rejected: DataFrame,
-             omitted: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
-    """Every cap, omission and drop of a run as ``(kind, subject, warning)``, unreadable responses included."""
+             omitted: DataFrame | None = None, unreadable: DataFrame | None = None, late: DataFrame | None = None) -> DataFrame:
+    """Every cap, omission and drop of a run as ``(kind, subject, warning)``.
+
+    ``unreadable`` are responses that could not be decoded, ``late`` the rows that a stream put aside,
+    of which there is one warning for each window.
+    """
     parts = [
         completeness.filter(F.col("warning").isNotNull()).select(
             F.lit("short search").alias("kind"), F.concat_ws("#", "company_id", "source_type").alias("subject"), "warning"),
@@ -88,6 +92,10 @@ def warnings(completeness: DataFrame, detail_caps: DataFrame, rejected: DataFram
         place = F.concat_ws(" ", "page_kind", F.coalesce("request_path", F.concat(F.lit("page "), F.col("page_seq").cast("string"))))
         parts.append(unreadable.select(F.lit("unreadable response").alias("kind"), F.col("source_id").alias("subject"),
                                        F.concat(place, F.lit(": "), F.col("reject_reason")).alias("warning")))
+    if late is not None:
+        window = F.coalesce(F.date_format("window_start", "yyyy-MM-dd HH:mm"), F.lit("no time"))
+        parts.append(late.groupBy(window.alias("subject")).agg(F.count("*").alias("n")).select(
+            F.lit("late rows").alias("kind"), "subject", F.format_string("%d rows came after their window was closed", "n").alias("warning")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -11,7 +11,7 @@ from ..operators import diff as D
 from ..functions.text import source_id
 from ..operators import feed, report, rollups
 from ..operators.validate import warnings
-from ..session import cut_lineage
+from ..session import cut_and_count, cut_lineage
 from ..sinks.feed import write_messages
 from ..sinks.report import archive_report, write_json_report, write_markdown_report
 from ..sinks.state import StateStore
@@ -31,8 +31,8 @@ def collect(landing: DataFrame, companies: DataFrame, sources: DataFrame, store:
     """One run: decode, filter by place, compare, store, count.
 
     Responses get the options of their source. Decoded postings are written
-    once, because the comparison, the counts and the source roll-up all read
-    them. ``diff`` holds the transitions. Places are filtered before the
+    once, because the comparison and the source roll-up both read
+    them; what the place filter keeps and drops is counted during that write. ``diff`` holds the transitions. Places are filtered before the
     comparison, so that out-of-area postings never expire later. Sources with a
     short search, or any failed or unreadable response other than a detail page, expire
     nothing. With ``registry`` the companies of the configuration are merged
@@ -43,9 +43,10 @@ def collect(landing: DataFrame, companies: DataFrame, sources: DataFrame, store:
                                          ["company_id", "source_type"], "left_semi"), scope)
     # roll-ups, the expiry gate and warnings read responses without bodies
     seen = cut_lineage(judged(wanted))
-    decoded = cut_lineage(decode_all(wanted, where=where, retain_raw=retain_raw))
-    found = accepted(decoded)
     keep = F.lit(True) if where is None else where.matches(F.col("location"))
+    good = F.col("reject_reason").isNull()
+    decoded, n = cut_and_count(decode_all(wanted, where=where, retain_raw=retain_raw), kept=F.count_if(good & keep), dropped=F.count_if(good & ~keep))
+    found = accepted(decoded)
     names = matching_rules(rules, F.col("title"), F.col("location"))
     current = D.last_in_run(
         found.filter(keep).withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.get(names, 0), F.lit(""))),
@@ -64,7 +65,7 @@ def collect(landing: DataFrame, companies: DataFrame, sources: DataFrame, store:
     at = F.lit(run_at)
     return {
         "diff": diff, "postings": current, "rejected": refused, "unreadable": unread, "source_runs": runs,
-        "source_errors": rollups.source_errors(seen), "filter_effect": rollups.filter_effect(found, keep),
+        "source_errors": rollups.source_errors(seen), "filter_effect": landing.sparkSession.createDataFrame([(n["kept"], n["dropped"])], "kept long, dropped long"),
         "statistics": statistics, "stats": stats, "run_log": rollups.run_log_row(stats, run_id, at, at),
         "warnings": warnings(completeness, detail_cap_warnings(search_summaries(wanted), where), refused, unreadable=unread),
     }

@@ -5,7 +5,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Runtime settings that every operator relies on; all can be changed per session.
 DEFAULTS = {
@@ -57,6 +57,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_and_count(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """As :func:`cut_lineage`, with aggregates of the rows taken on the way, during the one write.
+
+    The aggregates belong to the tasks that write, each of which counts once
+    however often it is tried; so nothing may be shuffled behind them.
+    """
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, *[c.alias(n) for n, c in counts.items()]))
+    return out, {n: seen.get.get(n) or 0 for n in counts}
+
+
 def remove_shared(spark: SparkSession) -> None:
     """Delete this application's folder, once no DataFrame that reads from it is needed any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

@@ -1,5 +1,5 @@
 """Per-key status of arriving postings and pages. The last row of each key is a
-versioned table; every micro-batch is compared with it by windows."""
+table in parts; every micro-batch is compared with the parts of its keys by windows."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
@@ -10,23 +10,25 @@ from ..functions.predicates import MIN_MEANINGFUL_CHARS, meaningful
 from ..functions.records import keywords_found
 from ..operators.watch import added_lines
 from ..session import cut_lineage
-from ..sinks.state import StateStore
+from ..sinks.state import KeyedStore
 
 ARRIVAL_STATE = "internal_id string, observed_at timestamp, seq long, content_hash string, closed boolean"
 PAGE_STATE = "id string, checked_at timestamp, seq long, content_text string, content_hash string, last_changed_at timestamp"
 
 
-def _each_batch(stream: DataFrame, store: StateStore, schema: str, out: str, checkpoint: str, step) -> StreamingQuery:
+def _each_batch(stream: DataFrame, store: KeyedStore, schema: str, out: str, checkpoint: str, step) -> StreamingQuery:
     """Run ``step(batch, state)`` on every micro-batch; it returns the rows to
-    write under ``out/batch=N`` and the next state. A batch that comes again
+    write under ``out/batch=N`` and the next state of the batch's parts. The batch is read from its
+    source once, and only the parts of its keys are read and written. A batch that comes again
     after a failure writes the same folder and is not counted in twice."""
     def fold(batch: DataFrame, number: int) -> None:
-        done = store.version_of(f"batch-{number}")
-        before = done - 1 if done else store.version()
-        rows, state = step(batch, store.load(schema, before))
+        fresh = cut_lineage(store.with_part(batch))
+        # at most as many numbers as the store has parts
+        touched = sorted(r.part for r in fresh.select("part").distinct().collect())
+        rows, state = step(fresh.drop("part"), store.load(schema, touched, number))
         rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        if not done:
-            store.commit(state, f"batch-{number}", before + 1)
+        if not store.has_batch(number):
+            store.commit(state, number, touched)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -50,7 +52,7 @@ def arrival_status(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataF
     return rows, both.groupBy("internal_id").agg(last.alias("l")).select("internal_id", "l.*")
 
 
-def stream_status(arrivals: DataFrame, store: StateStore, out: str, checkpoint: str) -> StreamingQuery:
+def stream_status(arrivals: DataFrame, store: KeyedStore, out: str, checkpoint: str) -> StreamingQuery:
     """Status of each arrival as it comes: new, changed, unchanged, reopened or expired."""
     return _each_batch(arrivals, store, ARRIVAL_STATE, out, checkpoint, arrival_status)
 
@@ -95,6 +97,6 @@ def page_outcomes(batch: DataFrame, state: DataFrame, min_chars: int = MIN_MEANI
     return rows, kept.select("id", "l.checked_at", "l.seq", "g.content_text", "g.content_hash", "last_changed_at")
 
 
-def stream_watch_diff(checks: DataFrame, store: StateStore, out: str, checkpoint: str, min_chars: int = MIN_MEANINGFUL_CHARS) -> StreamingQuery:
+def stream_watch_diff(checks: DataFrame, store: KeyedStore, out: str, checkpoint: str, min_chars: int = MIN_MEANINGFUL_CHARS) -> StreamingQuery:
     """Outcome of each page check as it comes."""
     return _each_batch(checks, store, PAGE_STATE, out, checkpoint, lambda batch, state: page_outcomes(batch, state, min_chars))

@@ -44,6 +44,18 @@ def best_duplicates(spark, sf):
     return D.best_duplicates(roles, D.duplicate_links(roles))
 
 
+_LOW_SQL = PAIRS_SQL.replace("round(30 + 40", "round(CASE WHEN a.company_name = b.company_name THEN 30 ELSE 0 END + 40").replace(
+    "ON a.company_name = b.company_name AND a.source_id <> b.source_id", "ON a.source_id <> b.source_id").replace("score >= 0.8", "score >= 0.6")
+
+
+@query("best_duplicates_across_companies", _LOW_SQL + """ SELECT internal_id, duplicate_id, score FROM (SELECT *, row_number() OVER (
+  PARTITION BY internal_id ORDER BY score DESC, duplicate_id) AS n FROM v_dup) WHERE n = 1""")
+def best_duplicates_across_companies(spark, sf):
+    """Best duplicates from 0.6 on, where company equality is not necessary."""
+    roles = _roles(spark, sf)
+    return D.best_duplicates(roles, D.duplicate_links(roles, 0.6))
+
+
 @query("duplicate_groups", PAIRS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
   reach(a, b) AS (SELECT internal_id, duplicate_id FROM v_dup UNION SELECT r.a, d.duplicate_id FROM reach r JOIN v_dup d ON d.internal_id = r.b)
   SELECT d.internal_id, least(g.b, d.internal_id) AS possible_duplicate_group, d.score AS duplicate_confidence
@@ -53,6 +65,17 @@ def duplicate_groups(spark, sf):
     return D.duplicate_groups(roles, D.duplicate_links(roles))
 
 
+@query("duplicate_groups_kept_up_to_date", SQL["duplicate_groups"])
+def duplicate_groups_kept_up_to_date(spark, sf):
+    """The groups of all postings, from those without one in eleven documents and the changes since."""
+    postings = all_postings(spark, sf)
+    number = F.col("source_job_id").cast("long")
+    before, now = D.with_role(postings.filter(number % 11 != 0)), _roles(spark, sf)
+    groups = D.duplicate_groups(before, D.duplicate_links(before))
+    arrived = D.with_role(postings.filter((number % 11 == 0)))
+    return D.update_groups(groups, now, arrived)
+
+
 @query("exact_duplicates", """SELECT 'src' || CAST(user_id % 20 AS VARCHAR) AS source_id, CAST(user_id AS VARCHAR) || event_type AS source_job_id, count(*) AS copies
   FROM events GROUP BY ALL HAVING count(*) > 1""")
 def exact_duplicates(spark, sf):

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, html, predicates, records, rules, similarity, text
 from ..functions.predicates import SearchRule
+from ..operators.rules import tag_postings
+from ..sources.registry import rule_patterns
 from .registry import query
 from .snapshots import _KEEP, PLACES
 from .views import SQL_ALL, SQL_POST, all_postings, posting_base, table
@@ -138,6 +140,18 @@ def parse_iso(spark, sf):
     return table(spark, sf, "events").select("event_id", F.date_format(out, "yyyy-MM-dd HH:mm:ss").alias("posted"))
 
 
+@query("week_dates", """SELECT event_id, strftime(CASE event_id % 3 WHEN 0 THEN date_trunc('week', ts) WHEN 1 THEN date_trunc('day', ts)
+    ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') AS posted FROM events""")
+def week_dates(spark, sf):
+    """Moments written as ISO week dates: the week alone, with the day, or with the day and a time."""
+    parts = lambda p: F.lpad(F.expr(f"extract({p} FROM ts)").cast("string"), 2, "0")
+    year, week, day = F.expr("extract(YEAROFWEEK FROM ts)").cast("string"), parts("WEEK"), F.expr("extract(DAYOFWEEK_ISO FROM ts)").cast("string")
+    k = _c("event_id") % 3
+    raw = (F.when(k == 0, F.concat(year, F.lit("-W"), week)).when(k == 1, F.concat(year, F.lit("W"), week, day))
+           .otherwise(F.concat(year, F.lit("-W"), week, F.lit("-"), day, F.date_format("ts", "'T'HH:mm:ss"), F.lit("Z"))))
+    return table(spark, sf, "events").select("event_id", F.date_format(dates.parse_iso(raw), "yyyy-MM-dd HH:mm:ss").alias("posted"))
+
+
 @query("epoch_millis", "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS posted FROM events")
 def epoch_millis(spark, sf):
     millis = F.unix_millis(_c("ts").cast("timestamp")).cast("string")
@@ -255,6 +269,26 @@ def search_rules(spark, sf):
     return posting_base(spark, sf).select("doc_id", F.array_join(tags, ", ").alias("rules"))
 
 
+_MANY_RULES_SQL = SQL_POST + r""", r AS (SELECT p_brand || '-' || p_partkey AS name, p_partkey % 2 = 0 AS nationwide, lower(p_name) AS inc,
+    CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) END AS exc, '(?i)\bNATION_' || (p_partkey % 25) || '\b' AS spot FROM part),
+  t AS (SELECT DISTINCT lower(title) AS title, location FROM v_post),
+  h AS (SELECT title, location, string_agg(name, ',' ORDER BY name) AS rules, count(*) AS n FROM t JOIN r ON contains(title, inc) AND NOT contains(title, coalesce(exc, 'no such word'))
+    AND (nationwide OR regexp_matches(location, spot)) GROUP BY ALL)
+  SELECT doc_id, coalesce(n, 0) AS n, sha256(coalesce(rules, '')) AS digest FROM v_post p LEFT JOIN h ON h.title = lower(p.title) AND h.location = p.location"""
+
+
+@query("many_search_rules", _MANY_RULES_SQL)
+def many_search_rules(spark, sf):
+    """Every posting against one rule for each part, as a join on character groups."""
+    k = F.col("p_partkey")
+    raw = table(spark, sf, "part").select(
+        F.concat_ws("-", "p_brand", k.cast("string")).alias("name"), (k % 2 == 0).alias("nationwide"),
+        F.array(F.concat(F.lit("NATION_"), (k % 25).cast("string"))).alias("locations"), F.array("p_name").alias("include_titles"),
+        F.when(k % 3 == 0, F.array("p_type")).alias("exclude_titles"))
+    tags = tag_postings(posting_base(spark, sf), rule_patterns(raw), "doc_id")
+    return tags.select("doc_id", F.size("rules").cast("long").alias("n"), F.sha2(F.array_join("rules", ","), 256).alias("digest"))
+
+
 @query("soft_404", f"""WITH t AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'Page can''t be found' || chr(10) WHEN page_id % 4 = 1 THEN repeat('x', 1995) || '404 page' ELSE '' END
     || {PAGE_TEXT_SQL} AS v FROM pages) SELECT page_id, page_id % 4 = 0 AS missing FROM t""")
 def soft_404(spark, sf):

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import watch as W
 from ..session import shared_folder
-from ..sinks.state import StateStore
-from ..streaming.counts import stream_status_counts
+from ..sinks.state import KeyedStore, StateStore
+from ..streaming.counts import OPEN_WINDOWS, stream_counts_and_late_rows, stream_status_counts
 from ..streaming.keyed import stream_status, stream_watch_diff
 from ..streaming.runs import stream_runs
 from .pages import CHECK_SQL, changed_pages
@@ -36,10 +36,10 @@ def _run(out: DataFrame) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
-def _fold(stream, arrivals: DataFrame) -> DataFrame:
+def _fold(stream, arrivals: DataFrame, key: str) -> DataFrame:
     """Run a stream of batch folds over all that is there, then read the result back."""
     spark, folder = arrivals.sparkSession, _folder(arrivals.sparkSession, "fold")
-    stream(arrivals, StateStore(spark, f"{folder}/state"), f"{folder}/out", f"{folder}/log").awaitTermination()
+    stream(arrivals, KeyedStore(spark, f"{folder}/state", key), f"{folder}/out", f"{folder}/log").awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
@@ -52,6 +52,33 @@ def status_counts(spark, sf):
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "status", "observations")
 
 
+_ARRIVALS, _DAYS = 4, 8
+_GROUP = "least(cast(floor((dayofmonth(ts) - 1) / {d}) as int) + case when event_id % 10 = 3 then 1 else 0 end, {n})".format(d=_DAYS, n=_ARRIVALS - 1)
+
+
+@query("stream_late_rows", f"""WITH e AS (SELECT ts, {STATUS_OF_EVENT} AS status, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+    least(CAST(floor((day(ts) - 1) / {_DAYS}) AS INT) + CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END, {_ARRIVALS - 1}) AS g FROM events),
+  b AS (SELECT g, max(max(ts)) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 HOUR AS mark FROM e GROUP BY g),
+  k AS (SELECT status, window_end, CASE WHEN window_end <= mark THEN 'late' WHEN window_end <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR THEN 'closed'
+    ELSE 'open' END AS kind FROM e JOIN b USING (g))
+  SELECT kind, strftime(window_end - INTERVAL 1 DAY, '%Y-%m-%d') AS day, status, count(*) AS observations FROM k GROUP BY ALL""")
+def late_rows(spark, sf):
+    """All events in a few batches, a tenth of them a batch late: rows of closed windows are kept aside and counted."""
+    root = _folder(spark, "late")
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("g", F.expr(_GROUP))
+    store = StateStore(spark, f"{root}/state")
+    schema = "observed_at timestamp, status string"
+    for g in range(_ARRIVALS):  # one batch after the other, as a stream over all of them keeps no order
+        events.filter(F.col("g") == g).select(F.col("ts").cast("timestamp").alias("observed_at"), F.expr(STATUS_OF_EVENT).alias("status")).write.parquet(f"{root}/in/g={g}")
+        log = spark.readStream.schema(schema).parquet(f"{root}/in/g=*")
+        stream_counts_and_late_rows(log, store, f"{root}/out", f"{root}/log").awaitTermination()
+    late = spark.read.parquet(f"{root}/out/late").groupBy("window_start", "window_end", "status").agg(F.count("*").alias("observations"))
+    closed = spark.read.parquet(f"{root}/out/windows").drop("batch")
+    kinds = (("late", late), ("closed", closed), ("open", store.load(OPEN_WINDOWS).filter("status is not null")))
+    parts = [df.select(F.lit(kind).alias("kind"), F.date_format("window_start", "yyyy-MM-dd").alias("day"), "status", "observations") for kind, df in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("stream_status", """WITH e AS (SELECT user_id, event_id, event_type, event_type = 'error' AS closed,
     lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
   SELECT CAST(user_id AS VARCHAR) AS internal_id, event_id AS seq, CASE WHEN closed THEN 'expired' WHEN before IS NULL THEN 'new' WHEN before = 'error' THEN 'reopened'
@@ -60,7 +87,7 @@ def status(spark, sf):
     arrivals = _stream(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("internal_id"), F.col("ts").cast("timestamp").alias("observed_at"), F.col("event_id").alias("seq"),
         F.col("event_type").alias("content_hash"), (F.col("event_type") == "error").alias("closed"))
-    return _fold(stream_status, arrivals).select("internal_id", "seq", "status")
+    return _fold(stream_status, arrivals, "internal_id").select("internal_id", "seq", "status")
 
 
 @query("stream_watch_diff", CHECK_SQL.replace("replace(html, 'ou', 'o')", "html") + """ SELECT id, CASE WHEN k IN (1, 2) THEN 'error' WHEN k >= 5 THEN 'changed' ELSE 'unchanged' END AS status,
@@ -75,7 +102,7 @@ def watch(spark, sf):
     checks = W.page_texts(first.unionByName(second)).select(
         "id", F.unix_seconds(F.col("checked_at").cast("timestamp")).alias("seq"), F.col("checked_at").cast("timestamp").alias("checked_at"), "content_text",
         "content_hash", "check_error", F.array(F.lit("apply now"), F.lit("Deadline"), F.lit("MONDAY")).alias("keywords"))
-    out = _fold(stream_watch_diff, checks)
+    out = _fold(stream_watch_diff, checks, "id")
     return out.filter("checked_at > timestamp'2024-01-02'").select("id", "status", "added_text", "keywords_found")
 
 

@@ -57,7 +57,7 @@ def _brute(rows, threshold):
 
 
 def test_all_pairs_equal_brute_force(spark):
-    for seed, threshold in ((1, 0.8), (2, 0.75), (3, 0.9)):
+    for seed, threshold in ((1, 0.8), (2, 0.75), (3, 0.9), (4, 0.7), (5, 0.6), (6, 0.5), (7, 0.45)):
         rows = _random_rows(seed, 160)
         df = _postings(spark, rows)
         got = {(r.internal_id, r.duplicate_id): round(r.score, 8) for r in D.duplicates_of(df, df, threshold).collect()}
@@ -93,7 +93,8 @@ def test_best_and_groups_equal_brute_force(spark):
 def test_similar_titles_lossless(spark):
     rnd = random.Random(5)
     titles = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9))) for _ in range(150)})
-    lows = (0.25, 0.5, 0.525, 0.625, 0.75, 0.9)
+    titles += sorted({"".join(rnd.choice("ab ") for _ in range(rnd.randint(10, 24))) for _ in range(60)} - set(titles))
+    lows = (0.25, 0.5, 0.525, 0.625, 0.7, 0.75, 0.8, 0.9)
     items = spark.createDataFrame([(t, low, t, low, "s", "t") for t in titles for low in lows],
                                   "item string, k double, title string, low double, s_min string, s_max string")
     rows = D.similar_titles(items, ["k"]).collect()
@@ -103,6 +104,23 @@ def test_similar_titles_lossless(spark):
         assert got == want, low
 
 
+def test_candidates_of_close_titles_grow_in_proportion(spark):
+    """Titles of one block that share many letters meet only where a segment of one stands in the other."""
+    counts = []
+    for n in (300, 600, 1200):
+        rnd = random.Random(n)
+        # n / 3 families of three close titles each; all letters are common
+        rows = []
+        for k in range(n // 3):
+            base = "".join(rnd.choice("abcdefghijklmnopqrstuvw ") for _ in range(24))
+            rows += [(f"{k}-{j}", base[:j * 7] + "xyz"[j] + base[j * 7 + 1:], "one", 0.75, "s", "t") for j in range(3)]
+        items = spark.createDataFrame(rows, "item string, title string, block string, low double, s_min string, s_max string")
+        met = D.segment_candidates(items, ["block"]).distinct().count()
+        assert D.similar_titles(items, ["block"]).count() >= n
+        counts.append(met)
+    assert counts[0] < 3 * 300 and counts[2] < 3 * counts[1] < 9 * counts[0], counts
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.range(300).select(F.format_string("%04d", "id").alias("u"), F.format_string("%04d", F.col("id") + 1).alias("v"))
     rows = D.connected_components(edges).collect()
@@ -113,7 +131,30 @@ def test_low_threshold_is_refused(spark):
     import pytest
 
     with pytest.raises(ValueError):
-        D.duplicate_links(D.with_role(_postings(spark, _random_rows(1, 3))), 0.7)
+        D.duplicate_links(D.with_role(_postings(spark, _random_rows(1, 3))), 0.4)
+
+
+def test_low_thresholds_use_equi_joins(spark):
+    """Other companies are met by place, URL or title, never by a loop over all pairs."""
+    roles = D.with_role(_postings(spark, _random_rows(9, 120)))
+    needed = D._needed_titles(0.7)
+    assert needed["spot", "apply_url"] == 1.0 and needed["job", "any"] == 1.0 and ("name", "any") not in needed
+    assert not any(scope in ("spot", "name") for scope, _ in D._needed_titles(0.71))
+    block = ["place"]
+    items = roles.select(F.col("role").alias("item"), "title", "place", F.lit(0.5).alias("low"), F.col("source_id").alias("s_min"), F.col("source_id").alias("s_max"))
+    for plan in (D.similar_titles(items, block), D._titles_of_block(items, block)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text
+    rows = _random_rows(11, 120)
+    pairs = _brute(rows, 0.6)
+    roles = D.with_role(_postings(spark, rows))
+    links = D.duplicate_links(roles, 0.6)
+    best = {}
+    for (a, b), s in pairs.items():
+        best[a] = min(best.get(a, (9, "")), (-s, b))
+    got = {r.internal_id: (round(-r.score, 8), r.duplicate_id) for r in D.best_duplicates(roles, links).collect()}
+    assert got == best
+    assert {r.internal_id for r in D.duplicate_groups(roles, links).collect()} == set(best)
 
 
 def test_exact_duplicates(spark):
@@ -128,3 +169,32 @@ def test_roles_do_not_collide(spark):
                                "internal_id string, source_id string, company_name string, title string, location string, apply_url string, source_url string")
     roles = D.with_role(df)
     assert roles.select("role").distinct().count() == 4 and roles.select("job").distinct().count() == 4
+
+
+def test_groups_kept_up_to_date_equal_a_full_run(spark):
+    """Arrivals join components, expiries split them, over four runs."""
+    rnd = random.Random(21)
+    rows = _random_rows(21, 220)
+    now = dict((r[0], r) for r in rows[:140])
+    roles = D.with_role(_postings(spark, list(now.values())))
+    groups = D.duplicate_groups(roles, D.duplicate_links(roles))
+    reserve = rows[140:]
+    for run in range(4):
+        gone = rnd.sample(sorted(now), 6)
+        moved = [now.pop(k) for k in gone]
+        arrived = [reserve.pop() for _ in range(8)]
+        renamed = rnd.choice(sorted(now))
+        moved.append(now[renamed])
+        arrived.append((*now[renamed][:3], now[renamed][3] + " x", *now[renamed][4:]))
+        # one run touches a single company, so that the others are carried over
+        if run == 3:
+            back = [r for r in moved[:-1] if r[2] != "Acme"]
+            now.update((r[0], r) for r in back)
+            moved = [r for r in moved if r[2] == "Acme"]
+            arrived = [r for r in arrived if r[2] == "Acme"]
+        now.update((r[0], r) for r in arrived)
+        roles = D.with_role(_postings(spark, list(now.values())))
+        groups = D.update_groups(groups, roles, D.with_role(_postings(spark, moved + arrived)))
+        full = D.duplicate_groups(roles, D.duplicate_links(roles))
+        key = lambda df: sorted((r.internal_id, r.possible_duplicate_group, round(r.duplicate_confidence, 8)) for r in df.collect())
+        assert key(groups) == key(full) and key(full)

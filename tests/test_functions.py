@@ -90,6 +90,19 @@ def test_iso_dates_keep_the_wall_clock(spark, raw, want):
     assert one(spark, "v string", (raw,), dates.parse_iso(F.lit(None), F.col("v"))) == want
 
 
+def test_week_dates_as_the_standard_library_reads_them(spark):
+    raws = [f"{y}-W{w:02d}{d}" for y in (1999, 2004, 2009, 2015, 2020, 2021, 2024) for w in (0, 1, 9, 26, 52, 53, 54) for d in ("", "-0", "-1", "-4", "-7", "-8", "3")]
+    raws += ["2024W053", "2024W05", "2024W5", "2024-W053", "2024W05-3", "2024-W05-3T10:11:12", "2024W053T10:11Z", "2024-W05-3 10:11:12+02:00", "0000-W01-1", "2024-W05-"]
+
+    def plain(raw):
+        try:
+            return dt.datetime.fromisoformat(raw.replace("Z", "+00:00")).replace(tzinfo=None)
+        except ValueError:
+            return None
+
+    assert column(spark, raws, dates.parse_iso) == [plain(r) for r in raws]
+
+
 def test_epoch_millis(spark):
     assert column(spark, ["1677884732296", "x", None, "-1000"], dates.epoch_millis) == [
         dt.datetime(2023, 3, 3, 23, 5, 32, 296000), None, None, dt.datetime(1969, 12, 31, 23, 59, 59)]

@@ -52,6 +52,8 @@ def test_life_of_postings(spark, tmp_path):
     out = run(spark, store, first, "d1", 0, tmp_path, where=where)
     assert statuses(out) == {"1": "new", "2": "new", "L": "new"}
     assert tuple(out["filter_effect"].first()) == (3, 1)
+    # counted while the postings were written, not by another scan of them
+    assert "parquet" not in out["filter_effect"]._jdf.queryExecution().executedPlan().toString().lower()
     # the same input again: nothing moves
     out = run(spark, store, first, "d2", 1, tmp_path, where=where)
     assert set(statuses(out).values()) == {"unchanged"}
