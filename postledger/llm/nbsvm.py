@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_PER_BATCH, cut_lineage, map_rows, type_of, utf8
+from .common import ROWS_PER_BATCH, cut_lineage, map_rows, small_batches, type_of, utf8
 
 #: Hashed n-grams; tables of this many weights are the only ones the driver gets.
 BUCKETS = 1 << 18
@@ -71,7 +71,7 @@ def grams(docs: DataFrame) -> DataFrame:
     def rows_of(batches):
         own = Grams()
         for ids, texts in batches:
-            yield {"doc_id": ids, "grams": [own.of(t) for t in texts]}
+            yield {"doc_id": ids, "grams": [np.array(own.of(t), dtype=np.int32) for t in texts]}
 
     return map_rows(docs.select("doc_id", utf8().alias("text")), [("doc_id", type_of(docs, "doc_id")), ("grams", "array<int>")], rows_of)
 
@@ -231,9 +231,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", thresh
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_PER_BATCH):
                 part = batch.slice(start, ROWS_PER_BATCH)
-                found = [own.of((t or "").encode("utf-8")) for t in part.column(at).to_pylist()]
+                found = [np.array(own.of((t.as_py() or "").encode("utf-8")), dtype=np.int32) for t in part.column(at)]
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
-                values = np.array([g for f in found for g in f], dtype=np.int64)
+                values = np.concatenate(found)
                 yield part.filter(pa.array(machine.value.scores(offsets, values) >= threshold))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(apply, docs.schema)

@@ -18,6 +18,8 @@ from .common import cut_lineage, map_rows
 SHARD_WORDS = 6 << 20
 LEAST, TOP, SHARE = 10, 2000, 50
 _LOCAL_BITS, _SHARD_BITS = 26, 16
+#: Rows that a task hands over at once.
+_AT_ONCE = 1 << 14
 #: Lower-cases A-Z and turns the ends of pieces into a byte that no UTF-8 text has.
 _END = b"\xff"
 _TABLE = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -34,7 +36,9 @@ def build(ids: np.ndarray) -> bytes:
     import zstandard
 
     order = np.lexsort((np.roll(ids, -2), np.roll(ids, -1), ids))
-    bwt = ids[order - 1].astype("<i4")
+    order -= 1
+    bwt = ids[order].astype("<i4", copy=False)
+    del order
     return zstandard.ZstdCompressor(level=1).compress(bwt.view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
@@ -103,6 +107,7 @@ def _shards(docs: DataFrame, shard_words: int) -> DataFrame:
             nonlocal tokens, words, ids
             k = next(number)
             seq = np.array(tokens, dtype=np.int32)
+            tokens = array("i")
             total = next(ids)
             if k >> _SHARD_BITS or total >> _LOCAL_BITS or part >> 63 - _SHARD_BITS - _LOCAL_BITS:
                 raise ValueError("shard numbers are used up; use larger shards or fewer partitions")
@@ -110,16 +115,19 @@ def _shards(docs: DataFrame, shard_words: int) -> DataFrame:
             keep = np.ones(len(seq), dtype=bool)
             keep[1:] = (seq[1:] != 0) | (seq[:-1] != 0)
             seq = seq[keep]
-            counts = np.bincount(seq, minlength=total).tolist()
-            for lang, d in words.items():
-                entries = [(w.decode("utf-8"), i) for w, i in d.items() if i]
-                for at in range(0, len(entries), 1 << 16):
-                    some = entries[at:at + (1 << 16)]
+            counts = np.bincount(seq, minlength=total)
+            # the words go before the index is built, which needs the most memory
+            while words:
+                lang, d = words.popitem()
+                entries = ((w, i) for w, i in d.items() if i)
+                while some := list(itertools.islice(entries, _AT_ONCE)):
                     size = len(some)
-                    yield {"shard": [shard] * size, "local": [i for _, i in some], "lang": [lang] * size, "word": [w for w, _ in some],
-                           "n": [counts[i] for _, i in some], "packed": [None] * size}
+                    local = [i for _, i in some]
+                    yield {"shard": [shard] * size, "local": local, "lang": [lang] * size, "word": [w.decode("utf-8") for w, _ in some],
+                           "n": counts[local], "packed": [None] * size}
+                del d, entries
+            ids = itertools.count(1)
             yield {"shard": [shard], "local": [None], "lang": [None], "word": [None], "n": [None], "packed": [build(seq)]}
-            tokens, words, ids = array("i"), {}, itertools.count(1)
 
         for langs, texts in batches:
             for lang, text in zip(langs, texts):
@@ -141,6 +149,12 @@ def _shards(docs: DataFrame, shard_words: int) -> DataFrame:
     return cut_lineage(map_rows(rows, list(zip(columns, kinds)), apply))
 
 
+def _in_parts(columns, names: list[str]) -> pa.Table:
+    """A table of long columns whose parts are small, as each part is sent and held as one batch."""
+    table = pa.table([pa.array(c.astype(np.int64)) for c in columns], names=names)
+    return pa.Table.from_batches(table.to_batches(max_chunksize=_AT_ONCE), table.schema)
+
+
 def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
     """All pairs of known words of one shard; ``right`` is the shard's (local, gid)."""
     names = ["code", "x", "y", "n"]
@@ -153,7 +167,7 @@ def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
     gid[local], known[local] = right["gid"].to_numpy(), True
     slot, x, y, n = index.pairs(known)
     code = (left["shard"][0].as_py() << _LOCAL_BITS) + slot.astype(np.int64)
-    return pa.table([pa.array(c.astype(np.int64)) for c in (code, gid[x], gid[y], n)], names=names)
+    return _in_parts((code, gid[x], gid[y], n), names)
 
 
 def _triples(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -167,7 +181,7 @@ def _triples(left: pa.Table, right: pa.Table) -> pa.Table:
     slot = right["slot"].to_numpy()
     pid[slot], live[slot] = right["pid"].to_numpy(), True
     a, b, n = index.triples(live)
-    return pa.table([pa.array(c.astype(np.int64)) for c in (pid[a], pid[b], n)], names=names)
+    return _in_parts((pid[a], pid[b], n), names)
 
 
 def _named(rows: DataFrame, values: list[str], least: int, name: str) -> DataFrame:

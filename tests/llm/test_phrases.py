@@ -84,3 +84,25 @@ def test_edges(spark, edge, empty):
     assert rows_of(phrases.collocations(empty)) == []
     want = plain([(r["lang"], r["text"]) for r in edge.collect()], 2, 2000, 50)
     assert rows_of(phrases.collocations(edge, least=2, shard_words=5000)) == want and want
+
+
+def test_python_gets_and_gives_small_batches(spark):
+    import numpy as np
+
+    from postledger.llm.common import BATCHES, ROWS_PER_BATCH, map_rows
+
+    rows = phrases._in_parts([np.arange(50_000)] * 3, ["p", "q", "n"])
+    assert rows.num_rows == 50_000 and max(len(c) for c in rows.column("p").chunks) <= phrases._AT_ONCE
+    before = {k: spark.conf.get(k) for k in BATCHES}
+    try:
+        for name, (default, _) in BATCHES.items():
+            spark.conf.set(name, default)
+        sizes = map_rows(spark.range(30_000, numPartitions=1).toDF("n"), [("n", "long")], lambda batches: ({"n": [len(b[0])]} for b in batches))
+        assert max(r.n for r in sizes.collect()) <= ROWS_PER_BATCH
+        assert {k: spark.conf.get(k) for k in BATCHES} == {k: small for k, (_, small) in BATCHES.items()}
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+        map_rows(spark.range(3).toDF("n"), [("n", "long")], lambda batches: ({"n": b[0]} for b in batches)).collect()
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "700"
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
