@@ -102,7 +102,8 @@ def similar_titles(items: DataFrame, block: list[str]) -> DataFrame:
     met = segment_candidates(items.filter(close), block).unionByName(letter_candidates(items.filter(~close), block))
     longest = F.greatest(F.length("title_a"), F.length("title_b"))
     allowed = F.floor(longest * (1 - F.col("low")) + 1e-9).cast("int")
-    near = met.filter(F.levenshtein("title_a", "title_b") <= allowed)
+    # with a limit only the cells near the diagonal are computed; beyond it the result is -1
+    near = met.withColumn("allowed", allowed).filter("levenshtein(title_a, title_b, allowed) >= 0")
     # titles may meet at several segments
     return near.select(*block, F.col("item_a").alias("a"), F.col("item_b").alias("b"),
                        string_similarity(F.col("title_a"), F.col("title_b")).alias("similarity")).distinct()
@@ -120,7 +121,9 @@ def segment_candidates(items: DataFrame, block: list[str]) -> DataFrame:
     edits before and behind it allow (Li et al., "Pass-Join", 2011). So a title
     is filed under its segments for every distance that a longer partner may
     have, and looks under its own pieces for each length of a shorter partner.
-    The join key is (block, length, distance, segment number, text).
+    The join key is a hash of (block, length, distance, segment number, text), as one number sorts
+    faster than nine columns; the block is compared after it, and titles that only share the hash
+    are one more pair to verify.
     """
     size = F.length("title")
     distance = lambda n: F.floor(n * (1 - F.col("low")) + 1e-9).cast("int")
@@ -148,17 +151,24 @@ def segment_candidates(items: DataFrame, block: list[str]) -> DataFrame:
             return F.transform(places, lambda at: F.struct(n.alias("n"), i.alias("i"), F.substring(F.col("title"), at + 1, length).alias("text")))
         return F.flatten(F.transform(F.sequence(F.lit(0), d), one))
 
-    titles = items.filter(size > 0).withColumn("size", size).withColumn("d", distance(F.col("size")))
+    # nulls meet nothing, as in a join on the block
+    titles = items.filter(size > 0).na.drop(subset=block).withColumn("size", size).withColumn("d", distance(F.col("size")))
     partners = F.sequence(F.col("size"), F.floor(F.col("size") / F.col("low") + 1e-9).cast("int"))
     distances = F.array_distinct(F.transform(partners, distance))
-    index = titles.select(*block, *_OWN, "size", F.explode(F.flatten(F.transform(distances, filed))).alias("_piece")).select(
-        *block, F.col("size").alias("n"), "_piece.d", "_piece.i", "_piece.text", *[F.col(c).alias(f"{c}_a") for c in _OWN])
+    at = lambda n, d: F.xxhash64("_block", n, d, "_piece.i", "_piece.text").alias("_at")
+    named = titles.withColumn("_block", F.xxhash64(*block))
+    index = named.select(*block, "_block", *_OWN, "size", F.explode(F.flatten(F.transform(distances, filed))).alias("_piece")).select(
+        *block, at(F.col("size"), F.col("_piece.d")), *[F.col(c).alias(f"{c}_a") for c in _OWN])
     lengths = F.sequence(F.greatest(F.col("size") - F.col("d"), F.lit(1)), F.col("size"))
     pieces = F.array_distinct(F.flatten(F.transform(lengths, looked_up)))
-    probe = titles.select(*block, *_OWN, "size", "d", F.explode(pieces).alias("_piece")).select(
-        *block, "_piece.n", "d", "_piece.i", "_piece.text", "size", *[F.col(c).alias(f"{c}_b") for c in _OWN])
-    met = index.join(probe, [*block, "n", "d", "i", "text"]).filter(
-        _several_sources() & (F.col("title_a") != F.col("title_b")) & ((F.col("n") < F.col("size")) | (F.col("item_a") < F.col("item_b"))))
+    probe = named.select(*block, "_block", *_OWN, "d", F.explode(pieces).alias("_piece")).select(
+        *[F.col(c).alias(f"{c}_b") for c in (*block, *_OWN)], at(F.col("_piece.n"), F.col("d")))
+    la, lb = F.length("title_a"), F.length("title_b")
+    met = index.join(probe, "_at").filter(
+        _several_sources() & (F.col("title_a") != F.col("title_b")) & ((la < lb) | ((la == lb) & (F.col("item_a") < F.col("item_b")))))
+    # counted, as single equalities would become columns to sort by
+    equal = sum(((F.col(c) == F.col(f"{c}_b")).cast("int") for c in block), F.lit(0))
+    met = met.filter(equal == len(block))
     swap = F.col("item_a") > F.col("item_b")
     pick = lambda c, one, other: F.when(swap, F.col(f"{c}_{other}")).otherwise(F.col(f"{c}_{one}")).alias(f"{c}_{one}")
     return met.select(*block, F.col("low_a").alias("low"), *[pick(c, one, other) for c in ("item", "title") for one, other in ("ab", "ba")])

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -198,3 +199,15 @@ def test_groups_kept_up_to_date_equal_a_full_run(spark):
         full = D.duplicate_groups(roles, D.duplicate_links(roles))
         key = lambda df: sorted((r.internal_id, r.possible_duplicate_group, round(r.duplicate_confidence, 8)) for r in df.collect())
         assert key(groups) == key(full) and key(full)
+
+
+def test_segments_meet_by_one_number(spark):
+    items = spark.createDataFrame(
+        [("k", None, 1, "senior data engineer"), ("k", None, 6, "senior data engineers"), ("k", "x", 2, "senior data engineer"), ("k", "x", 3, "senior data engineers"),
+         ("k", "y", 4, "senior data engineer ii"), ("k", "y", 5, "senior data engineer i")],
+        "c string, p string, item int, title string").selectExpr("*", "0.75D AS low", "'s1' AS s_min", "'s2' AS s_max")
+    near = D.similar_titles(items, ["c", "p"])
+    plan = D.segment_candidates(items, ["c", "p"])._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Join \[(.*?)\], \[", plan)
+    assert len(keys) == 1 and "," not in keys[0] and "_at" in keys[0]
+    assert sorted((r.c, r.p, r.a, r.b) for r in near.collect()) == [("k", "x", 2, 3), ("k", "y", 4, 5)]
