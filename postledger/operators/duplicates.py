@@ -109,6 +109,13 @@ def similar_titles(items: DataFrame, block: list[str]) -> DataFrame:
                        string_similarity(F.col("title_a"), F.col("title_b")).alias("similarity")).distinct()
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast. Spark guesses sizes from files, whose repeated
+    texts are stored once, and counts no rows that an explode adds; so a large table may pass for a small
+    one and be collected in the driver. AQE still splits skewed keys."""
+    return df.hint("merge")
+
+
 def _several_sources() -> Column:
     return F.least("s_min_a", "s_min_b") != F.greatest("s_max_a", "s_max_b")
 
@@ -164,7 +171,7 @@ def segment_candidates(items: DataFrame, block: list[str]) -> DataFrame:
     probe = named.select(*block, "_block", *_OWN, "d", F.explode(pieces).alias("_piece")).select(
         *[F.col(c).alias(f"{c}_b") for c in (*block, *_OWN)], at(F.col("_piece.n"), F.col("d")))
     la, lb = F.length("title_a"), F.length("title_b")
-    met = index.join(probe, "_at").filter(
+    met = index.join(_shuffled(probe), "_at").filter(
         _several_sources() & (F.col("title_a") != F.col("title_b")) & ((la < lb) | ((la == lb) & (F.col("item_a") < F.col("item_b")))))
     # counted, as single equalities would become columns to sort by
     equal = sum(((F.col(c) == F.col(f"{c}_b")).cast("int") for c in block), F.lit(0))
@@ -204,7 +211,7 @@ def letter_candidates(items: DataFrame, block: list[str]) -> DataFrame:
     # which it would push down as a second computation of all letters
     prefix_of = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     first_shared = F.coalesce(F.get(F.array_intersect(prefix_of("prefix_a"), prefix_of("prefix_b")), 0), F.lit(""))
-    met = side("a").join(side("b"), [*block, "token"]).filter(
+    met = side("a").join(_shuffled(side("b")), [*block, "token"]).filter(
         (F.col("item_a") < F.col("item_b")) & _several_sources() & (F.col("title_a") != F.col("title_b"))
         & (F.least(la, lb) >= F.greatest(la, lb) * F.col("low_a") - 1e-9)
         & (first_shared == F.col("token"))
@@ -261,7 +268,7 @@ def _titles_of_block(items: DataFrame, block: list[str]) -> DataFrame:
     """All pairs of different titles within a block: those links need no similarity, so each pair is one. An equi join on the block."""
     own = ("item", "title", "s_min", "s_max")
     a, b = (items.select(*block, *[F.col(c).alias(f"{c}_{name}") for c in own]) for name in "ab")
-    return a.join(b, block).filter((F.col("item_a") < F.col("item_b")) & (F.least("s_min_a", "s_min_b") != F.greatest("s_max_a", "s_max_b"))).select(
+    return a.join(_shuffled(b), block).filter((F.col("item_a") < F.col("item_b")) & (F.least("s_min_a", "s_min_b") != F.greatest("s_max_a", "s_max_b"))).select(
         *block, F.col("item_a").alias("a"), F.col("item_b").alias("b"), string_similarity(F.col("title_a"), F.col("title_b")).alias("similarity"))
 
 
@@ -343,14 +350,14 @@ def best_duplicates(roles: DataFrame, links: DataFrame, among: DataFrame | None
             F.struct(F.col("first.id").alias("id"), F.col("first_source").alias("source_id")),
             F.when(F.col("offers") > 1, F.struct(F.col("second.id").alias("id"), F.col("second_source").alias("source_id"))),
         ))).alias("o"))
-    offers = _reversed_too(links).join(offered, ["scope", "via", "node_b", "url"]).select(
+    offers = _reversed_too(links).join(_shuffled(offered), ["scope", "via", "node_b", "url"]).select(
         "scope", "via", F.col("node_a").alias("node"), "url", "score", "o.id", "o.source_id")
     best = _two_best(offers, _UNIT, F.struct((-F.col("score")).alias("s"), F.col("id").alias("id")))
     other = F.when(F.col("first_source") != F.col("source_id"), F.col("first")).when(F.col("offers") > 1, F.col("second"))
-    picks = rows.join(best, _UNIT).select("internal_id", other.alias("best")).filter("best is not null")
-    chosen = picks.groupBy("internal_id").agg(F.min("best").alias("best")).join(own, "internal_id").drop("internal_id")
+    picks = rows.join(_shuffled(best), _UNIT).select("internal_id", other.alias("best")).filter("best is not null")
+    chosen = picks.groupBy("internal_id").agg(F.min("best").alias("best")).join(_shuffled(own), "internal_id").drop("internal_id")
     # AQE splits a profile with very many postings: both sides are plain shuffles
-    return roles.join(cut_lineage(chosen), [*_PROFILE, "source_id"]).select(
+    return roles.join(_shuffled(cut_lineage(chosen)), [*_PROFILE, "source_id"]).select(
         "internal_id", F.col("best.id").alias("duplicate_id"), (-F.col("best.s")).alias("score"))
 
 
@@ -368,7 +375,7 @@ def duplicates_of(new: DataFrame, existing: DataFrame, threshold: float = DEFAUL
     right = _per_kind(e, kinds, "internal_id", "source_id").select(
         "scope", "via", F.col("node").alias("node_b"), "url", F.col("internal_id").alias("duplicate_id"), F.col("source_id").alias("t"))
     on_a, on_b = ["scope", "via", "node_a", "url"], ["scope", "via", "node_b", "url"]
-    scored = left.join(links, on_a).join(right, on_b).filter("s <> t").groupBy("internal_id", "duplicate_id").agg(
+    scored = left.join(_shuffled(links), on_a).join(_shuffled(right), on_b).filter("s <> t").groupBy("internal_id", "duplicate_id").agg(
         F.max("score").alias("score"))
     rank = Window.partitionBy("internal_id").orderBy(F.col("score").desc(), "duplicate_id")
     return scored.withColumn("rank", F.row_number().over(rank))
@@ -386,7 +393,7 @@ def _edges(profiles: DataFrame, links: DataFrame) -> DataFrame:
     name = lambda node: F.concat_ws(":", F.lit("z"), "scope", "via", node, "url")
     across = links.filter("node_a <> node_b").select(name("node_a").alias("u"), name("node_b").alias("v"))
     live = links.select("scope", "via", F.explode(F.array("node_a", "node_b")).alias("node"), "url").distinct()
-    members = _per_kind(profiles, _kinds_of(links), "profile").join(live, _UNIT, "left_semi")
+    members = _per_kind(profiles, _kinds_of(links), "profile").join(_shuffled(live), _UNIT, "left_semi")
     return across.unionByName(members.select(name("node").alias("u"), F.concat(F.lit("p:"), "profile").alias("v")))
 
 
@@ -433,10 +440,10 @@ def duplicate_groups(roles: DataFrame, links: DataFrame) -> DataFrame:
     profiles = cut_lineage(_profiles(roles))
     parts = connected_components(_edges(profiles, links)).filter(F.col("node").startswith("p:")).select(
         F.expr("substring(node, 3)").alias("profile"), F.expr("substring(component, 3)").alias("possible_duplicate_group"))
-    keyed = profiles.join(parts, "profile").drop("profile")
-    groups = roles.join(keyed, _PROFILE).select("internal_id", "possible_duplicate_group")
+    keyed = profiles.join(_shuffled(parts), "profile").drop("profile")
+    groups = roles.join(_shuffled(keyed), _PROFILE).select("internal_id", "possible_duplicate_group")
     best = best_duplicates(roles, links).select("internal_id", F.col("score").alias("duplicate_confidence"))
-    return groups.join(best, "internal_id")
+    return groups.join(_shuffled(best), "internal_id")
 
 
 def update_groups(groups: DataFrame, roles: DataFrame, changed: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:

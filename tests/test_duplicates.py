@@ -211,3 +211,19 @@ def test_segments_meet_by_one_number(spark):
     keys = re.findall(r"Join \[(.*?)\], \[", plan)
     assert len(keys) == 1 and "," not in keys[0] and "_at" in keys[0]
     assert sorted((r.c, r.p, r.a, r.b) for r in near.collect()) == [("k", "x", 2, 3), ("k", "y", 4, 5)]
+
+
+def test_exploded_sides_are_never_broadcast(spark):
+    """Sizes guessed before an explode, or from files with repeated texts, must not bring a side into the driver."""
+    roles = D.with_role(_postings(spark, _random_rows(11, 60)))
+    links = D.duplicate_links(roles, 0.6)
+    items = spark.createDataFrame([("c", "a", "data engineer", 0.75, "s0", "s1"), ("c", "b", "data engineers", 0.75, "s0", "s1")],
+                                  "company string, item string, title string, low double, s_min string, s_max string")
+    for low in (0.75, 0.25):
+        near = D.similar_titles(items.withColumn("low", F.lit(low)), ["company"])
+        assert "BroadcastHashJoin" not in near._jdf.queryExecution().executedPlan().toString()
+        assert near.count() == 1
+    blocks = D._titles_of_block(items, ["company"])
+    assert "BroadcastHashJoin" not in blocks._jdf.queryExecution().executedPlan().toString() and blocks.count() == 1
+    best = D.best_duplicates(roles, links)
+    assert "BroadcastHashJoin" not in best._jdf.queryExecution().executedPlan().toString()
