@@ -47,7 +47,17 @@ def _whole(place: Column, pattern: Column) -> Column:
     return F.regexp_like(place, F.concat(F.lit("(?iU)"), edge(F.left(pattern, F.lit(1))), quoted, edge(F.right(pattern, F.lit(1)))))
 
 
-def tag_postings(postings: DataFrame, patterns: DataFrame, key: str = "internal_id") -> DataFrame:
+def _alike(wanted: DataFrame) -> DataFrame:
+    """``(name, alike)``: rules that the same words include, exclude and place share one ``alike``."""
+    words = lambda kind, value: F.sort_array(F.collect_set(F.when(F.col("kind") == kind, value)))
+    bound = F.max((F.col("kind") == "location") & ~F.coalesce("nationwide", F.lit(False)))
+    return wanted.groupBy("name").agg(
+        words("include", F.col("word")).alias("i"), words("exclude", F.col("word")).alias("e"),
+        words("location", F.col("pattern")).alias("p"), F.coalesce(bound, F.lit(False)).alias("b")).select(
+        "name", F.md5(F.to_json(F.struct("i", "e", "p", "b"))).alias("alike"))
+
+
+def tag_postings(postings: DataFrame, patterns: DataFrame, key: str = "internal_id", columns: dict[str, Column] | None = None) -> DataFrame:
     """``(key, rules)``: the sorted names of all rules that match each posting.
 
     ``postings`` has the key, ``title`` and ``location``; ``patterns`` has
@@ -55,28 +65,41 @@ def tag_postings(postings: DataFrame, patterns: DataFrame, key: str = "internal_
     for each (see ``sources.registry.rule_patterns``). A rule matches if the
     title contains an include word and no exclude word, and, unless the rule is
     nationwide or has no locations, the place holds one of its locations as a whole name. Titles and places
-    are compared in lower case and once for each different one. For a few
+    are compared in lower case and once for each different one, and rules with the same
+    words as one; the names are gathered once for each different set of these. ``columns`` are expressions on ``rules``,
+    computed once for each different list and returned in place of it, so that long lists need not go to every posting. For a few
     rules ``functions.predicates.matching_rules`` needs no join.
     """
     rows = postings.select(key, F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.coalesce("location", F.lit("")).alias("location"))
     rows = cut_lineage(rows)
-    wanted = cut_lineage(patterns.select("name", "nationwide", "kind", "pattern", F.lower("pattern").alias("word")).filter("word is not null").distinct())
+    named = cut_lineage(patterns.select("name", "nationwide", "kind", "pattern", F.lower("pattern").alias("word")).filter(
+        "word is not null and name is not null").distinct())
+    alike = cut_lineage(_alike(named))
+    # one rule stands for all that are alike
+    standing = alike.groupBy("alike").agg(F.min("name").alias("name"))
+    wanted = cut_lineage(named.join(standing.hint("merge"), "name").drop("name"))
 
     def met(texts: DataFrame, *kinds: str) -> DataFrame:
         chosen = wanted.filter(F.col("kind").isin(*kinds))
         return containing(texts.select("text").distinct(), chosen.select("word").distinct()).join(chosen, "word")
 
     titles = cut_lineage(met(rows.select(F.col("title").alias("text")), "include", "exclude").select(
-        F.col("text").alias("title"), "name", "nationwide", "kind").distinct())
-    chosen = titles.filter("kind = 'include'").join(titles.filter("kind = 'exclude'"), ["title", "name"], "left_anti").select("title", "name", "nationwide")
+        F.col("text").alias("title"), "alike", "kind").distinct())
+    chosen = titles.filter("kind = 'include'").join(titles.filter("kind = 'exclude'").hint("merge"), ["title", "alike"], "left_anti").select("title", "alike")
     places = rows.select("location", F.lower("location").alias("text")).distinct()
-    there = met(places, "location").join(places, "text").filter(_whole(F.col("location"), F.col("pattern"))).select("location", "name").distinct()
-    profiles = rows.select("title", "location").distinct()
-    hits = cut_lineage(profiles.join(chosen, "title"))
-    bound = wanted.filter("kind = 'location' and not coalesce(nationwide, false)").select("name").distinct()
-    local = hits.join(bound, "name", "left_semi").join(there, ["location", "name"], "left_semi").select("title", "location", "name")
-    tags = hits.join(bound, "name", "left_anti").select("title", "location", "name").unionByName(local).groupBy(
-        "title", "location").agg(F.sort_array(F.collect_set("name")).alias("rules"))
+    there = met(places, "location").join(places, "text").filter(_whole(F.col("location"), F.col("pattern"))).select("location", "alike").distinct()
+    profiles = cut_lineage(rows.select("title", "location").distinct())
+    # no broadcasts here: the files store repeated texts once, and sizes are guessed before an explode or before names are gathered
+    hits = cut_lineage(profiles.join(chosen.hint("merge"), "title"))
+    bound = wanted.filter("kind = 'location' and not coalesce(nationwide, false)").select("alike").distinct()
+    local = hits.join(bound.hint("merge"), "alike", "left_semi").join(there.hint("merge"), ["location", "alike"], "left_semi").select("title", "location", "alike")
+    matched = hits.join(bound.hint("merge"), "alike", "left_anti").select("title", "location", "alike").unionByName(local)
+    tagged = profiles.join(matched.hint("merge"), ["title", "location"], "left").groupBy("title", "location").agg(F.sort_array(F.collect_set("alike")).alias("all"))
+    tagged = cut_lineage(tagged.withColumn("list", F.md5(F.array_join("all", ","))))
+    names = alike.groupBy("alike").agg(F.collect_list("name").alias("names"))
+    parts = tagged.groupBy("list").agg(F.first("all").alias("all")).select("list", F.explode_outer("all").alias("alike"))
+    lists = parts.join(names.hint("merge"), "alike", "left").groupBy("list").agg(F.sort_array(F.flatten(F.collect_list("names"))).alias("rules"))
+    tags = tagged.select("title", "location", "list").join(
+        cut_lineage(lists.select("list", *[c.alias(n) for n, c in (columns or {"rules": F.col("rules")}).items()])), "list").drop("list")
     # two plain shuffles, so that Spark can split a profile with very many postings
-    return rows.join(cut_lineage(tags), ["title", "location"], "left").select(
-        key, F.coalesce("rules", F.array().cast("array<string>")).alias("rules"))
+    return rows.join(cut_lineage(tags), ["title", "location"]).drop("title", "location")

@@ -285,8 +285,8 @@ def many_search_rules(spark, sf):
         F.concat_ws("-", "p_brand", k.cast("string")).alias("name"), (k % 2 == 0).alias("nationwide"),
         F.array(F.concat(F.lit("NATION_"), (k % 25).cast("string"))).alias("locations"), F.array("p_name").alias("include_titles"),
         F.when(k % 3 == 0, F.array("p_type")).alias("exclude_titles"))
-    tags = tag_postings(posting_base(spark, sf), rule_patterns(raw), "doc_id")
-    return tags.select("doc_id", F.size("rules").cast("long").alias("n"), F.sha2(F.array_join("rules", ","), 256).alias("digest"))
+    return tag_postings(posting_base(spark, sf), rule_patterns(raw), "doc_id", {
+        "n": F.size("rules").cast("long"), "digest": F.sha2(F.array_join("rules", ","), 256)})
 
 
 @query("soft_404", f"""WITH t AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'Page can''t be found' || chr(10) WHEN page_id % 4 = 1 THEN repeat('x', 1995) || '404 page' ELSE '' END

@@ -38,3 +38,17 @@ def test_no_loop_over_rules_and_few_candidates(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert out.count() == 400
+
+
+def test_rules_alike_are_met_once(spark, monkeypatch):
+    """Many rules of the same words are one rule to the texts, and lists of names are made once each."""
+    rows = [(f"r{k:03d}", False, kind, p) for k in range(300) for kind, p in (("include", "data"), ("exclude", "qa"), ("location", "Austin"))]
+    rows += [("far", False, "include", "data"), ("far", False, "location", "Buda"), (None, True, "include", "data"), ("far", False, "include", "data")]
+    patterns = spark.createDataFrame(rows, PATTERNS)
+    posted = spark.createDataFrame([(k, t, "Austin, TX") for k, t in enumerate(["data eng", "Data", "data qa", None] * 3)], "internal_id long, title string, location string")
+    written, cut = [], rules.cut_lineage
+    monkeypatch.setattr(rules, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    got = {r.internal_id: (r.n, r.last) for r in rules.tag_postings(posted, patterns, columns={"n": F.size("rules"), "last": F.array_max("rules")}).collect()}
+    assert got == {k: (300, "r299") if k % 4 < 2 else (0, None) for k in range(12)}
+    # no table that is made of texts and rules together has a row for each rule
+    assert max(t.count() for t in written if "title" in t.columns) < 50
