@@ -118,6 +118,32 @@ def test_boilerplate_against_a_plain_suffix_array(spark):
     assert got == want and any("rare" in t for t in got.values()) and not any("menu" in t or "tiny" in t for t in got.values())
 
 
+def test_suffix_order_of_a_host(spark):
+    """Sorted suffixes and what neighbours share, against a sorted list; a stretch goes on over batches and partitions."""
+    import random
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["a", "b", "ab", "\u00e9", "B"], k=rng.randint(0, 40))) for _ in range(60)] + ["x y z x y z x y z", "x y", "x y"] * 40
+    rows = [(i, f"h{i % 2}", t.split(), [t] * (t == "x y")) for i, t in enumerate(texts)]
+    read = spark.createDataFrame(rows, "row long, host string, words array<string>, short array<string>").repartition(5)
+    want = sorted({(h, s, r) for r, h, w, short in rows for s in [" ".join(w[i:i + 5]) for i in range(len(w) - 4)] + ["\n" + x for x in short]},
+                  key=lambda x: (x[0], x[1].encode(), x[2]))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        order = pages.suffix_order(read)
+        assert [tuple(r) for r in order.collect()] == want
+        got = {(r["host"], r["suffix"]): r["n"] for r in pages.repeats(order).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    counts = {}
+    for h, s, _ in want:
+        counts[h, s] = counts.get((h, s), 0) + 1
+    assert got == {k: n for k, n in counts.items() if n > 1} and got["h0", "\nx y"] == 40
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 5))
