@@ -20,8 +20,10 @@ _AT_ONCE = 1 << 20
 _MEMO = 100_000
 #: Members of a hub that are verified in one task, with one copy of the hub.
 _FAN = 256
-#: Sets of a shingle that are compared with all others of it, round by round, most central first; the last round compares the rest.
-HUBS = (1, 8)
+#: Bits of fingerprints that differ at most in the first round.
+RADIUS = 4
+#: Sets of a shingle that are compared with all others of it in the second round, the most central ones; the last round compares the rest.
+HUBS = (8,)
 
 
 def shingle_set(text: bytes, words: int, memo: dict[bytes, int]) -> np.ndarray:
@@ -47,6 +49,14 @@ def shingle_set(text: bytes, words: int, memo: dict[bytes, int]) -> np.ndarray:
     return np.unique(h)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set: the bits that over half of its hashes have."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        counts += np.unpackbits(hashes[at:at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _node(hashes: np.ndarray) -> bytes:
     """A name of the set; texts with equal sets are one node."""
     import xxhash
@@ -141,24 +151,24 @@ def _screen(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 
 
 def _nodes(docs: DataFrame, screened: DataFrame, words: int) -> DataFrame:
-    """``(id, node, n, hashes)``: the sets of one row of each node, numbered."""
+    """``(id, node, n, fp, hashes)``: the sets of one row of each node, numbered, with their SimHash."""
     kind = type_of(docs, "doc_id")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql import types as T
 
     schema = to_arrow_schema(T.StructType([T.StructField("doc_id", kind), T.StructField("node", T.BinaryType()),
-                                           T.StructField("n", T.IntegerType()), T.StructField("hashes", T.BinaryType())]))
+                                           T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("hashes", T.BinaryType())]))
 
     def apply(batches) -> Iterator[pa.RecordBatch]:
         for names, sets in _sets(batches, words):
             yield pa.RecordBatch.from_arrays([
                 names, pa.array([_node(h) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int32()),
-                pa.array([h.tobytes() for h in sets], pa.binary())], schema=schema)
+                pa.array([majority(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], schema=schema)
 
     first = screened.groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     texts = among(docs.select("doc_id", utf8().alias("text")), first, "doc_id")
-    rows = texts.mapInArrow(apply, f"doc_id {kind.simpleString()}, node binary, n int, hashes binary")
-    return cut_lineage(rows.filter("n > 0").select(F.monotonically_increasing_id().alias("id"), "node", "n", "hashes"))
+    rows = texts.mapInArrow(apply, f"doc_id {kind.simpleString()}, node binary, n int, fp long, hashes binary")
+    return cut_lineage(rows.filter("n > 0").select(F.monotonically_increasing_id().alias("id"), "node", "n", "fp", "hashes"))
 
 
 def _prefixes(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -227,6 +237,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return cut_lineage(rows.select("u", "v", "hashes").mapInArrow(check, "u long, v long"))
 
 
+def close(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (u, v) of sets that connect all whose fingerprints differ in at most ``radius`` bits.
+
+    Fingerprints meet in the buckets of covering masks, which give a spanning
+    forest and never all pairs; sets of one fingerprint are tied to the first of them.
+    """
+    from .simhash import links  # that module builds on this one
+
+    fps = nodes.select("id", "fp")
+    first = cut_lineage(fps.groupBy("fp").agg(F.min("id").alias("first")))
+    found = links(first.select("fp"), radius)
+    ends = [first.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in ("u", "v")]
+    across = found.join(ends[0], "u").join(ends[1], "v").select(F.least("first_u", "first_v").alias("u"), F.greatest("first_u", "first_v").alias("v"))
+    same = fps.join(first, "fp").filter("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v"))
+    return cut_lineage(across.distinct().unionByName(same))
+
+
 def candidates(prefixes: DataFrame, similarity: float, hubs: int | None, placed: DataFrame | None = None,
                compared: DataFrame | None = None) -> DataFrame:
     """Pairs (u, v) of sets with common shingles among their rarest ones that may be similar.
@@ -270,24 +297,26 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     ignored, an empty table gives no rows.
 
     Similarity is the Jaccard coefficient of the sets of word shingles. First
-    texts that share too little with all others go (``_screen``), then sets
-    are joined on their rarest shingles (``_prefixes``); either step keeps
-    every similar pair. Of the sets with a common rare shingle each is
-    compared with the most central ones, a few more in each round and only across
+    texts that share too little with all others go (``_screen``). Sets whose SimHash
+    fingerprints are close are found by covering masks (``close``). Similar
+    sets may lie further apart, so the rest is joined on rarest shingles (``_prefixes``);
+    that and the first step keep every similar pair. Of the sets with a common rare shingle each is
+    compared with the most central ones, and only across
     components; those still in different components are then compared with
     each other. Every link is verified on whole sets.
     """
     screened = _screen(docs, words, similarity)
     nodes = _nodes(docs, screened, words)
+    compared = close(nodes)
+    links = _verified(compared, nodes, similarity)
+    placed = components(links)
     prefixes = _prefixes(nodes, similarity)
-    links = compared = placed = None
     for hubs in (*HUBS, None):
         pairs = candidates(prefixes, similarity, hubs, placed, compared)
-        if pairs.isEmpty() and compared is not None:
+        if pairs.isEmpty():
             continue
-        found = _verified(pairs, nodes, similarity)
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
+        compared = compared.unionByName(pairs)
+        links = links.unionByName(_verified(pairs, nodes, similarity))
         placed = components(links)
     # rows of one node are copies; a repeated node has several numbers, which are linked
     parts = nodes.select("id", "node").join(placed.withColumnRenamed("node", "id"), "id").groupBy("node").agg(F.min("component").alias("component"))

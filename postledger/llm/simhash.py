@@ -220,8 +220,8 @@ def keep_one(docs: DataFrame, words: int = shingles.WORDS, similarity: float = s
     """One row of ``docs`` for each group of near copies, that of the smallest doc_id.
 
     Near copies are texts whose word shingles have at least this Jaccard
-    similarity; all such pairs are found and verified exactly, and groups are
-    what they connect. Texts without words, null or empty ones included, are copies of each other. Rows that
+    similarity. Those with close fingerprints are found by covering masks, all other such pairs by exact
+    filters; each is verified exactly, and groups are what they connect. Texts without words, null or empty ones included, are copies of each other. Rows that
     repeat a doc_id are one document, of which one row stays. Rows without a
     doc_id stay, as nothing names them. All columns are returned, whatever their
     names; an empty table gives no rows.

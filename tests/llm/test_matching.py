@@ -439,6 +439,38 @@ def test_keep_one_finds_all_near_copies(spark, edge):
     assert {r["doc_id"] for r in shingles.groups(docs).collect()} >= {i for i, g in enumerate(group) if group.count(g) > 1}
 
 
+def test_keep_one_links_close_fingerprints_by_masks(spark, monkeypatch):
+    """Near copies within the radius are connected before exact filters compare anything, each link verified."""
+    from postledger.llm import shingles
+
+    rng = random.Random(11)
+    base = [rng.choices([f"w{i}" for i in range(5000)], k=400) for _ in range(8)]
+    texts = [" ".join([*b[:k], f"x{k}", *b[k + 1:]]) for b in base for k in range(12)] + [" ".join(base[0][i:i + 5]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    nodes = shingles._nodes(docs, docs.withColumn("node", F.col("doc_id").cast("string").cast("binary")), 5)
+    rows = {r["id"]: (r["fp"], set(np.frombuffer(r["hashes"], np.uint64).tolist())) for r in nodes.collect()}
+    for fp, hashes in rows.values():
+        assert fp % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hashes) > len(hashes))
+
+    def groups_of(pairs):
+        name = {i: i for i in rows}
+        for u, v in pairs:
+            a, b = sorted((name[u], name[v]))
+            name = {i: a if g == b else g for i, g in name.items()}
+        return name
+
+    near = [(u, v) for u, v in itertools.combinations(rows, 2) if ((rows[u][0] ^ rows[v][0]) % (1 << 64)).bit_count() <= shingles.RADIUS]
+    got = [tuple(r) for r in shingles.close(nodes).collect()]
+    assert groups_of(got) == groups_of(near) and len(got) < len(near)
+
+    seen, search = [], shingles.candidates
+    monkeypatch.setattr(shingles, "candidates", lambda *a: seen.append(a) or search(*a))
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(docs).collect())
+    assert kept == [*range(0, 96, 12), *range(96, 136)]
+    placed = {r["node"] for r in seen[0][3].collect()}  # by masks alone, before the exact filters
+    assert len(placed) > 48
+
+
 def test_hashes_of_short_and_empty_texts_meet(spark):
     rows = [(1, "One two"), (2, "one\ttwo"), (3, ""), (4, None), (5, "one two three"), (6, " \n"), (7, "a b c d e f"), (7, "x y"), (8, "X y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
