@@ -316,8 +316,10 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
         if pairs.isEmpty():
             continue
         compared = compared.unionByName(pairs)
-        links = links.unionByName(_verified(pairs, nodes, similarity))
-        placed = components(links)
+        found = _verified(pairs, nodes, similarity)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            placed = components(links)
     # rows of one node are copies; a repeated node has several numbers, which are linked
     parts = nodes.select("id", "node").join(placed.withColumnRenamed("node", "id"), "id").groupBy("node").agg(F.min("component").alias("component"))
     return cut_lineage(screened.join(parts, "node", "left").select(

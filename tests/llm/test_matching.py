@@ -529,3 +529,18 @@ def test_short_items_leak_whole(spark):
                 docs.append((len(docs), " ".join(["before", *("other" if k in gone else w for k, w in enumerate(own)), "after"])))
     found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"], r["doc_start"], r["item_start"], r["n_words"], r["n_equal"]) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("at_once, writes", [(1 << 18, 2), (16, None)])
+def test_few_links_are_finished_without_rounds(spark, monkeypatch, at_once, writes):
+    """A long path over many partitions: every round of star steps costs the driver hundreds of tasks."""
+    from postledger.llm import components as module
+
+    made = []
+    monkeypatch.setattr(module, "_AT_ONCE", at_once)
+    monkeypatch.setattr(module, "cut_lineage", lambda df, cut=module.cut_lineage: made.append(cut(df)) or made[-1])
+    order = random.Random(3).sample(range(600), 600)
+    links = [(i, i + 1) for i in order if i % 200 != 199] + [(5, 5), (None, 7), (7, None), (0, 1)]
+    got = module.components(spark.createDataFrame(links, "u long, v long").repartition(8)).collect()
+    assert sorted(map(tuple, got)) == [(i, i // 200 * 200) for i in range(600)]
+    assert len(made) == writes if writes else len(made) > 2
