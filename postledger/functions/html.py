@@ -97,9 +97,11 @@ def html_unescape(c: Column) -> Column:
         return _let(F.regexp_extract(part, _TOKEN, 0), lambda token: decode(part, token))
 
     def whole(text: Column) -> Column:
-        pieces = F.split(text, "&", -1)
-        tail = F.transform(F.slice(pieces, 2, F.size(pieces)), piece)
-        return F.when(text.contains("&"), F.concat(pieces[0], F.array_join(tail, ""))).otherwise(text)
+        def joined(pieces: Column) -> Column:
+            tail = F.transform(F.slice(pieces, 2, F.size(pieces)), piece)
+            return F.concat(pieces[0], F.array_join(tail, ""))
+
+        return F.when(text.contains("&"), _let(F.split(text, "&", -1), joined)).otherwise(text)
 
     return _let(c, whole)
 

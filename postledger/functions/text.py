@@ -43,8 +43,10 @@ def blank_to_null(c: Column) -> Column:
 
 
 def first_text(*cols: Column) -> Column:
-    """First value that is neither null nor empty, else the empty string."""
-    return F.coalesce(*[blank_to_null(c) for c in cols], F.lit(""))
+    """First value that is neither null nor empty, else the empty string.
+
+    Of the last value that is what it is itself, unless null, so it stands (and is evaluated) once."""
+    return F.coalesce(*[blank_to_null(c) for c in cols[:-1]], cols[-1], F.lit(""))
 
 
 def normalize_title(c: Column) -> Column:

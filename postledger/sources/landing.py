@@ -60,12 +60,14 @@ CONTAINERS = {
     ("workday", "search"): "object",
     ("workday", "detail"): "object",
 }
-_OPENING = {"object": r"^\s*\{", "array": r"^\s*\["}
+_OPENING = {"object": "{", "array": "["}
+_SPACE = " \t\n\x0b\f\r"
 # -----------------------------------------------------------------------------------
 
 
 def _opens(container: str) -> Column:
-    return F.col("body").rlike(_OPENING[container])
+    # no regular expression, which would decode the whole body for its first character
+    return F.ltrim("body", F.lit(_SPACE)).startswith(_OPENING[container])
 
 
 def unreadable() -> Column:

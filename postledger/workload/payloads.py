@@ -11,7 +11,7 @@ from ..functions.predicates import LocationFilter
 from ..operators import rollups as R
 from ..operators import validate as V
 from ..sources import boards, jsonld, union, workday
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from ..sources import landing as landed
 from ..sources.landing import accepted, rejected, unreadable_responses
 from .registry import SQL, query
@@ -47,8 +47,8 @@ def _when(test: Column, value: Column | str) -> Column:
     return F.when(test, F.lit(value) if isinstance(value, str) else value)
 
 
-def greenhouse_landing(spark, sf):
-    b = posting_base(spark, sf)
+def greenhouse_landing(spark, sf, base: DataFrame | None = None):
+    b = posting_base(spark, sf) if base is None else base
     three = _KEY % 3
     office = lambda name, place: F.struct(name.alias("name"), place.alias("location"))
     null = F.lit(None).cast("string")
@@ -104,8 +104,8 @@ def retained_payloads(spark, sf):
     return out.select("source_job_id", F.get_json_object("raw_payload", "$.text").alias("raw_title"))
 
 
-def lever_landing(spark, sf):
-    b = posting_base(spark, sf)
+def lever_landing(spark, sf, base: DataFrame | None = None):
+    b = posting_base(spark, sf) if base is None else base
     commitment = F.expr("CASE doc_id % 5 WHEN 0 THEN 'Full-time' WHEN 1 THEN 'Part-time' WHEN 2 THEN 'Contract' WHEN 3 THEN 'Internship' END")
     cats = F.struct(
         commitment.alias("commitment"), F.col("category").alias("department"), _when(_KEY % 3 == 0, F.col("location")).alias("location"),
@@ -138,8 +138,8 @@ def decode_lever(spark, sf):
     return _shown(boards.lever_rows(lever_landing(spark, sf)))
 
 
-def ashby_landing(spark, sf):
-    b = posting_base(spark, sf)
+def ashby_landing(spark, sf, base: DataFrame | None = None):
+    b = posting_base(spark, sf) if base is None else base
     secondary = F.when(_KEY % 3 == 0, F.array(F.struct(F.lit("Dallas").alias("location")), F.struct(F.lit("").alias("location"))))
     comp = F.struct(_when(_KEY % 4 == 0, "$100K - $120K").alias("compensationTierSummary"),
                     _when(_KEY % 4 == 1, (_KEY % 100 + 100) * 1000).alias("min"), (_KEY % 100 + 150).alias("max"),
@@ -171,8 +171,8 @@ def decode_ashby(spark, sf):
 _AREA = LocationFilter(include=("AFRICA", "Oslo"), exclude=("NATION_5",))
 
 
-def workday_landing(spark, sf):
-    b = posting_base(spark, sf)
+def workday_landing(spark, sf, base: DataFrame | None = None):
+    b = posting_base(spark, sf) if base is None else base
     path = F.concat(F.lit("/job/Oslo/Job"), F.when(_KEY % 3 == 0, F.concat(F.lit("_JR"), F.col("source_job_id"))).otherwise(F.concat(F.lit("-"), F.col("source_job_id"))))
     summary = F.struct(
         F.col("title").alias("title"), path.alias("externalPath"), F.lit("Full time").alias("timeType"),
@@ -298,8 +298,8 @@ def _page_html() -> Column:
                     F.lit(">"), body, F.lit("</script><p>text</p></html>"))
 
 
-def jsonld_landing(spark, sf):
-    return _landing(posting_base(spark, sf), "jsonld", "html", _page_html())
+def jsonld_landing(spark, sf, base: DataFrame | None = None):
+    return _landing(posting_base(spark, sf) if base is None else base, "jsonld", "html", _page_html())
 
 
 _LD = f"""
@@ -349,9 +349,11 @@ def union_sources(spark, sf):
 
 
 def _all_landing(spark, sf):
-    landing = greenhouse_landing(spark, sf)
+    # seven responses per posting: the texts are read, joined and dealt out to all tasks once, and written for all of them
+    base = cut_lineage(posting_base(spark, sf).repartition("doc_id"))
+    landing = greenhouse_landing(spark, sf, base)
     for other in (lever_landing, ashby_landing, workday_landing, jsonld_landing):
-        landing = landing.unionByName(other(spark, sf))
+        landing = landing.unionByName(other(spark, sf, base))
     return landing
 
 

@@ -387,3 +387,23 @@ def test_shared_folder_is_needed_on_a_cluster():
         fake = types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master=master, applicationId="a"))
         with pytest.raises(ValueError):
             shared_folder(fake)
+
+
+def test_all_landing_reads_the_texts_once(spark, monkeypatch):
+    """Seven responses per posting come from one pass over documents."""
+    from postledger.workload import payloads
+
+    made = []
+    monkeypatch.setattr(payloads, "posting_base", lambda *a, of=payloads.posting_base: made.append(a) or of(*a))
+    rows = payloads._all_landing(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
+    assert rows.filter("source_type = 'lever'").count() == payloads.lever_landing(spark, "/root/testdata/sf0.001").count()
+
+
+def test_opening_of_a_body(spark):
+    from postledger.sources.landing import _opens
+
+    bodies = ["{", " \t\n\x0b\f\r{}", "\xa0{", "[", " [", "", None, "x{"]
+    got = spark.createDataFrame([(b,) for b in bodies], "body string").select("body", _opens("object"), _opens("array")).collect()
+    assert [tuple(r)[1:] for r in got] == [
+        (True, False), (True, False), (False, False), (False, True), (False, True), (False, False), (None, None), (False, False)]
