@@ -118,6 +118,70 @@ def test_boilerplate_against_a_plain_suffix_array(spark):
     assert got == want and any("rare" in t for t in got.values()) and not any("menu" in t or "tiny" in t for t in got.values())
 
 
+def test_whole_pages_tell_what_a_host_repeats(spark):
+    """Pages of equal surroundings are as many as their articles; words in articles count, and stay what they mostly are."""
+    note = "<div>Please join the friends of this host today and get more</div>"
+    rows = [(i, "http://h.example/x", f"<nav>Home</nav><article><h1>Head {i}</h1><p>Own text of page number{i}</p>{note}</article><footer>All rights reserved</footer>") for i in range(4)]
+    rows += [(4, "http://h.example/x", rows[0][2]), (5, "http://h.example/x", f"<body>{note}<div>Only here</div>")]
+    line = "We write a letter to all readers every Monday"
+    rows += [(10 + i, "http://g.example/x", f"<main><p>Story {i} of this paper</p><p>{line}</p></main>") for i in range(3)]
+    rows += [(20, "http://g.example/x", f"<main><p>Last story</p><div>{line}</div></main>"), (30, "http://f.example/x", rows[0][2])]
+    rows += [(40 + i, "http://e.example/x", f"<main><p>Story {i} of this paper</p><{t}>{line}</{t}></main>") for i, t in enumerate(("p", "div", "div"))]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert [got[i] for i in range(4)] == [f"Head {i}\nOwn text of page number{i}" for i in range(4)] and got[4] == got[0] and got[5] == "Only here"
+    assert [got[10 + i] for i in range(3)] == [f"Story {i} of this paper\n{line}" for i in range(3)] and got[20] == f"Last story\n{line}"
+    assert [got[40 + i] for i in range(3)] == [f"Story 0 of this paper\n{line}", "Story 1 of this paper", "Story 2 of this paper"]
+    assert got[30] == "Head 0\nOwn text of page number0\nPlease join the friends of this host today and get more"
+
+
+def test_marked_and_unmarked_pages_against_plain_counts(spark, monkeypatch):
+    """Fingerprints packed and places returned in small groups leave out nothing that is boilerplate."""
+    import math
+    import random
+
+    monkeypatch.setattr(pages, "HELD", 60)
+    monkeypatch.setattr(pages, "GROUPED", 25)
+    rng = random.Random(12)
+    common = [" ".join(rng.choices("abcdef", k=k)) for k in (2, 3, 5, 6, 7, 9, 12)]
+
+    def part():
+        return rng.choice(common) if rng.random() < 0.5 else " ".join(rng.choices(["a", "b", "c", "\u00e9"], k=rng.randint(1, 9)))
+
+    rows = []
+    for p, host in enumerate(["one"] * 30 + ["two"] * 4 + ["", "three"] * 12):
+        inner = "".join(f"<{t}>{part()}</{t}>" for t in rng.choices(["p", "div", "h2"], k=rng.randint(0, 4)))
+        around = [f"<{t}>{part()}</{t}>" for t in rng.choices(["nav", "div", "p", "footer"], k=2)]
+        rows.append((p, f"http://{host}/x" if host else None, around[0] + (f"<article>{inner}</article>" if p % 3 else inner) + around[1]))
+    rows += [(100 + p, url, html) for p, url, html in rows[::5]]
+    found = {p: (pages.host_of(url), pages.blocks(html)) for p, url, html in rows}
+    on, alike = {}, {}
+    for host, own in found.values():
+        texts = tuple(t for t, _ in own)
+        alike.setdefault(host, set()).add(texts)
+        words = [(w, z == "main") for t, z in own for w in t.split()]
+        places = [(tuple(w for w, _ in words[i:i + 5]), all(z for _, z in words[i:i + 5])) for i in range(len(words) - 4)]
+        for x, inside in places + [(t, z == "main") for t, z in own if len(t.split()) < 5]:
+            where = on.setdefault((host, x), {})
+            where[texts] = where.get(texts, False) or not inside
+    want = {}
+    for p, (host, own) in found.items():
+        need = min(max(3, math.ceil(0.3 * len(alike[host]))), 50)
+        words = [w for t, _ in own for w in t.split()]
+        boiler = {x for (h, x), where in on.items() if h == host and len(where) >= need and 2 * sum(where.values()) > len(where)}
+        covered = {i for s in range(len(words) - 4) if tuple(words[s:s + 5]) in boiler for i in range(s, s + 5)}
+        at, left = 0, []
+        for text, zone in own:
+            n = len(text.split())
+            if zone == "main" or not (covered.issuperset(range(at, at + n)) or n < 5 and text in boiler):
+                left.append((text, zone))
+            at += n
+        marked = any(z in ("main", "loose") for _, z in own)
+        want[p] = "\n".join(t for t, z in left if z in (("main", "loose") if marked else ("open",)))
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want
+    assert sum(len(want[p].split("\n")) < sum(z in ("main", "loose", "open") for _, z in own) for p, (_, own) in found.items()) > 10
+
+
 def test_suffix_order_of_a_host(spark):
     """Sorted suffixes and what neighbours share, against a sorted list; a stretch goes on over batches and partitions."""
     import random
